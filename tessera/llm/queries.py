@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import simhash
+from . import bpe, packing, shards, simhash
+
+
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.read_digests(shards.write_tokens(table(spark, sf_dir, "documents")))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", bpe.digests(bpe.encode(F.col("text"))).alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +23,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", simhash.to_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op3_simhash": op3_simhash}
+def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_token_shards": op1_token_shards,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_simhash": op3_simhash,
+    "op9_best_two_fit": op9_best_two_fit,
+}
 ORACLES: dict[str, str] = {}
