@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, packing, shards, simhash
+from . import bpe, packing, pii, quality, shards, simhash
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", simhash.to_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.BASE]
+    spans = pii.listed(F.concat("base_spans", "extra_spans")).alias("spans")
+    return marked.select("doc_id", *counts, F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"), spans)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -31,6 +47,8 @@ QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
+    "op5_quality": op5_quality,
     "op9_best_two_fit": op9_best_two_fit,
 }
 ORACLES: dict[str, str] = {}
