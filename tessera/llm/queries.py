@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, packing, pii, quality, shards, simhash
+from . import bpe, licenses, packing, pii, quality, shards, simhash
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
     "op5_quality": op5_quality,
+    "op6_licenses": op6_licenses,
     "op9_best_two_fit": op9_best_two_fit,
 }
 ORACLES: dict[str, str] = {}
