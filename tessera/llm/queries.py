@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, licenses, packing, pii, quality, shards, simhash
+from . import bpe, licenses, packing, pii, quality, shards, simhash, suffixes
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffixes.deduplicated(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_byte_bpe": op2_byte_bpe,
@@ -55,5 +60,6 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_licenses": op6_licenses,
     "op9_best_two_fit": op9_best_two_fit,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
