@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, licenses, packing, pii, quality, shards, simhash, suffixes
+from . import bpe, licenses, packing, pii, quality, shards, simhash, suffixes, toxicity, vectors
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,16 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -59,6 +69,8 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_quality": op5_quality,
     "op6_licenses": op6_licenses,
+    "op7_toxicity": op7_toxicity,
+    "op8_vectors": op8_vectors,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
