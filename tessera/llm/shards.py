@@ -27,7 +27,7 @@ from .tokens import END, encode_with_end
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
-FRAME_IDS, LEVEL = 1 << 16, 3
+FRAME_IDS, LEVEL = 1 << 16, 1
 
 
 def _fs(uri: str):

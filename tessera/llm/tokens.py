@@ -10,13 +10,14 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Entries that a worker keeps; beyond it the table starts anew.
-KEPT, LONGEST = 700_000, 48
+KEPT, LONGEST = 800_000, 48
 #: White space as Unicode has it; Python's \s also takes four separators.
 _SPACE, _LETTER = r"[^\S\x1c-\x1f]", "[A-Za-zÀ-ÖØ-öø-ÿ]"
 #: A lone line feed stands by itself. A run of Latin letters ends where an ASCII character that is no letter follows, and a run of ASCII marks without an
@@ -43,40 +44,45 @@ class Encoder:
             some = plain[i : i + 4000]
             ids = np.array(self.library.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(ids == self.line_feed)
-            for x, lo, hi in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                self.known[x] = ids[lo:hi].tobytes()
+            raw, cuts = ids.tobytes(), 4 * cuts
+            for x, lo, hi in zip(some, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True):
+                self.known[x] = raw[lo:hi]
         rest = [x for x in new if SPACED.search(x, 1 if x[0] == " " else 0)]
         for i in range(0, len(rest), 2000):
             some = rest[i : i + 2000]
             for x, got in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[x] = array("I", got.ids).tobytes()
 
-    def encode_many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """ids of each text as uint32; texts are taken a few at a time."""
+    def encode_many(self, texts: Iterable[str | None], tail: bytes = b"") -> Iterator[np.ndarray]:
+        """ids of each text as uint32, with those in tail behind them; texts are taken a few at a time."""
         held: list[list[str]] = []
         n = 0
         for text in texts:
             held.append(CHUNKS.findall(text or ""))
             n += len(held[-1])
-            if n > 60_000:
-                yield from self._encoded(held)
+            if n > 100_000:
+                yield from self._encoded(held, tail)
                 held, n = [], 0
-        yield from self._encoded(held)
-
-    def _encoded(self, held: list[list[str]]) -> Iterator[np.ndarray]:
-        new = set().union(*held).difference(self.known)
-        long = {x for x in new if len(x) > LONGEST}  # encoded where they stand, and not kept
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = set().union(*held)
-        self._learn(list(new - long))
-        known = self.known
+        yield from self._encoded(held, tail)
+
+    def _encoded(self, held: list[list[str]], tail: bytes) -> Iterator[np.ndarray]:
+        flat = list(chain.from_iterable(held))
+        got = list(map(self.known.get, flat))
+        at = [i for i, x in enumerate(got) if x is None]
+        if at:
+            new = {flat[i] for i in at}
+            if len(self.known) + len(new) > KEPT:
+                self.known.clear()
+            self._learn([x for x in new if len(x) <= LONGEST])
+            known = self.known
+            for i in at:  # long chunks are encoded where they stand, and not kept
+                x = flat[i]
+                got[i] = known[x] if len(x) <= LONGEST else self._one(x)
+        lo = 0
         for chunks in held:
-            if long and not long.isdisjoint(chunks):
-                got = [self._one(x) if x in long else known[x] for x in chunks]
-            else:
-                got = [known[x] for x in chunks]
-            yield np.frombuffer(b"".join(got), np.uint32)
+            hi = lo + len(chunks)
+            yield np.frombuffer(b"".join(got[lo:hi]) + tail, np.uint32)
+            lo = hi
 
     def _one(self, chunk: str) -> bytes:
         return array("I", self.library.encode_batch_fast([chunk], add_special_tokens=False)[0].ids).tobytes()
@@ -98,8 +104,7 @@ def encoder(path: str | None = None) -> Encoder:
 
 def encode_with_end(texts: Iterable[str | None], path: str | None = None, end: int = END) -> Iterator[np.ndarray]:
     """ids of each text with the end id behind them."""
-    for ids in encoder(path).encode_many(texts):
-        yield np.append(ids, np.uint32(end))
+    return encoder(path).encode_many(texts, np.uint32(end).tobytes())
 
 
 __all__ = ["END", "VOCABULARY", "encode_with_end", "encoder"]
