@@ -10,9 +10,8 @@ anchors are:
 2. Per anchor, equal regions are settled: all but the earliest copy go. Anchors left with several different
    regions ask for the text of one copy of each.
 3. The documents asked for give these regions, which are dealt out by anchor again.
-4. Per anchor the suffixes of its regions that start a string are sorted, equal ones in corpus order; a suffix's previous
-   smaller position in that order then is its neighbour, and its longest previous factor reaches LENGTH exactly if
-   their common prefix does. Such strings go.
+4. Per anchor the suffixes of its regions are sorted. A suffix's longest previous factor is its common prefix with the
+   previous or the next smaller position in that order; strings where it reaches LENGTH go.
 5. The spans of each document are joined to it and cut out.
 
 Anchors that a sample of at most SAMPLE documents shows to be very common (a boilerplate line in ever new surroundings)
@@ -37,8 +36,8 @@ from .common import materialize
 
 LENGTH, K = 100, 32
 SPARE = LENGTH - K  # bytes of a string beside its anchor
-SLICE, FLUSH, REGIONS, MOST = 1 << 18, 800_000, 6_000, 12_000
-SAMPLE, SAMPLE_CHARS, COMMON = 3000, 20_000, 12
+SLICE, FLUSH, REGIONS, MOST = 1 << 18, 800_000, 10_000, 20_000
+SAMPLE, SAMPLE_CHARS, COMMON = 1500, 10_000, 8
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -299,55 +298,57 @@ def _regions(parts: int):
     return run
 
 
-def suffix_order(strings: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Order of the rows of strings (uint8) by group and bytes; equal ones keep their order."""
-    n, width = strings.shape
-    words = -(-width // 8)
-    padded = np.zeros((n, words * 8), np.uint8)
-    padded[:, :width] = strings
-    cols = padded.view(">u8").astype(np.uint64)
-    order = np.lexsort((cols[:, 0], group))
-    # Sorted by the first word, runs of equal rows are sorted on by the next, while there are any.
-    for w in range(1, words):
-        g, c = group[order], cols[order]
-        same = np.r_[False, (g[1:] == g[:-1]) & (c[1:, :w] == c[:-1, :w]).all(1)]
-        run = np.cumsum(~same)
-        tied = same | np.r_[same[1:], False]
-        if not tied.any():
-            break
-        i = np.flatnonzero(tied)
-        order[i] = order[i][np.lexsort((order[i], c[i, w], run[i]))]
-    return order
+def suffix_ranks(text: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Suffix order of aligned rows, column by column from the last: (column, order, rank) of the rows' suffixes there, within
+    their groups. A suffix is its first symbol and the suffix behind it, whose rank is known by then, so each column takes one sort.
+    text: symbols 0 to 256, 0 for none."""
+    head = group.astype(np.uint64) << np.uint64(40)
+    rank = np.zeros(len(group), np.uint64)
+    for c in range(text.shape[1] - 1, -1, -1):
+        key = head | text[:, c].astype(np.uint64) << np.uint64(28) | rank
+        order = np.argsort(key)
+        own = key[order]
+        dense = np.cumsum(np.r_[False, own[1:] != own[:-1]]).astype(np.uint64)
+        rank = np.empty_like(dense)
+        rank[order] = dense
+        yield c, order, rank
 
 
 def _repeats(anchor, key, at, left, size, text: bytes) -> np.ndarray:
-    """Spans of the strings with a longest previous factor of LENGTH or more within their anchor's regions."""
-    order = np.lexsort((at, key, anchor))
+    """Spans of the strings with a longest previous factor of LENGTH or more within their anchor's regions.
+
+    Equal strings have their anchor at the same distance, so the regions are laid out with their anchors in one column, and a
+    string's matches start in its own column. There, strings that share LENGTH bytes stand next to each other in suffix order; one
+    of them has a smaller position before or behind it at that common prefix, unless it is the earliest itself."""
+    into = np.lexsort((at, key, anchor))
     begin = np.r_[0, np.cumsum(size.astype(np.int64))[:-1]]
-    anchor, key, at, left, size, begin = (x[order] for x in (anchor, key, at, left, size.astype(np.int64), begin))
-    n = np.maximum(np.minimum(left, size - LENGTH) + 1, 0)  # strings that hold the anchor start here
-    which = np.repeat(np.arange(len(n)), n)
-    inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    if not len(which):
-        return np.zeros(0, SPAN)
-    start = (at - left)[which] + inner
-    group = np.cumsum(np.r_[0, anchor[1:] != anchor[:-1]])[which]
-    # Corpus order within each anchor; regions of one document may share a string.
-    into = np.lexsort((start, key[which], group))
-    which, inner, start, group = which[into], inner[into], start[into], group[into]
-    new = np.r_[True, (group[1:] != group[:-1]) | (start[1:] != start[:-1]) | (key[which[1:]] != key[which[:-1]])]
-    which, inner, start, group = which[new], inner[new], start[new], group[new]
+    anchor, key, at, left, size, begin = (x[into] for x in (anchor, key, at.astype(np.int64), left.astype(np.int64), size.astype(np.int64), begin))
+    group = np.cumsum(np.r_[False, anchor[1:] != anchor[:-1]])
     raw = np.frombuffer(text, np.uint8)
-    strings = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[begin[which] + inner]
-    sa = suffix_order(strings, group)
-    s, g = strings[sa], group[sa]
-    prefix = np.r_[False, (g[1:] == g[:-1]) & (s[1:] == s[:-1]).all(1)]  # common prefix with the previous smaller position
-    hit = sa[prefix]
-    out = np.empty(len(hit), SPAN)
-    out["key"] = key[which[hit]]
-    out["start"] = start[hit]
-    out["end"] = out["start"] + LENGTH
-    return merged(out)
+    width = SPARE + LENGTH
+    place = np.arange(width) - SPARE + left[:, None]
+    rows = np.where((place >= 0) & (place < size[:, None]), raw[np.clip(begin[:, None] + place, 0, len(raw) - 1)].astype(np.uint16) + 1, 0).astype(np.uint16)
+    plain = np.ascontiguousarray(rows.astype(np.uint8))
+    out = []
+    for c, order, _ in suffix_ranks(rows, group):
+        if c > SPARE:
+            continue
+        ok = (left >= SPARE - c) & (size - left >= LENGTH - SPARE + c)
+        sa = order[ok[order]]
+        if len(sa) < 2:
+            continue
+        a, b = sa[:-1], sa[1:]
+        near = np.flatnonzero(group[a] == group[b])
+        same = np.zeros(len(sa), bool)
+        same[near + 1] = (plain[a[near], c : c + LENGTH] == plain[b[near], c : c + LENGTH]).all(1)  # common prefix of neighbours
+        start = np.flatnonzero(~same)
+        least = np.minimum.reduceat(sa, start)[np.cumsum(~same) - 1]
+        hit = sa[sa != least]
+        spans = np.empty(len(hit), SPAN)
+        spans["key"], spans["start"] = key[hit], at[hit] - (SPARE - c)
+        spans["end"] = spans["start"] + LENGTH
+        out.append(spans)
+    return merged(np.concatenate(out)) if out else np.zeros(0, SPAN)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
