@@ -1,16 +1,20 @@
 """Toxicity scores from subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its character n-grams (with its ends marked) and of the word itself, all
-kept in hashed buckets; a document's vector is the mean over its words. The embeddings and the softmax on top are trained
+kept in hashed buckets; a document's vector is the mean over its words, each weighted by the root of its number so that a
+word said a thousand times isn't all there is, with BLANK blank words, so that a few words aren't a verdict. The embeddings and the softmax on top are trained
 together by Adam, on a bounded sample of the labelled rows. As everything is linear up to the softmax, a bucket
 comes down to one number for scoring, and an unseen misspelling shares most of a known word's n-grams.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS, DIM, SHORTEST, LONGEST = 1 << 16, 8, 3, 5
-#: The sample: at most SAMPLE labelled documents of each class, each of at most SAMPLE_CHARS characters; longer ones aren't learned from.
-SAMPLE, SAMPLE_CHARS = 2000, 20_000
-EPOCHS, STEP, DECAY, SCALE, HELD, SEED = 40, 0.05, 1e-4, 30.0, 5, 3
+BUCKETS, DIM, SHORTEST, LONGEST = 1 << 16, 4, 3, 5
+#: The sample: at most so many labelled documents of either class, each of at most SAMPLE_CHARS characters; longer ones aren't learned from.
+SAMPLE, SAMPLE_CHARS = {0: 3000, 1: 1500}, 20_000
+EPOCHS, STEP, DECAY, SCALE, BLANK, HELD, FOLD, SEED = 60, 0.01, 0.3, 300.0, 5.0, 5, 5, 3
 WORD = re.compile(r"[^\W_]+")
 KEPT = 400_000
 
@@ -38,62 +42,75 @@ def grams(word: str) -> tuple[int, ...]:
     return tuple(sorted(zlib.crc32(x.encode()) % BUCKETS for x in found))
 
 
-def _softmax_loss_step(emb, top, bias, counts, sizes, flat, cuts, lens, labels):
-    """Gradients of the mean cross-entropy; counts: (document, word, times) of the sample's bags."""
-    doc, word, times = counts
-    vec = np.add.reduceat(emb[flat], cuts) / lens[:, None]
+def _gradients(state, bags, sizes, flat, cuts, lens, labels):
+    """Gradients of the mean cross-entropy; bags: (document, word, weight), flat and cuts: the words' buckets."""
+    emb, top, bias = state
+    doc, word, times = bags
+    n_words = np.diff(np.r_[cuts, len(flat)])
+    vec = np.stack([np.add.reduceat(emb[flat, d], cuts) / lens for d in range(DIM)], axis=1)
     bag = np.stack([np.bincount(doc, times * vec[word, d], len(sizes)) for d in range(DIM)], axis=1) / sizes[:, None]
     logits = SCALE * bag @ top + bias
     p = np.exp(logits - logits.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    err = p.copy()
+    err = p / p.sum(1, keepdims=True)
     err[np.arange(len(labels)), labels] -= 1
     err /= len(labels)
     g_bag = SCALE * err @ top.T / sizes[:, None]
-    g_vec = np.stack([np.bincount(word, times * g_bag[doc, d], len(lens)) for d in range(DIM)], axis=1) / lens[:, None]
-    spread = np.repeat(g_vec, np.diff(np.r_[cuts, len(flat)]), axis=0)
-    g_emb = np.stack([np.bincount(flat, spread[:, d], len(emb)) for d in range(DIM)], axis=1)
-    return g_emb + DECAY * emb, SCALE * bag.T @ err, err.sum(0), logits
+    g_emb = np.empty_like(emb)
+    for d in range(DIM):
+        g_vec = np.bincount(word, times * g_bag[doc, d], len(lens)) / lens
+        g_emb[:, d] = np.bincount(flat, np.repeat(g_vec, n_words), len(emb))
+    return g_emb, SCALE * bag.T @ err, err.sum(0)
 
 
-def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
-    """(one number per bucket, bias): a text's logit is the bias and the mean over its words of their buckets' mean."""
-    if len(set(labels)) < 2:
-        share = (sum(labels) + 0.5) / (len(labels) + 1)
-        return np.zeros(BUCKETS), float(np.log(share / (1 - share)))
-    known: dict[str, int] = {}
+def _bags(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     doc, word, times, sizes = [], [], [], []
     for i, text in enumerate(texts):
-        own, n = np.unique([known.setdefault(w, len(known)) for w in words_of(text)] or [known.setdefault("", len(known))], return_counts=True)
+        own = Counter(words_of(text))
         doc.append(np.full(len(own), i))
-        word.append(own)
-        times.append(n)
-        sizes.append(n.sum())
-    counts = np.concatenate(doc), np.concatenate(word), np.concatenate(times).astype(float)
-    sizes = np.array(sizes, float)
+        word.append(np.array([known.setdefault(w, len(known)) for w in own], int))
+        times.append(np.sqrt(np.array(list(own.values()), float)))
+        sizes.append(times[-1].sum() + BLANK)
+    return np.concatenate(doc), np.concatenate(word), np.concatenate(times), np.array(sizes)
+
+
+def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
+    """(one number per bucket, bias): a text's logit is the bias and the mean over its words of their buckets' mean.
+
+    Every FOLD-th text isn't trained on; the cut with the best F1 there becomes a score of one half. weights: how many
+    documents stand behind each one of either class."""
+    y = np.array(labels)
+    held = np.arange(len(y)) % FOLD == 0
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2 or not any(map(words_of, texts)):
+        share = (y.sum() + 0.5) / (len(y) + 1)
+        return np.zeros(BUCKETS), float(np.log(share / (1 - share)))
+    known: dict[str, int] = {}
+    doc, word, times, sizes = _bags(texts, known)
     each = [grams(w) for w in known]
     lens = np.array([len(x) for x in each], float)
-    flat = np.concatenate([np.array(x) for x in each])
+    flat = np.fromiter(chain.from_iterable(each), np.int32)
     cuts = np.r_[0, np.cumsum(lens)[:-1]].astype(int)
-    y = np.array(labels)
+    own = ~held[doc]
+    place = np.cumsum(~held) - 1
     rng = np.random.default_rng(SEED)
     state = [rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)]
     first, second = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
-    logits = np.zeros((len(y), 2))
     for t in range(1, EPOCHS + 1):
-        *grads, logits = _softmax_loss_step(*state, counts, sizes, flat, cuts, lens, y)
-        for k, g in enumerate(grads):
+        for k, g in enumerate(_gradients(state, (place[doc[own]], word[own], times[own]), sizes[~held], flat, cuts, lens, y[~held])):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
-            state[k] = state[k] - STEP * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)
+            shrunk = state[k] * (1 - STEP * DECAY) if k < 2 else state[k]
+            state[k] = shrunk - STEP * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)
     emb, top, bias = state
-    margin = logits[:, 1] - logits[:, 0]
-    order = np.argsort(-margin)  # the cut with the best F1 on the sample becomes a score of one half
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    value = SCALE * emb @ (top[:, 1] - top[:, 0])
+    of_word = np.add.reduceat(value[flat], cuts) / lens
+    margin = (np.bincount(doc, times * of_word[word], len(y)) / sizes + bias[1] - bias[0])[held]
+    order = np.argsort(-margin)
+    hit = y[held][order]
+    behind = np.where(hit == 1, weights[1], weights[0])
+    f1 = 2 * np.cumsum(behind * hit) / (np.cumsum(behind) + (behind * hit).sum())
     i = int(f1.argmax())
-    cut = float(margin[order[i]] + margin[order[min(i + 1, len(y) - 1)]]) / 2
-    return SCALE * emb @ (top[:, 1] - top[:, 0]), float(bias[1] - bias[0] - cut)
+    cut = float(margin[order[i]] + margin[order[min(i + 1, len(hit) - 1)]]) / 2
+    return value, float(bias[1] - bias[0] - cut)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -103,12 +120,15 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
     """A model from the labelled rows that aren't held out; ids, languages and sources are no inputs of it."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
-    parts = [usable.where(F.col("_y") == v).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE) for v in (0, 1)]
+    total = {r["_y"]: r["n"] for r in usable.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    parts = [usable.where(F.col("_y") == v).orderBy(F.xxhash64("_id"), "_id").limit(n) for v, n in SAMPLE.items()]
     chosen = parts[0].union(parts[1])
     own = docs.where(F.length(text_col) <= SAMPLE_CHARS).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    rows = own.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_text", "_y").collect()  # at most 2 * SAMPLE ids
-    rows.sort(key=lambda r: (r["_id"], r["_text"]))
-    return train([r["_text"] for r in rows], [int(r["_y"]) for r in rows])
+    rows = own.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_text", "_y").collect()  # the sample's ids at most
+    rows.sort(key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_text"]))
+    labels_ = [int(r["_y"]) for r in rows]
+    behind = [total.get(v, 0) / max(1, labels_.count(v)) for v in (0, 1)]
+    return train([r["_text"] for r in rows], labels_, (behind[0], behind[1]))
 
 
 def scorer(weights: np.ndarray, bias: float):
@@ -120,14 +140,17 @@ def scorer(weights: np.ndarray, bias: float):
         known: dict[str, float] = _known.setdefault(hash(weights.tobytes()), {})
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
-            words = words_of(text)
-            got = list(map(known.get, words))
-            for j in [j for j, x in enumerate(got) if x is None]:
-                w = words[j]
-                got[j] = known[w] = float(weights[list(grams.__wrapped__(w))].mean())
+            total, size = 0.0, BLANK
+            for w, n in Counter(words_of(text)).items():
+                x = known.get(w)
+                if x is None:
+                    x = known[w] = float(weights[list(grams.__wrapped__(w))].mean())
+                n = math.sqrt(n)
+                total += n * x
+                size += n
             if len(known) > KEPT:
                 known.clear()
-            out[i] = bias + (sum(got) / len(got) if got else 0.0)
+            out[i] = bias + total / size
         return pd.Series(1 / (1 + np.exp(-np.clip(out, -60, 60))))
 
     return lambda text: score(F.coalesce(text, F.lit("")))
