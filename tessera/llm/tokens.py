@@ -17,7 +17,7 @@ import public_tokenizers
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Entries that a worker keeps; beyond it the table starts anew.
-KEPT, LONGEST = 800_000, 48
+KEPT, LONGEST = 600_000, 48
 #: White space as Unicode has it; Python's \s also takes four separators.
 _SPACE, _LETTER = r"[^\S\x1c-\x1f]", "[A-Za-zÀ-ÖØ-öø-ÿ]"
 #: A lone line feed stands by itself. A run of Latin letters ends where an ASCII character that is no letter follows, and a run of ASCII marks without an
