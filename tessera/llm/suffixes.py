@@ -437,13 +437,6 @@ def _common_anchors(docs: DataFrame) -> set[int]:
     return common
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
-    """key, text: keys are unique and in corpus order. Ids serve as they are unless some are null or come twice."""
-    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    odd = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null")
-    return rows if odd.isEmpty() else None
-
-
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """rows: key (unique, in corpus order), text (not null). Returns key, start, end of strings to remove, in bytes; a span
     may run past the document's end, and one shorter than LENGTH within the document doesn't count."""
@@ -458,11 +451,15 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     return found.where("end >= 0").select("key", "start", "end").union(more.select("key", "start", "end"))
 
 
+OUT = "key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In: key, text, spans and perhaps a struct that is handed through."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             some = batch.slice(at, 500)
-            ids, texts, spans = some.column(0), some.column(1).cast(pa.binary()).to_pylist(), some.column(2).to_pylist()
+            texts, spans = some.column(1).cast(pa.binary()).to_pylist(), some.column(2).to_pylist()
             sizes, gone, runs, kept = [], [], [], []
             for raw, own in zip(texts, spans, strict=True):
                 cuts = _cut(own, len(raw))
@@ -471,24 +468,25 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 runs.append(len(cuts))
                 edge = [0, *[x for c in cuts for x in c], len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)) if cuts else raw)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["key", "n_bytes", "n_removed", "n_spans", "kept"])
+            arrays = [some.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())]
+            # A cut may fall within a character; what is left of it goes from the text, not from the bytes.
+            arrays += [pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())]
+            yield pa.RecordBatch.from_arrays([*arrays, some.column(3)], names=[*[x.split()[0] for x in OUT.split(", ")], "rest"])
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: key, the id, n_bytes, n_removed, n_spans and kept (binary: the bytes that stay).
+    """One row per row of docs: n_bytes, n_removed, n_spans, kept (binary: the bytes that stay), kept_text (the whole characters
+    of these), and rest, a struct of the other columns of docs, the id among them.
 
-    A null text counts as empty. Rows of one id, or of none, come in the order of their texts, nulls first. An empty
-    table gives no rows; other columns aren't read.
+    A null text counts as empty. Rows of one id, or of none, come in the order of their texts, nulls first. An empty table gives no rows.
     """
-    rows = _keyed(docs, id_col, text_col)
-    ids = None
-    if rows is None:
-        order = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        full = materialize(order.repartitionByRange("id", "text").sortWithinPartitions("id", "text").withColumn("key", F.monotonically_increasing_id()), "keyed")
-        rows, ids = full.select("key", "text"), full.select(F.col("key").alias("key_"), "id")
-    spans = repeated_spans(rows).groupBy(F.col("key").alias("span_key")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = rows.join(spans.hint("shuffle_hash"), rows["key"] == spans["span_key"], "left").select("key", "text", "spans")
-    out = joined.mapInArrow(_kept, "key long, n_bytes long, n_removed long, n_spans long, kept binary")
-    if ids is None:
-        return out.select("key", F.col("key").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
-    return out.join(ids, out["key"] == ids["key_"]).select("key", F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest)
+    odd = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null")
+    if not odd.isEmpty():  # ids aren't keys: places in the order of ids and texts are
+        places = rows.repartitionByRange("key", "text").sortWithinPartitions("key", "text")
+        rows = materialize(places.withColumn("key", F.monotonically_increasing_id()), "keyed")
+    spans = repeated_spans(rows.select("key", "text")).groupBy(F.col("key").alias("span_key")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = rows.join(spans.hint("shuffle_hash"), rows["key"] == spans["span_key"], "left").select("key", "text", "spans", "rest")
+    kind = rows.schema["rest"].dataType.simpleString()
+    return joined.mapInArrow(_kept, f"{OUT}, rest {kind}").drop("key")
