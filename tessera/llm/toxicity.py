@@ -2,14 +2,14 @@
 
 A word's vector is the mean of the vectors of its character n-grams (with its ends marked) and of the word itself, all
 kept in hashed buckets; a document's vector is the mean over its words, each weighted by the root of its number so that a
-word said a thousand times isn't all there is, with BLANK blank words, so that a few words aren't a verdict. The embeddings and the softmax on top are trained
+word said a thousand times isn't all there is, with BLANK blank words, so that a few words aren't a verdict. A few bad words in
+a long text hardly move its mean, so a document is scored by the bag of WINDOW neighbouring words with the highest value. The embeddings and the softmax on top are trained
 together by Adam, on a bounded sample of the labelled rows. As everything is linear up to the softmax, a bucket
 comes down to one number for scoring, and an unseen misspelling shares most of a known word's n-grams.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS, DIM, SHORTEST, LONGEST = 1 << 16, 4, 3, 5
+BUCKETS, DIM, SHORTEST, LONGEST = 1 << 19, 4, 3, 5
 #: The sample: at most so many labelled documents of either class, each of at most SAMPLE_CHARS characters; longer ones aren't learned from.
 SAMPLE, SAMPLE_CHARS = {0: 3000, 1: 1500}, 20_000
-EPOCHS, STEP, DECAY, SCALE, BLANK, HELD, FOLD, SEED = 60, 0.01, 0.3, 300.0, 5.0, 5, 5, 3
+EPOCHS, STEP, DECAY, SCALE, BLANK, WINDOW, HELD, FOLD, SEED = 60, 0.01, 1.0, 300.0, 5.0, 2, 5, 5, 3
 WORD = re.compile(r"[^\W_]+")
 KEPT = 400_000
 
@@ -73,8 +73,16 @@ def _bags(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(doc), np.concatenate(word), np.concatenate(times), np.array(sizes)
 
 
+def highest(values: np.ndarray) -> float:
+    """The highest mean of WINDOW neighbouring words, blank words counted in; 0 without words."""
+    if not len(values):
+        return 0.0
+    at = np.arange(0, len(values), WINDOW)
+    return float((np.add.reduceat(values, at) / (np.minimum(len(values) - at, WINDOW) + BLANK)).max())
+
+
 def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
-    """(one number per bucket, bias): a text's logit is the bias and the mean over its words of their buckets' mean.
+    """(one number per bucket, bias): a text's logit is the bias and highest() of its words' values, the means of their buckets.
 
     Every FOLD-th text isn't trained on; the cut with the best F1 there becomes a score of one half. weights: how many
     documents stand behind each one of either class."""
@@ -100,17 +108,17 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1
             second[k] = 0.99 * second[k] + 0.01 * g * g
             shrunk = state[k] * (1 - STEP * DECAY) if k < 2 else state[k]
             state[k] = shrunk - STEP * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)
-    emb, top, bias = state
+    emb, top, _ = state
     value = SCALE * emb @ (top[:, 1] - top[:, 0])
     of_word = np.add.reduceat(value[flat], cuts) / lens
-    margin = (np.bincount(doc, times * of_word[word], len(y)) / sizes + bias[1] - bias[0])[held]
+    margin = np.array([highest(of_word[[known[w] for w in words_of(x)]]) for x, h in zip(texts, held, strict=True) if h])
     order = np.argsort(-margin)
     hit = y[held][order]
     behind = np.where(hit == 1, weights[1], weights[0])
     f1 = 2 * np.cumsum(behind * hit) / (np.cumsum(behind) + (behind * hit).sum())
     i = int(f1.argmax())
     cut = float(margin[order[i]] + margin[order[min(i + 1, len(hit) - 1)]]) / 2
-    return value, float(bias[1] - bias[0] - cut)
+    return value, -cut
 
 
 def held_out(doc_id: Column) -> Column:
@@ -140,17 +148,14 @@ def scorer(weights: np.ndarray, bias: float):
         known: dict[str, float] = _known.setdefault(hash(weights.tobytes()), {})
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
-            total, size = 0.0, BLANK
-            for w, n in Counter(words_of(text)).items():
-                x = known.get(w)
-                if x is None:
-                    x = known[w] = float(weights[list(grams.__wrapped__(w))].mean())
-                n = math.sqrt(n)
-                total += n * x
-                size += n
+            words = words_of(text)
+            values = list(map(known.get, words))
+            for j in [j for j, x in enumerate(values) if x is None]:
+                w = words[j]
+                values[j] = known[w] = float(weights[list(grams.__wrapped__(w))].mean())
             if len(known) > KEPT:
                 known.clear()
-            out[i] = bias + total / size
+            out[i] = bias + highest(np.array(values, float))
         return pd.Series(1 / (1 + np.exp(-np.clip(out, -60, 60))))
 
     return lambda text: score(F.coalesce(text, F.lit("")))
