@@ -5,20 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..session import table
+from . import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = [tables]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    """Unit-normalised values with grouped descriptives."""
+    return tables.QUERIES["a1_normalised_descriptives"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
