@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tables
+from . import inference, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [tables]
+MODULES = [tables, inference]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

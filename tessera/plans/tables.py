@@ -317,7 +317,7 @@ def w2(spark, d):
     return D.dense_ids(table(spark, d, "lineitem").select(*cols), cols, "token_id").drop("l_extendedprice")
 
 
-BH = """pv AS (SELECT event_id, event_type AS family, CASE WHEN event_id % 17 = 0 THEN NULL ELSE (event_id * 37 % 1000 + 1) / 20000.0::DOUBLE END AS p FROM events)"""
+BH = """pv AS (SELECT event_id, event_type AS family, CASE WHEN event_id % 17 = 0 THEN NULL ELSE (event_id * 37 % 1000 + 1) / 30011.0::DOUBLE END AS p FROM events)"""
 
 
 @query("w3_benjamini_hochberg", f"WITH {BH}, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, event_id) AS r, count(*) OVER (PARTITION BY family) AS m FROM pv WHERE p IS NOT NULL), q AS (SELECT event_id, family, p, least(min(p * m / r) OVER (PARTITION BY family ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS q FROM r) SELECT pv.event_id, pv.family, round(pv.p, 6) AS p, round(q, 6) AS q_value_bh, coalesce(q <= 0.05, false) AS significant_bh FROM pv LEFT JOIN q USING (event_id)")
