@@ -351,23 +351,65 @@ def _repeats(anchor, key, at, left, size, text: bytes) -> np.ndarray:
     return merged(np.concatenate(out)) if out else np.zeros(0, SPAN)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+GONE = "part int, spans binary"
+
+
+def _by_key(spans: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Spans packed by where their documents are gathered."""
+    part = ((spans["key"] * np.int64(0x9E3779B1)) >> np.int64(16)) % parts
+    order = np.argsort(part, kind="stable")
+    used, first = np.unique(part[order], return_index=True)
+    blobs = [x.tobytes() for x in np.split(spans[order], first[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "spans"])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All spans of a part's documents, overlapping ones as one."""
+
+    def done(held: list[np.ndarray]) -> pa.RecordBatch:
+        spans = merged(np.concatenate(held))
+        return _batch(spans["key"], spans["start"], spans["end"], np.zeros(len(spans), np.int64))
+
+    part, held = None, []
+    for batch in batches:
+        for i, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if i != part and held:
+                yield done(held)
+                held = []
+            part = i
+            held.append(np.frombuffer(spans, SPAN))
+            if sum(map(len, held)) > FLUSH:
+                held = [merged(np.concatenate(held))]
+    if held:
+        yield done(held)
+
+
+def _compare(parts: int):
+    return lambda batches: _compared(batches, parts)
+
+
+def _compared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Regions of a part at a time, the groups of many anchors at once."""
 
     def done(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        spans = list(repeated(held))
+        if spans:
+            yield _by_key(merged(np.concatenate(spans)), parts)
+
+    def repeated(held: list[tuple]) -> Iterator[np.ndarray]:
         anchor, key, at, left, size = (np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate(("<u8", "<i8", "<i4", "<i2", "<i2")))
         text = b"".join(x[5] for x in held)
         begin = np.r_[0, np.cumsum(size.astype(np.int64))]
         order = np.argsort(anchor, kind="stable")
         edge = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]]).tolist() + [len(order)]
 
-        def found(own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def found(own: np.ndarray) -> Iterator[np.ndarray]:
             some = b"".join([text[begin[j] : begin[j + 1]] for j in own.tolist()])
             spans = _repeats(anchor[own], key[own], at[own], left[own], size[own], some)
             if len(spans):
-                yield _batch(spans["key"], spans["start"], spans["end"], np.zeros(len(spans), np.int64))
+                yield spans
 
-        def halves(own: np.ndarray, x: int = 0, y: int = 0) -> Iterator[pa.RecordBatch]:
+        def halves(own: np.ndarray, x: int = 0, y: int = 0) -> Iterator[np.ndarray]:
             """One anchor's regions; too many at once are split by what stands on either side, as in _spread()."""
             if len(own) <= MOST or x + y >= SPARE:
                 yield from found(own)
@@ -447,7 +489,8 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     asked = found.where("end = -1").groupBy(F.col("key").alias("asked_key")).agg(F.collect_list(F.struct("start", "anchor")).alias("asked"))
     texts = rows.join(asked.hint("shuffle_hash"), rows["key"] == asked["asked_key"]).select("key", "text", "asked")
     regions = texts.mapInArrow(_regions(parts), REGION)
-    more = regions.repartition("part").sortWithinPartitions("part").mapInArrow(_compare, FOUND)
+    gone = regions.repartition("part").sortWithinPartitions("part").mapInArrow(_compare(parts), GONE)
+    more = gone.repartition("part").sortWithinPartitions("part").mapInArrow(_gather, FOUND)
     return found.where("end >= 0").select("key", "start", "end").union(more.select("key", "start", "end"))
 
 
