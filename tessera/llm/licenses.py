@@ -39,6 +39,7 @@ TEMPLATES = [
 BLOCK, CONTAINMENT = 64, 0.8
 #: All ASCII but digits and letters stands between words.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OUTPUTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -115,37 +116,38 @@ def prefix_words(order: list[str]) -> list[str]:
 
 
 def with_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, n_base, first_word, last_word, base_labels, labels and score (the largest containment, 1 for a phrase).
+    """docs with, in place of any columns of these names, n_words, n_base, first_word, last_word, base_labels, labels and score (the largest containment, 1 for a phrase).
 
     Null texts count as empty: no words, no labels, score 0. The table is read twice.
     """
     counts = document_counts(docs, text_col)
     order = sorted(counts, key=lambda w: (counts[w], w))
+    own = [c for c in docs.columns if c not in OUTPUTS]
     text = F.coalesce(F.col(text_col), F.lit(""))
     no_base = F.expr("cast(array() as array<struct<label:string,start:int>>)")
     no_match = F.expr("cast(array() as array<struct<label:string,share:double>>)")
     # Words in lower case by all of Unicode find the texts worth a look; those are then split again as the contract says.
-    one = docs.select("*", F.explode(F.array(F.struct(_words(F.lower(text)).alias("low")))).alias("_w"))
-    low = F.col("_w.low")
+    one = docs.select("*", F.explode(F.array(F.struct(_words(F.lower(text)).alias("low")))).alias("__tessera_w"))
+    low = F.col("__tessera_w.low")
     phrase = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.array_contains(low, w) for w in p]) for p, _ in PHRASES])
     worth = phrase | F.arrays_overlap(low, _strings(prefix_words(order)))
     exact = F.when(worth, _words(F.translate(text, UPPER, UPPER.lower()))).otherwise(F.array().cast("array<string>"))
-    two = one.select(*docs.columns, F.explode(F.array(F.struct(F.size(low).alias("n"), exact.alias("low")))).alias("_w"))
-    words, some = F.col("_w.low"), F.size("_w.low") > 0
+    two = one.select(*own, F.explode(F.array(F.struct(F.size(low).alias("n"), exact.alias("low")))).alias("__tessera_w"))
+    words, some = F.col("__tessera_w.low"), F.size("__tessera_w.low") > 0
     held = F.arrays_overlap(words, _strings(prefix_words(order)))
-    found = F.struct(F.col("_w.n").alias("n"), F.when(some, _base(words)).otherwise(no_base).alias("base"), F.when(some & held, _matches(words, order)).otherwise(no_match).alias("more"))
-    three = two.select(*docs.columns, F.explode(F.array(found)).alias("_f"))
-    base_labels = F.transform("_f.base", lambda x: x["label"])
-    labels = F.concat(base_labels, F.transform("_f.more", lambda x: x["label"]))
-    places = F.transform("_f.base", lambda x: x["start"].cast("long"))
-    share = F.coalesce(F.array_max(F.transform("_f.more", lambda x: x["share"])), F.lit(0.0))
+    found = F.struct(F.col("__tessera_w.n").alias("n"), F.when(some, _base(words)).otherwise(no_base).alias("base"), F.when(some & held, _matches(words, order)).otherwise(no_match).alias("more"))
+    three = two.select(*own, F.explode(F.array(found)).alias("__tessera_f"))
+    base_labels = F.transform("__tessera_f.base", lambda x: x["label"])
+    labels = F.concat(base_labels, F.transform("__tessera_f.more", lambda x: x["label"]))
+    places = F.transform("__tessera_f.base", lambda x: x["start"].cast("long"))
+    share = F.coalesce(F.array_max(F.transform("__tessera_f.more", lambda x: x["share"])), F.lit(0.0))
     return three.select(
-        *docs.columns,
-        F.col("_f.n").cast("long").alias("n_words"),
-        F.size("_f.base").cast("long").alias("n_base"),
+        *own,
+        F.col("__tessera_f.n").cast("long").alias("n_words"),
+        F.size("__tessera_f.base").cast("long").alias("n_base"),
         F.array_min(places).alias("first_word"),
         F.array_max(places).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base_labels)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("labels"),
-        F.when(F.size("_f.base") > 0, F.lit(1.0)).otherwise(share).alias("score"),
+        F.when(F.size("__tessera_f.base") > 0, F.lit(1.0)).otherwise(share).alias("score"),
     )

@@ -219,8 +219,8 @@ def candidates(text: Column) -> Column:
     return F.concat(*[of(i, *g) for i, g in enumerate(GENERATORS)])
 
 
-def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with two array columns of (kind, start, end): base_spans, by kind as listed and start, and extra_spans, the
+def with_spans(docs: DataFrame, text_col: str = "text", names: tuple[str, str] = ("base_spans", "extra_spans")) -> DataFrame:
+    """docs with two array columns of (kind, start, end), in place of any of their names: base_spans, by kind as listed and start, and extra_spans, the
     accepted candidates, by kind as listed and start. Offsets are code points, the end exclusive. A null text has no spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -228,8 +228,9 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
     base = F.concat(*[named(k, v) for k, v in base_spans(text).items()])
-    one = docs.select("*", F.explode(F.array(F.struct(base.alias("b"), candidates(text).alias("c")))).alias("_s"))
-    return one.select(*docs.columns, F.col("_s.b").alias("base_spans"), F.col("_s.c").alias("extra_spans"))
+    one = docs.select("*", F.explode(F.array(F.struct(base.alias("b"), candidates(text).alias("c")))).alias("__tessera_s"))
+    own = [c for c in docs.columns if c not in names]
+    return one.select(*own, F.col("__tessera_s.b").alias(names[0]), F.col("__tessera_s.c").alias(names[1]))
 
 
 def listed(spans: Column) -> Column:
@@ -239,8 +240,9 @@ def listed(spans: Column) -> Column:
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of text_col replaced with its kind in brackets, overlapping spans as one under the kind that
     starts first. Rows without a span, null texts among them, stay as they are."""
-    marked = with_spans(docs, text_col)
-    spans = F.array_sort(F.transform(F.concat("base_spans", "extra_spans"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    names = ("__tessera_base", "__tessera_extra")
+    marked = with_spans(docs, text_col, names)
+    spans = F.array_sort(F.transform(F.concat(*names), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     text = F.col(text_col)
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 

@@ -46,26 +46,27 @@ def _repeated(words: Column, n: Column) -> Column:
     return F.when(n < 3, F.lit(0)).when(twice, exact).otherwise(F.lit(0))
 
 
-def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a struct column `measures`: the MEASURES, n_lines (lines with a word) and base_failed. Null texts count as empty."""
+def with_measures(docs: DataFrame, text_col: str = "text", name: str = "measures") -> DataFrame:
+    """docs with a struct column `name`, in place of one that docs may have: the MEASURES, n_lines (lines with a word) and base_failed. Null texts count as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.btrim(text, F.lit(BLANK_CHARS))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANKS, -1))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANK_CHARS)) != "")
     # A generator row keeps the split words from being computed once per use.
-    one = docs.select("*", F.explode(F.array(F.struct(words.alias("words"), lines.alias("lines")))).alias("_split"))
-    w, n = F.col("_split.words"), F.size("_split.words")
+    one = docs.select("*", F.explode(F.array(F.struct(words.alias("words"), lines.alias("lines")))).alias("__tessera_split"))
+    w, n = F.col("__tessera_split.words"), F.size("__tessera_split.words")
     got = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias("n_symbols"),
-        (F.size("_split.lines") - F.size(F.array_distinct("_split.lines"))).cast("long").alias("n_dup_lines"),
+        (F.size("__tessera_split.lines") - F.size(F.array_distinct("__tessera_split.lines"))).cast("long").alias("n_dup_lines"),
         _repeated(w, n).cast("long").alias("n_repeat_words"),
-        F.size("_split.lines").cast("long").alias("n_lines"),
+        F.size("__tessera_split.lines").cast("long").alias("n_lines"),
     )
-    out = one.select(*docs.columns, F.explode(F.array(got)).alias("_m"))
-    failed = (F.col("_m.n_words") < LEAST_WORDS) | (100 * F.col("_m.n_repeat_words") > MOST_REPEATED * F.col("_m.n_words"))
-    return out.select(*docs.columns, F.struct("_m.*", failed.alias("base_failed")).alias("measures"))
+    own = [c for c in docs.columns if c != name]
+    out = one.select(*own, F.explode(F.array(got)).alias("__tessera_m"))
+    failed = (F.col("__tessera_m.n_words") < LEAST_WORDS) | (100 * F.col("__tessera_m.n_repeat_words") > MOST_REPEATED * F.col("__tessera_m.n_words"))
+    return out.select(*own, F.struct("__tessera_m.*", failed.alias("base_failed")).alias(name))
 
 
 def _ratios(m: str = "measures") -> dict[str, Column]:
@@ -78,24 +79,25 @@ def _ratios(m: str = "measures") -> dict[str, Column]:
     }
 
 
-def thresholds(measured: DataFrame, group: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+def thresholds(measured: DataFrame, group: tuple[str, ...] = ("lang", "source"), name: str = "measures") -> DataFrame:
     """The fences of each group, from all its documents; null group values are a group of their own."""
-    sketches = [F.percentile_approx(v, [0.5, 0.75], ACCURACY).alias(k) for k, v in _ratios().items()]
-    per = measured.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(*sketches)
-    fences = [(F.col(k)[0] + F.greatest(SPREAD * (F.col(k)[1] - F.col(k)[0]), F.lit(MARGINS[k]))).alias(f"_most_{k}") for k in MARGINS]
-    return per.select(*[f"_{g}" for g in group], *fences)
+    sketches = [F.percentile_approx(v, [0.5, 0.75], ACCURACY).alias(k) for k, v in _ratios(name).items()]
+    per = measured.groupBy(*[F.col(g).alias(f"__tessera_{g}") for g in group]).agg(*sketches)
+    fences = [(F.col(k)[0] + F.greatest(SPREAD * (F.col(k)[1] - F.col(k)[0]), F.lit(MARGINS[k]))).alias(f"__tessera_most_{k}") for k in MARGINS]
+    return per.select(*[f"__tessera_{g}" for g in group], *fences)
 
 
-def with_verdicts(measured: DataFrame, fences: DataFrame, group: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """measured with a boolean column `kept`."""
+def with_verdicts(measured: DataFrame, fences: DataFrame, group: tuple[str, ...] = ("lang", "source"), name: str = "measures", verdict: str = "kept") -> DataFrame:
+    """measured with a boolean column `verdict`."""
     on = None
     for g in group:
-        same = measured[g].eqNullSafe(fences[f"_{g}"])
+        same = measured[g].eqNullSafe(fences[f"__tessera_{g}"])
         on = same if on is None else on & same
-    passes = ~F.col("measures.base_failed")
-    for k, v in _ratios().items():
-        passes = passes & (v <= F.col(f"_most_{k}"))
-    return measured.join(fences, on, "left").select(*measured.columns, F.coalesce(passes, ~F.col("measures.base_failed")).alias("kept"))
+    base = F.col(f"{name}.base_failed")
+    passes = ~base
+    for k, v in _ratios(name).items():
+        passes = passes & (v <= F.col(f"__tessera_most_{k}"))
+    return measured.join(fences, on, "left").select(*[measured[c] for c in measured.columns], F.coalesce(passes, ~base).alias(verdict))
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -108,5 +110,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grou
 
 def passing(docs: DataFrame, text_col: str = "text", group: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """The rows of docs that are kept, with their own columns; texts are measured twice and never shuffled."""
-    fences = materialize(thresholds(with_measures(docs.select(text_col, *group), text_col), group), "fences")
-    return with_verdicts(with_measures(docs, text_col), fences, group).where("kept").select(*docs.columns)
+    name, verdict = "__tessera_measures", "__tessera_kept"
+    fences = materialize(thresholds(with_measures(docs.select(text_col, *group), text_col, name), group, name), "fences")
+    judged = with_verdicts(with_measures(docs, text_col, name), fences, group, name, verdict)
+    return judged.where(verdict).select(*docs.columns)
