@@ -115,7 +115,7 @@ def a13(spark, d):
     return tokens(spark, d).groupBy("cls", "status").agg(F.count("*").alias("n"), F.avg("f1").alias("f1"), F.avg("f2").alias("f2"), q[0].alias("lo"), q[1].alias("hi"))
 
 
-@query("a19_mode", "SELECT o_custkey, min(o_orderpriority) AS mode FROM (SELECT o_custkey, o_orderpriority, count(*) AS n, max(count(*)) OVER (PARTITION BY o_custkey) AS most FROM orders GROUP BY ALL) WHERE n = most GROUP BY o_custkey")
+@query("a19_mode", "WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), m AS (SELECT o_custkey, max(n) AS n FROM c GROUP BY o_custkey) SELECT o_custkey, min(o_orderpriority) AS mode FROM c JOIN m USING (o_custkey, n) GROUP BY o_custkey")
 def a19(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.mode("o_orderpriority", True).alias("mode"))
 
