@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import inference, tables
+from . import inference, more, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [tables, inference]
+MODULES = [tables, inference, more]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
