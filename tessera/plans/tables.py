@@ -357,13 +357,13 @@ def w8(spark, d):
 @query("o1_sorted_groups", f"WITH {TOK_SQL} SELECT row_number() OVER (ORDER BY cls NULLS LAST, status NULLS LAST) AS place, cls, status, count(*) AS n FROM tok GROUP BY cls, status")
 def o1(spark, d):
     g = tokens(spark, d).groupBy("cls", "status").agg(F.count("*").alias("n"))
-    return g.select(F.row_number().over(Window.orderBy(F.asc_nulls_last("cls"), F.asc_nulls_last("status"))).alias("place"), "cls", "status", "n")
+    return g.select(F.row_number().over(Window.orderBy(F.asc_nulls_last("cls"), F.asc_nulls_last("status"))).cast("long").alias("place"), "cls", "status", "n")
 
 
 @query("o3_domain_order", f"WITH {TOK_SQL} SELECT row_number() OVER (ORDER BY list_position(['click', 'view', 'purchase', 'signup', 'error'], cls)) AS place, cls FROM tok GROUP BY cls")
 def o3(spark, d):
     at = F.array_position(F.array(*[F.lit(x) for x in CLASSES]), F.col("cls"))
-    return tokens(spark, d).select("cls").distinct().select(F.row_number().over(Window.orderBy(at)).alias("place"), "cls")
+    return tokens(spark, d).select("cls").distinct().select(F.row_number().over(Window.orderBy(at)).cast("long").alias("place"), "cls")
 
 
 @query("o4_first_n", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 200")
