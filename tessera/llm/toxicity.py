@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -93,9 +93,12 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1
         return np.zeros(BUCKETS), float(np.log(share / (1 - share)))
     known: dict[str, int] = {}
     doc, word, times, sizes = _bags(texts, known)
-    each = [grams(w) for w in known]
-    lens = np.array([len(x) for x in each], float)
-    flat = np.fromiter(chain.from_iterable(each), np.int32)
+    held_buckets, n_buckets = array("i"), []
+    for w in known:
+        own_ = grams.__wrapped__(w)
+        held_buckets.extend(own_)
+        n_buckets.append(len(own_))
+    lens, flat = np.array(n_buckets, float), np.frombuffer(held_buckets, np.int32)
     cuts = np.r_[0, np.cumsum(lens)[:-1]].astype(int)
     own = ~held[doc]
     place = np.cumsum(~held) - 1
