@@ -134,7 +134,9 @@ def _write(folder: str, tokenizer: str | None, end: int):
         if not writer.docs:
             fs.delete_file(own)
             return
-        fs.move(own, name)  # whole or not at all; another try of the task leaves the same bytes
+        if fs.get_file_info(name).is_file:  # another try of the task left the same bytes
+            fs.delete_file(name)
+        fs.move(own, name)  # whole or not at all
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{folder}/part-{part:06d}.tokens"]), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["part", "path", "docs", "tokens"])
 
     return run
