@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = fps.join(parts.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     named = linked.join(least, "component").select(F.col("fp").alias("fp_"), "least")
-    info = fps.join(named, fps["fp"] == named["fp_"], "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    # A table of its own, so that the join below deals both sides anew and a much-copied fingerprint can be split.
+    info = materialize(fps.join(named, fps["fp"] == named["fp_"], "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "named")
     return own.join(info, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
