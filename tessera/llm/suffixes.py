@@ -37,7 +37,7 @@ from .common import materialize
 LENGTH, K = 100, 32
 SPARE = LENGTH - K  # bytes of a string beside its anchor
 SLICE, FLUSH, REGIONS, MOST = 1 << 18, 800_000, 10_000, 20_000
-SAMPLE, SAMPLE_CHARS, COMMON = 1500, 10_000, 8
+SAMPLE, SAMPLE_CHARS, COMMON = 1500, 10_000, 20
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

@@ -367,6 +367,7 @@ def test_common_anchors_change_no_result(spark, monkeypatch):
     rows = [(i, word(150) + LINE + word(150)) for i in range(150)]
     rows += [(1000 + i, rows[i][1][60:330] + LINE) for i in range(0, 150, 4)]
     monkeypatch.setattr(suffixes, "SAMPLE", 100)
+    monkeypatch.setattr(suffixes, "COMMON", 8)
     monkeypatch.setattr(suffixes, "MOST", 30)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert suffixes._common_anchors(docs.withColumnRenamed("doc_id", "key"))
