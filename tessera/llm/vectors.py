@@ -1,14 +1,15 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by exact comparison of all pairs, block against block.
 
-Equal vectors are one class. In each pass the classes are ordered by a string of random hyperplane bits, and each is
-compared with the next WINDOW ones of its partition; the pairs that reach the threshold are joined across all passes. Within the
-components so found every pair is then counted, block against block, so that links missing from the windows aren't
-missing from the counts; only a pair whose component was never joined can be lost.
+Equal vectors are one class. The classes are packed into blocks of BLOCK unit vectors, and every pair of blocks is compared as
+one product of matrices: in single precision with a margin for its rounding, then in double precision where a row and a column
+have a candidate. No pair is left out, so the work is quadratic in the number of different vectors. A pair of blocks gives a
+number of links per vector and the least id it is joined to there, not its links one by one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
 
-THRESHOLD, PASSES, BITS, WINDOW, BLOCK, SEED = 0.9, 16, 60, 24, 1024, 5
+THRESHOLD, BLOCK, PARTITION = 0.9, 1024, 32
 
 
 def usable(v: Column) -> Column:
@@ -33,74 +34,55 @@ def _matrix(raw: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cid, size, vector as bytes, and the order string of each pass as a long."""
-    planes: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            some = batch.slice(at, 4096)
-            ids, vectors = some.column(0).to_pylist(), [np.asarray(v, "<f8") for v in some.column(1).to_pylist()]
-            out = []
-            for d in sorted({len(v) for v in vectors}):
-                if d not in planes:
-                    planes[d] = np.random.default_rng([SEED, d]).normal(size=(d, PASSES * BITS))
-                own = [i for i, v in enumerate(vectors) if len(v) == d]
-                raw = [vectors[i].tobytes() for i in own]
-                bits = (_matrix(raw) @ planes[d] > 0).reshape(len(own), PASSES, BITS)
-                order = bits.astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                out += [(ids[i], d, r, o) for i, r, o in zip(own, raw, order.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["cid", "size", "vector", "orders"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows at most WINDOW apart in a sorted partition; the last rows are carried from batch to batch."""
-    tail: list[tuple] = []
+def _blocks(block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """size, first id, and the ids, multiplicities and unit vectors of up to `block` classes as bytes."""
+
+    def done(size: int, rows: list[tuple]) -> pa.RecordBatch:
+        ids, mult, raw = zip(*rows, strict=True)
+        out = (size, ids[0], np.array(ids, "<i8").tobytes(), np.array(mult, "<i8").tobytes(), _matrix(list(raw)).astype("<f8").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["size", "first", "ids", "mult", "x"])
+
+    held: dict[int, list[tuple]] = {}
     for batch in batches:
-        rows = tail + list(zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True))
-        new = len(tail)
-        tail = rows[-WINDOW:]
-        a, b = [], []
-        groups: dict[tuple, list[int]] = {}
-        for i, r in enumerate(rows):
-            groups.setdefault((r[0], r[1]), []).append(i)
-        for own in groups.values():
-            x = _matrix([rows[i][3] for i in own])
-            ids = np.array([rows[i][2] for i in own])
-            fresh = np.array(own) >= new
-            for d in range(1, min(WINDOW, len(own) - 1) + 1):
-                near = np.flatnonzero((np.einsum("ij,ij->i", x[:-d], x[d:]) >= THRESHOLD) & fresh[d:])
-                a.append(ids[near])
-                b.append(ids[near + d])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within one pair of blocks at a time; rows come sorted by component and pair."""
-
-    def done(rows: list[tuple]) -> pa.RecordBatch:
-        lo, hi = rows[0][1], rows[0][2]
-        ids, mult = np.array([r[4] for r in rows]), np.array([r[6] for r in rows])
-        x = _matrix([r[5] for r in rows])
-        block = np.array([r[3] for r in rows])
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        near = x[left] @ x[right].T >= THRESHOLD
-        if lo == hi:
-            np.fill_diagonal(near, False)
-            got, which = near @ mult[right], left
-        else:
-            got, which = np.r_[near @ mult[right], mult[left] @ near], np.r_[left, right]
-        return pa.RecordBatch.from_arrays([pa.array(ids[which], pa.int64()), pa.array(got, pa.int64())], names=["cid", "links"])
-
-    held: list[tuple] = []
+        for cid, mult, v in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            own = held.setdefault(len(v), [])
+            own.append((cid, mult, np.asarray(v, "<f8").tobytes()))
+            if len(own) == block:
+                yield done(len(v), held.pop(len(v)))
+    for size, own in held.items():
+        yield done(size, own)
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x and of y with a candidate, and which of these reach the threshold, in double precision."""
+    # A float32 product of unit vectors is off by less than (its length + 2) roundings.
+    some = x.astype(np.float32) @ y.astype(np.float32).T >= THRESHOLD - 1e-6 - 2**-23 * (x.shape[1] + 2)
+    left, right = np.flatnonzero(some.any(1)), np.flatnonzero(some.any(0))
+    return left, right, x[left] @ y[right].T >= THRESHOLD
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one pair of blocks at a time: each linked class, the rows it is linked to, and the least id joined to it there."""
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if held and row[:3] != held[-1][:3]:
-                yield done(held)
-                held = []
-            held.append(row)
-    if held:
-        yield done(held)
+        for i in range(batch.num_rows):
+            size, *raw = (c[i].as_py() for c in batch.columns)
+            ids, ids_, mult, mult_ = (np.frombuffer(r, "<i8") for r in raw[:4])
+            x, y = (np.frombuffer(r, "<f8").reshape(-1, size) for r in raw[4:])
+            left, right, near = near_pairs(x, y)
+            same = ids[0] == ids_[0]
+            near &= ~same | (ids[left][:, None] != ids_[right])
+            if not near.any():
+                continue
+            low, low_, last = ids[left], ids_[right], None
+            while last is None or (last[0] != low).any() or (last[1] != low_).any():
+                last = low, low_
+                low = np.minimum(low, np.where(near, low_, np.iinfo(np.int64).max).min(1))
+                low_ = np.minimum(low_, np.where(near, low[:, None], np.iinfo(np.int64).max).min(0))
+            cid, links, to = ids[left], near @ mult_[right], low
+            if not same:
+                cid, links, to = np.r_[cid, ids_[right]], np.r_[links, mult[left] @ near], np.r_[to, low_]
+            some = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(c[some], pa.int64()) for c in (cid, links, to)], names=["cid", "links", "low"])
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -112,17 +94,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = rows.where(usable(F.col("v")) & F.col("id").isNotNull())
     classes = materialize(good.groupBy("v").agg(F.min("id").alias("cid"), F.count("*").alias("mult")), "classes")
-    packed = materialize(classes.select("cid", "v").mapInArrow(_packed, "cid long, size int, vector binary, orders array<long>"), "vectors")
-    each = packed.select("size", "cid", "vector", F.posexplode("orders").alias("pass", "at"))
-    dealt = each.repartitionByRange("pass", "size", "at", "cid").sortWithinPartitions("pass", "size", "at", "cid")
-    pairs = dealt.select("pass", "size", "cid", "vector").mapInArrow(_windows, "a long, b long")
-    parts = materialize(connected_components(pairs.distinct()), "components")
-    sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    known = packed.select(F.col("cid").alias("c"), "vector").join(classes.select("cid", "mult"), F.col("c") == F.col("cid"))
-    members = parts.join(sizes, "component").join(known, F.col("node") == F.col("cid")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    other = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    blocks = other.select("component", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "cid", "vector", "mult")
-    counted = blocks.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(_counts, "cid long, links long")
+    n = classes.count()
+    packed = classes.select("cid", "mult", "v").coalesce(max(1, n // (PARTITION * BLOCK // 4)))
+    blocks = materialize(packed.mapInArrow(partial(_blocks, BLOCK), "size int, first long, ids binary, mult binary, x binary"), "blocks")
+    # A task holds one part of the blocks and goes through another one: PARTITION blocks at most on average, and parts for all cores.
+    parts_ = max(1, -(-n // (PARTITION * BLOCK)), min(-(-n // BLOCK), int(2 * vectors.sparkSession.sparkContext.defaultParallelism ** 0.5 + 1)))
+    p, q = blocks.repartition(parts_), blocks.repartition(parts_).toDF("size_", "first_", "ids_", "mult_", "x_")
+    # Not written as an equality of columns, so that no join by size puts all blocks into one task.
+    both = p.hint("shuffle_replicate_nl").join(q, (F.col("first") <= F.col("first_")) & (F.col("size") - F.col("size_") == 0))
+    found = both.select("size", "ids", "ids_", "mult", "mult_", "x", "x_").mapInArrow(_links, "cid long, links long, low long")
+    counted = materialize(found, "links")
+    parts = materialize(connected_components(counted.select(F.col("cid").alias("a"), F.col("low").alias("b")).distinct()), "components")
     links = counted.groupBy("cid").agg(F.sum("links").alias("links"))
     info = classes.join(parts, classes["cid"] == parts["node"], "left").select("v", F.col("cid").alias("class"), "mult", F.coalesce("component", "cid").alias("component"))
     info = info.join(links, info["class"] == links["cid"], "left").select(F.col("v").alias("v_"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), "component")

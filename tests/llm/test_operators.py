@@ -295,6 +295,21 @@ def test_link_counts_over_several_blocks(spark, tmp_path, monkeypatch):
     assert got == {i: int((u @ u[i] >= 0.9).sum() - 1) for i in range(50)}
 
 
+def test_no_pair_of_vectors_is_lost_in_a_dense_cone(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 64)) / 8 * 0.2**0.5
+    x[1500:] = x[:1500] * 0.75 + rng.normal(size=(1500, 64)) / 8 * (0.2 * (1 - 0.75**2)) ** 0.5
+    x[:, 0] += 0.8**0.5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    low, last = np.arange(len(x)), None
+    while last is None or (low != last).any():
+        last, low = low, np.where(near, low, len(x)).min(1)
+    assert got == {i: (int(near[i].sum() - 1), int(low[i])) for i in range(len(x))}
+
+
 def test_packing(spark, folder, ids):
     rows = queries.QUERIES["op9_best_two_fit"](spark, folder).collect()
     docs, bins = defaultdict(list), defaultdict(list)
