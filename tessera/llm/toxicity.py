@@ -77,8 +77,9 @@ def highest(values: np.ndarray) -> float:
     """The highest mean of WINDOW neighbouring words, blank words counted in; 0 without words."""
     if not len(values):
         return 0.0
-    at = np.arange(0, len(values), WINDOW)
-    return float((np.add.reduceat(values, at) / (np.minimum(len(values) - at, WINDOW) + BLANK)).max())
+    n = min(WINDOW, len(values))
+    sums = sum(values[i : len(values) - n + 1 + i] for i in range(n))
+    return float(sums.max() / (n + BLANK))
 
 
 def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:

@@ -262,6 +262,16 @@ def test_toxicity_learns_words_and_misspellings():
     assert margin(" ".join(words[:20]) + " grumplok") > margin(" ".join(words[:20]))
 
 
+def test_toxicity_scores_every_pair_of_neighbours():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 8, 41):
+        values = rng.normal(size=n)
+        bags = [values[i : i + 2] for i in range(max(1, n - 1))]
+        assert toxicity.highest(values) == pytest.approx(max(b.sum() / (len(b) + toxicity.BLANK) for b in bags))
+    bad = np.array([0.0, 3.0, 3.0, 0.0])
+    assert toxicity.highest(bad) == toxicity.highest(bad[1:])
+
+
 def test_toxicity_query(spark, folder):
     for i, r in result(spark, folder, "op7_toxicity").items():
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
