@@ -425,7 +425,7 @@ def m13(spark, d):
 
 @query("p1_base_symbols")
 def p1(spark, d):
-    return table(spark, d, "documents").select("doc_id", C.base_symbol(F.substring("text", 1, 40)).alias("base"))
+    return table(spark, d, "documents").select("doc_id", C.base_symbol(F.col("text")).alias("base"))
 
 
 __all__ = ["CLASSES", "QUERIES", "ORACLES", "battery"]

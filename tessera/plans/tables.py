@@ -169,6 +169,12 @@ def p2(spark, d):
     return table(spark, d, "documents").select("doc_id", C.fold_word(F.substring("text", 1, 80)).alias("folded"))
 
 
+@query("p2_fold_texts")
+def p2_texts(spark, d):
+    """The fold of p2_fold_words, whose SQL takes 80 characters, over whole texts."""
+    return table(spark, d, "documents").select("doc_id", C.fold_word(F.col("text")).alias("folded"))
+
+
 @query("p3_garbage_labels", "SELECT p_partkey, p_name, starts_with(lower(trim(p_name)), 'ding') AS garbage FROM part")
 def p3(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_name", C.is_garbage(F.col("p_name")).alias("garbage"))

@@ -109,3 +109,14 @@ def test_q_values_keep_missing(spark):
     df = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03), (4, None)], "k int, p double").withColumn("f", F.lit("x"))
     got = {r["k"]: r["q_value_bh"] for r in D.benjamini_hochberg(df, ["f"], "p", ["k"]).collect()}
     assert got == {1: pytest.approx(0.03), 2: pytest.approx(0.04), 3: pytest.approx(0.04), 4: None}
+
+
+def test_folds_take_whole_texts(spark, tmp_path):
+    from tessera.plans import registry
+
+    # One word's fold is tested above; a long text's is that of its parts.
+    words = ["ʃːʲ", "É", "e\u0301", "l’Été", "plain", "ɑ̃"] * 40
+    spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "x" * 90 + "É ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: {r[0]: r[1] for r in registry.queries()[n](spark, str(tmp_path)).collect()} for n in ("p1_base_symbols", "p2_fold_texts")}
+    assert got["p1_base_symbols"] == {1: " ".join(["ʃ", "E", "e", "l’Ete", "plain", "ɑ̃"] * 40), 2: None, 3: "x" * 90 + "E "}
+    assert got["p2_fold_texts"] == {1: " ".join(["ʃːʲ", "é", "é", "l'été", "plain", "ɑ̃"] * 40), 2: None, 3: "x" * 90 + "é"}
