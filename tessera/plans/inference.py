@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -195,10 +197,13 @@ def _each(df: DataFrame, keys: list[str], schema: str, f) -> DataFrame:
 
 @query("t9_mcnemar")
 def t9(spark, d):
-    """Exact McNemar tests, with q-values over the whole table."""
-    pairs = L.discordance(_labels(spark, d), "rep", "doc_id", "ok")
-    got = _each(pairs, ["rep_a", "rep_b"], "rep_a string, rep_b string, n long, p_value double", lambda p: {"n": int(p.a_only.iloc[0] + p.b_only.iloc[0]), "p_value": K.binomial_two_sided(int(min(p.a_only.iloc[0], p.b_only.iloc[0])), int(p.a_only.iloc[0] + p.b_only.iloc[0]))})
-    return D.benjamini_hochberg(got.withColumn("p_value", C.finite(F.col("p_value"))).withColumn("family", F.lit("all")), ["family"], "p_value", ["rep_a", "rep_b"])
+    """Exact McNemar tests over all rows and per status, with q-values over the whole table."""
+    lab = _labels(spark, d)
+    status = F.when(F.col("doc_id") % 2 == 0, "L1").otherwise("L2")
+    parts = [("all", lab), *[(x, lab.where(status == x)) for x in ("L1", "L2")]]
+    pairs = reduce(DataFrame.unionByName, [L.discordance(p, "rep", "doc_id", "ok").withColumn("rows", F.lit(x)) for x, p in parts])
+    got = _each(pairs, ["rows", "rep_a", "rep_b"], "rows string, rep_a string, rep_b string, n long, p_value double", lambda p: {"n": int(p.a_only.iloc[0] + p.b_only.iloc[0]), "p_value": K.binomial_two_sided(int(min(p.a_only.iloc[0], p.b_only.iloc[0])), int(p.a_only.iloc[0] + p.b_only.iloc[0]))})
+    return D.benjamini_hochberg(got.withColumn("p_value", C.finite(F.col("p_value"))).withColumn("family", F.lit("all")), ["family"], "p_value", ["rows", "rep_a", "rep_b"])
 
 
 TEST = "cls string, feature string, n_a long, n_b long, mean_a double, mean_b double, shapiro_p_a double, shapiro_p_b double, levene_p double, selected_test string, statistic double, p_value double, assumptions_hold boolean, difference double"
@@ -270,20 +275,35 @@ def _two_centroids(df: DataFrame, keys: list[str], first: str) -> DataFrame:
     return a.join(b, keys).select(*keys, C.cosine_distance(F.col("x"), F.col("y")).alias("d"))
 
 
-@query("t4_permutation_test", PERM)
-def t4(spark, d):
-    """Labels shuffled over units: distance of the groups' mean vectors per class, and its p."""
+#: The replicate counts of the reference's configuration; B is what the oracles' SQL can do.
+PERMUTATIONS, BOOTSTRAPS = 5000, 2000
+
+
+def _permuted_groups(spark: SparkSession, d: str, n: int) -> DataFrame:
     v = vectors(spark, d)
     cells = V.mean_vectors(v, ["cls", "unit"], F.col("v")).select("cls", "unit", "centroid").join(v.groupBy("cls", "unit").agg(F.first("status").alias("status")), ["cls", "unit"])
     observed = _two_centroids(cells.withColumn("first", F.col("status") == "L1"), ["cls"], "first")
     k = cells.groupBy("cls").agg(F.sum((F.col("status") == "L1").cast("long")).alias("k"))
-    both = R.replicates(spark, B).join(cells.select("cls", "unit"), F.lit(True))
+    both = R.replicates(spark, n).join(cells.select("cls", "unit"), F.lit(True))
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("b", "cls").orderBy(R.hashed(F.lit(7), F.col("b"), F.col("unit")), "unit"))
     drawn = both.withColumn("rank", rank).join(k, "cls").select("b", "cls", "unit", (F.col("rank") <= F.col("k")).alias("first"))
     permuted = _two_centroids(drawn.join(cells.select("cls", "unit", "centroid"), ["cls", "unit"]), ["b", "cls"], "first")
-    return R.permutation_p(observed, permuted, ["cls"], B)
+    return R.permutation_p(observed, permuted, ["cls"], n)
+
+
+@query("t4_permutation_test", PERM)
+def t4(spark, d):
+    """Labels shuffled over units: distance of the groups' mean vectors per class, and its p."""
+    return _permuted_groups(spark, d, B)
+
+
+@query("t4_adjusted_permutation_test")
+def t4_adjusted(spark, d):
+    """The same with all permutations and q-values over the classes."""
+    got = _permuted_groups(spark, d, PERMUTATIONS).withColumn("family", F.lit("all"))
+    return D.benjamini_hochberg(got, ["family"], "p_value", ["cls"]).drop("family")
 
 
 BOOT = f"""WITH {TOK_SQL}, um AS (SELECT unit, cls, avg(f1) AS m FROM tok GROUP BY ALL), o AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT unit FROM tok)),
@@ -416,7 +436,7 @@ def m7(spark, d):
 def m13(spark, d):
     """Interval of the group effect over units drawn with replacement, then its place against a region of equivalence."""
     s = M.collected(_stats(spark, d), 6)
-    draws = np.random.default_rng(42).multinomial(len(s.n), np.full(len(s.n), 1 / len(s.n)), size=100)
+    draws = np.random.default_rng(42).multinomial(len(s.n), np.full(len(s.n), 1 / len(s.n)), size=BOOTSTRAPS)
     got = M.bootstrap(s, [0, 1, 2], np.array([0.0, 1.0, 0.0]), draws)
     low, high = np.quantile(got, [0.025, 0.975])
     out = _frame(spark, [("l2", float(np.mean(got)), float(low), float(high))], "term string, mean double, ci_low double, ci_high double")

@@ -16,7 +16,7 @@ from ..operators import resample as R
 from ..operators import vectors as V
 from ..operators.layout import neighbour_layout
 from ..session import table
-from .inference import BOOT, CEN, COS, EUC, UNIT, W, _frame, _stats
+from .inference import BOOT, CEN, COS, EUC, PERMUTATIONS, UNIT, W, _frame, _stats
 from .roles import DIM_SQL, TOK_SQL, VEC_SQL, rounded, tokens, vectors
 
 QUERIES, ORACLES = {}, {}
@@ -203,7 +203,7 @@ def t6(spark, d):
     names = list(mats)
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
-            one = U.mantel(spark, mats[a], mats[b], 100, 5).select(F.lit(a).alias("rep_a"), F.lit(b).alias("rep_b"), "r", "p_value")
+            one = U.mantel(spark, mats[a], mats[b], PERMUTATIONS, 5).select(F.lit(a).alias("rep_a"), F.lit(b).alias("rep_b"), "r", "p_value")
             t = one if t is None else t.unionByName(one)
     return t
 
