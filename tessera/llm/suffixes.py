@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings by longest-previous-factor values in suffix order.
+"""Removal of long repeated byte strings by runs of equal strings in suffix order.
 
 A byte goes if some LENGTH-byte string that covers it also starts earlier in the corpus (smaller id, or same
 document and earlier start). No suffix array of the whole corpus is needed for that. Equal strings choose equal anchors
@@ -10,8 +10,8 @@ anchors are:
 2. Per anchor, equal regions are settled: all but the earliest copy go. Anchors left with several different
    regions ask for the text of one copy of each.
 3. The documents asked for give these regions, which are dealt out by anchor again.
-4. Per anchor the suffixes of its regions are sorted. A suffix's longest previous factor is its common prefix with the
-   previous or the next smaller position in that order; strings where it reaches LENGTH go.
+4. Per anchor the suffixes of its regions are sorted. Those with LENGTH equal bytes are neighbours in that order; of each such
+   run all but the least position go. These are the suffixes whose longest previous factor reaches LENGTH; its value isn't computed.
 5. The spans of each document are joined to it and cut out.
 
 Anchors that a sample of at most SAMPLE documents shows to be very common (a boilerplate line in ever new surroundings)
@@ -315,11 +315,11 @@ def suffix_ranks(text: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.
 
 
 def _repeats(anchor, key, at, left, size, text: bytes) -> np.ndarray:
-    """Spans of the strings with a longest previous factor of LENGTH or more within their anchor's regions.
+    """Spans of the strings of LENGTH bytes that also stand at a smaller position within their anchor's regions.
 
     Equal strings have their anchor at the same distance, so the regions are laid out with their anchors in one column, and a
-    string's matches start in its own column. There, strings that share LENGTH bytes stand next to each other in suffix order; one
-    of them has a smaller position before or behind it at that common prefix, unless it is the earliest itself."""
+    string's matches start in its own column. There, strings that share LENGTH bytes stand next to each other in suffix order, and
+    all but the one at the least position go."""
     into = np.lexsort((at, key, anchor))
     begin = np.r_[0, np.cumsum(size.astype(np.int64))[:-1]]
     anchor, key, at, left, size, begin = (x[into] for x in (anchor, key, at.astype(np.int64), left.astype(np.int64), size.astype(np.int64), begin))
