@@ -10,13 +10,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from .classify import adjusted_rand
 from .describe import average_ranks
-from .resample import hashed, replicates
+from .resample import permutation_ranks
 from .vectors import mean_vectors
 
 
@@ -97,13 +97,14 @@ def unit_clusters(df: DataFrame, unit: str, cls: str, vector: str, truth: str, k
     return adjusted_rand(got.join(known, unit), "cluster", truth)
 
 
-def mantel(spark: SparkSession, d1: DataFrame, d2: DataFrame, n: int, seed: int) -> DataFrame:
-    """(r, p_value) of two matrices in long form (a, b, d; both directions): rank correlation over pairs, one-sided against relabelled copies."""
+def mantel(d1: DataFrame, d2: DataFrame, n: int, seed: int) -> DataFrame:
+    """(r, p_value) of two matrices in long form (a, b, d; both directions): rank correlation over pairs, one-sided against relabelled copies.
+
+    The labels are classes; a replicate's pairs of them are one task's work."""
     labels = d1.select("a").distinct()
     places = labels.withColumn("place", F.row_number().over(Window.orderBy("a")))
-    drawn = replicates(spark, n).join(labels, F.lit(True))
-    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(hashed(F.lit(seed), F.col("b"), F.col("a")), "a")))
-    own = drawn.select("b", "a", "place").unionByName(places.select(F.lit(-1).cast("long").alias("b"), "a", "place"))
+    drawn = permutation_ranks(labels, [], "a", n, seed)
+    own = drawn.select("b", "a", F.col("rank").alias("place")).unionByName(places.select(F.lit(-1).cast("long").alias("b"), "a", "place"))
     to = own.withColumnRenamed("a", "src").join(places.withColumnRenamed("a", "dst"), "place").select(F.col("b").alias("rep"), "src", "dst")
     x, y = to.toDF("rep", "sa", "da"), to.toDF("rep", "sb", "db")
     first = d1.where("a < b").toDF("da", "db", "u")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 QUARTERS = [0.25, 0.5, 0.75]
 
 
@@ -91,29 +93,83 @@ def z_scores(df: DataFrame, features: list[str], population: bool = False) -> Da
     return out.select(*df.columns, *[f"{x}_z" for x in features])
 
 
+def buckets(spark: SparkSession) -> int:
+    """As many buckets as there are shuffle partitions, up to 200."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 200)
+
+
+def value_cells(df: DataFrame, over: list[str], x: str, buckets: int = 1) -> DataFrame:
+    """One row per group and different value of x: n, before (the group's rows with smaller values, nulls being least), size, and _b.
+
+    With one bucket a task holds a group's different values. With more, values are dealt to buckets by approximate quantiles, which are
+    literals by then, and a bucket's place follows from the sizes of those before it, so that a large group is many tasks' work."""
+    cells = df.groupBy(*over, x).agg(F.count("*").alias("n"))
+    bounds = (df.agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else None) or []
+    known = F.array(*[F.lit(b) for b in sorted(set(bounds))])
+    cells = cells.withColumn("_b", F.coalesce(F.size(F.filter(known, lambda b: b <= F.col(x))), F.lit(0)) if bounds else F.lit(0))
+    group, rows = Window.partitionBy(*over), lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    per = cells.groupBy(*over, "_b").agg(F.sum("n").alias("_n"))
+    per = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(over)], F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(rows(group.orderBy("_b"))), F.lit(0)).alias("_start"), F.sum("_n").over(group).alias("size"))
+    same = F.col("_b") == F.col("_bb")
+    for i, k in enumerate(over):
+        same = same & cells[k].eqNullSafe(F.col(f"_k{i}"))
+    placed = cells.join(per, same)
+    inside = F.coalesce(F.sum("n").over(rows(Window.partitionBy(*over, "_b").orderBy(x))), F.lit(0))
+    return placed.select(*over, x, "_b", "n", (F.col("_start") + inside).alias("before"), "size")
+
+
+def _joined(df: DataFrame, cells: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """df with the column `value` of cells, by keys that may be null."""
+    other, same = cells.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], value), F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(F.col(f"_c{i}"))
+    return df.join(other, same, "left").select(*df.columns, value)
+
+
 def benjamini_hochberg(df: DataFrame, family: list[str], p: str, tie: list[str], alpha: float = 0.05) -> DataFrame:
-    """Adds q_value_bh and significant_bh; missing p-values stay missing and aren't counted."""
+    """Adds q_value_bh and significant_bh; missing p-values stay missing and aren't counted. A family is one task's work, linear in its rows."""
     rows = df.where(F.col(p).isNotNull())
     w = Window.partitionBy(*family)
     ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(p, *tie))).withColumn("_m", F.count("*").over(w))
     step = ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r"))
-    low = F.min("_q").over(w.orderBy(F.col("_r")).rowsBetween(0, Window.unboundedFollowing))
+    low = F.min("_q").over(w.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
     done = step.withColumn("q_value_bh", F.least(low, F.lit(1.0))).drop("_r", "_m", "_q")
     out = done.unionByName(df.where(F.col(p).isNull()).withColumn("q_value_bh", F.lit(None).cast("double")))
     return out.withColumn("significant_bh", F.coalesce(F.col("q_value_bh") <= alpha, F.lit(False)))
 
 
+def benjamini_hochberg_by_value(df: DataFrame, family: list[str], p: str, alpha: float = 0.05, buckets: int = 1) -> DataFrame:
+    """The same for families of any size; p must be stored, not computed anew by each reading of the plan.
+
+    Equal p-values of a family share the q-value of the last of them, so the work is done per different value, in buckets as in value_cells()."""
+    cells = value_cells(df.where(F.col(p).isNotNull()), family, p, buckets)
+    step = cells.withColumn("_q", F.col(p) * F.col("size") / (F.col("before") + F.col("n")))
+    inside = F.min("_q").over(Window.partitionBy(*family, "_b").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    later = F.min("_m").over(Window.partitionBy(*family).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
+    per = step.groupBy(*family, "_b").agg(F.min("_q").alias("_m")).withColumn("_later", later).drop("_m")
+    step = _joined(step.withColumn("_low", inside), per, [*family, "_b"], "_later")
+    q = step.withColumn("q_value_bh", F.least("_low", "_later", F.lit(1.0)))
+    return _joined(df, q, [*family, p], "q_value_bh").withColumn("significant_bh", F.coalesce(F.col("q_value_bh") <= alpha, F.lit(False)))
+
+
 def average_ranks(df: DataFrame, x: str, over: list[str], name: str) -> DataFrame:
-    """Ranks from 1, equal values sharing their mean rank."""
+    """Ranks from 1, equal values sharing their mean rank. A group is one task's work."""
     w = Window.partitionBy(*over)
     return df.withColumn(name, F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*over, x)) - 1) / 2)
 
 
+def average_ranks_by_value(df: DataFrame, x: str, over: list[str], name: str, buckets: int = 1) -> DataFrame:
+    """The same for groups of any size, from the counts per value; x must be stored. Buckets as in value_cells()."""
+    cells = value_cells(df, over, x, buckets).withColumn(name, F.col("before") + (F.col("n") + 1) / 2)
+    return _joined(df, cells, [*over, x], name)
+
+
 def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Ids 0..n-1 in the given order, without one task taking all rows: places within ranges, shifted by the ranges' sizes."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.monotonically_increasing_id())
-    part, place = F.shiftright("_p", 33), F.col("_p").bitwiseAND(F.lit((1 << 33) - 1))
-    own = ranged.withColumn("_part", part).withColumn("_place", place)
+    """Ids 0..n-1 in the given order, without one task taking all rows: places within ranges, shifted by the ranges' sizes.
+
+    The ranged rows are written once, since ranges come from samples and two readings of the plan might cut them differently."""
+    own = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.monotonically_increasing_id())
+    own = materialize(own.withColumn("_part", F.shiftright("_p", 33)).withColumn("_place", F.col("_p").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p"), "ranged")
     sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select(F.col("_part").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return own.join(before, own["_part"] == before["_q"]).withColumn(name, F.col("_place") + F.col("_before")).select(*df.columns, name)

@@ -5,29 +5,33 @@ Randomness is a hash of seed, replicate and unit, so any engine gets the same dr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .describe import dense_ids
+
 
 def hashed(*parts: Column) -> Column:
     """A number below 2**32 from the MD5 of the parts joined by hyphens."""
     return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
-def replicates(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).withColumnRenamed("id", "b")
+def replicated(df: DataFrame, n: int, name: str = "b") -> DataFrame:
+    """Every row once per replicate, made within its own task."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
 
-def permutation_ranks(units: DataFrame, unit: str, spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """(b, unit, rank): a random order of the units in each replicate. units has one row per unit."""
-    both = replicates(spark, n).join(units.select(unit), F.lit(True))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(hashed(F.lit(seed), F.col("b"), F.col(unit)), unit)))
+def permutation_ranks(units: DataFrame, over: list[str], unit: str, n: int, seed: int) -> DataFrame:
+    """(over, unit, b, rank): a random order of the units in each replicate. units has one row per (over, unit)."""
+    w = Window.partitionBy("b", *over).orderBy(hashed(F.lit(seed), F.col("b"), F.col(unit)), unit)
+    return replicated(units.select(*over, unit), n).withColumn("rank", F.row_number().over(w))
 
 
-def bootstrap_weights(units: DataFrame, unit: str, spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """(b, unit, times): units drawn with replacement, as multiplicities; no data are copied."""
-    order = units.select(unit, (F.row_number().over(Window.orderBy(unit)) - 1).alias("place"), F.count("*").over(Window.partitionBy()).alias("size"))
-    draws = replicates(spark, n).join(order.select(F.col("place").alias("slot"), "size"), F.lit(True))
+def bootstrap_weights(units: DataFrame, unit: str, n: int, seed: int) -> DataFrame:
+    """(b, unit, times): units drawn with replacement, as multiplicities; no data are copied. units has one row per unit."""
+    order = dense_ids(units.select(unit), [unit], "place")
+    size = order.agg(F.count("*").alias("size"))
+    draws = replicated(order.select(F.col("place").alias("slot")), n).crossJoin(F.broadcast(size))
     picked = draws.select("b", F.pmod(hashed(F.lit(seed), F.col("b"), F.col("slot")), F.col("size")).alias("place"))
     counts = picked.groupBy("b", "place").agg(F.count("*").alias("times"))
     return counts.join(order, "place").select("b", unit, "times")
@@ -49,3 +53,20 @@ def classify_rope(low: Column, high: Column, rope_low: Column, rope_high: Column
     """Where a confidence interval lies against a region of practical equivalence."""
     odd = low.isNull() | high.isNull() | F.isnan(low) | F.isnan(high)
     return F.when(odd, "undefined").when((low >= rope_low) & (high <= rope_high), "equivalent").when((high < rope_low) | (low > rope_high), "non_equivalent").otherwise("indeterminate")
+
+
+def sampled_pairs(df: DataFrame, key: str, cls: str, within: int, between: int, seed: int, tries: int = 50) -> DataFrame:
+    """(x, y, same): hashed draws of pairs of rows. Within each class min(within, number of its pairs) draws that aren't a row with
+    itself, and `between` draws of rows of different classes; as many tries as `tries` times the wanted number. df: one row per key."""
+    ids = dense_ids(df.select(cls, key), [cls, key], "place")
+    sizes = ids.groupBy(cls).agg(F.min("place").alias("at"), F.count("*").alias("n"))
+    pick = lambda size, *parts: F.pmod(hashed(F.lit(seed), *parts), size)
+    own = replicated(sizes.where("n > 1"), within * tries, "k").where(F.col("k") < F.least(F.lit(within), F.col("n") * (F.col("n") - 1) / 2) * tries)
+    own = own.withColumn("i", pick(F.col("n"), F.lit("a"), F.col(cls), F.col("k"))).withColumn("j", pick(F.col("n"), F.lit("b"), F.col(cls), F.col("k"))).where("i <> j")
+    own = own.withColumn("r", F.row_number().over(Window.partitionBy(cls).orderBy("k"))).where(F.col("r") <= F.least(F.lit(within), F.col("n") * (F.col("n") - 1) / 2))
+    total = sizes.agg(F.sum("n").alias("total"))
+    far = replicated(total, between * tries, "k").select("k", pick(F.col("total"), F.lit("c"), F.col("k")).alias("i"), pick(F.col("total"), F.lit("d"), F.col("k")).alias("j"))
+    a, b = (ids.select(F.col("place").alias(p), F.col(cls).alias(f"c{p}"), F.col(key).alias(k)) for p, k in (("i", "x"), ("j", "y")))
+    far = far.join(a, "i").join(b, "j").where("ci <> cj").orderBy("k").limit(between).select("x", "y", F.lit(False).alias("same"))
+    near = own.select((F.col("at") + F.col("i")).alias("i"), (F.col("at") + F.col("j")).alias("j")).join(a, "i").join(b, "j").select("x", "y", F.lit(True).alias("same"))
+    return near.unionByName(far)

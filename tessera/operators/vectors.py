@@ -16,6 +16,13 @@ def mean_vectors(df: DataFrame, keys: list[str], vector: Column, name: str = "ce
     return sums.select(*keys, F.transform("_v", lambda s: s["m"]).alias(name), "n")
 
 
+def vector_sums(df: DataFrame, keys: list[str], vector: str, width: int, weight: Column | None = None, name: str = "total") -> DataFrame:
+    """Sum of vectors of a known width per group, one plain sum per component, so that rows are neither exploded nor gathered."""
+    w = F.lit(1.0) if weight is None else weight
+    got = df.groupBy(*keys).agg(*[F.sum(F.col(vector)[i] * w).alias(f"_s{i}") for i in range(width)])
+    return got.select(*keys, F.array(*[f"_s{i}" for i in range(width)]).alias(name))
+
+
 def pairs(centroids: DataFrame, label: str, vector: str, distance, upper: bool = True) -> DataFrame:
     """Distances of all pairs of labels. centroids has one row per class, so this is a join of a handful of rows."""
     a = centroids.select(F.col(label).alias("a"), F.col(vector).alias("_x"))

@@ -18,6 +18,7 @@ from ..operators import lme as M
 from ..operators import resample as R
 from ..operators import vectors as V
 from ..session import table
+from ..storage import materialize
 from .roles import CLASSES, DIM_SQL, TOK_SQL, VEC_SQL, rounded, tokens, vectors
 
 QUERIES, ORACLES = {}, {}
@@ -125,21 +126,24 @@ def d4(spark, d):
     return V.mean_pair_cosine(c, ["cls"], "centroid").select("cls", "mean_distance")
 
 
-@query("d1_sampled_within_between", f"""{UNIT}, ids AS (SELECT vec_id, cls, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS size FROM vec),
- dr AS (SELECT k, ('0x' || substr(md5('42-a-' || k), 1, 8))::BIGINT % (SELECT max(size) FROM ids) AS i, ('0x' || substr(md5('42-b-' || k), 1, 8))::BIGINT % (SELECT max(size) FROM ids) AS j FROM range(2000) t(k)),
- pr AS (SELECT k, a.vec_id AS x, b.vec_id AS y, a.cls = b.cls AS same FROM dr JOIN ids a ON i = a.place JOIN ids b ON j = b.place WHERE i <> j),
- ds AS (SELECT k, any_value(same) AS same, 1 - sum(p.y * q.y) AS d FROM pr JOIN u p ON p.vec_id = pr.x JOIN u q ON q.vec_id = pr.y AND p.dim = q.dim GROUP BY k)
- SELECT same, count(*) AS n, round(avg(d), 6) AS mean_distance FROM ds GROUP BY same""")
+WITHIN, BETWEEN = 500, 5000
+
+
+@query("d1_sampled_within_between", f"""{UNIT}, ids AS (SELECT vec_id, cls, row_number() OVER (ORDER BY cls, vec_id) - 1 AS place FROM vec), sz AS (SELECT cls, min(place) AS lo, count(*) AS n, least({WITHIN}, n * (n - 1) / 2) AS k0 FROM ids GROUP BY cls),
+ ow AS (SELECT sz.*, k, ('0x' || substr(md5('42-a-' || cls || '-' || k), 1, 8))::BIGINT % n AS i, ('0x' || substr(md5('42-b-' || cls || '-' || k), 1, 8))::BIGINT % n AS j FROM sz, range({WITHIN * 50}) t(k) WHERE n > 1 AND k < k0 * 50),
+ ok AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY k) AS r FROM ow WHERE i <> j), tt AS (SELECT sum(n)::BIGINT AS total FROM sz),
+ fr AS (SELECT k, ('0x' || substr(md5('42-c-' || k), 1, 8))::BIGINT % total AS i, ('0x' || substr(md5('42-d-' || k), 1, 8))::BIGINT % total AS j FROM range({BETWEEN * 50}) t(k), tt),
+ pr AS (SELECT 'w' || q.cls || '-' || q.k AS k, a.vec_id AS x, b.vec_id AS y, true AS same FROM (SELECT cls, k, lo + i AS i, lo + j AS j FROM ok WHERE r <= k0) q JOIN ids a ON q.i = a.place JOIN ids b ON q.j = b.place
+  UNION ALL (SELECT 'b' || fr.k, a.vec_id, b.vec_id, false FROM fr JOIN ids a ON fr.i = a.place JOIN ids b ON fr.j = b.place WHERE a.cls <> b.cls ORDER BY fr.k LIMIT {BETWEEN})),
+ ds AS (SELECT k, any_value(same) AS same, sum(p.y * q.y) AS s FROM pr JOIN u p ON p.vec_id = pr.x JOIN u q ON q.vec_id = pr.y AND p.dim = q.dim GROUP BY k)
+ SELECT sum(same::INT)::BIGINT AS n_within, sum((NOT same)::INT)::BIGINT AS n_between, round(avg(s) FILTER (same), 6) AS within, round(avg(s) FILTER (NOT same), 6) AS between, round(avg(s) FILTER (same) / avg(s) FILTER (NOT same), 4) AS ratio FROM ds""")
 def d1(spark, d):
-    """Mean cosine distance of 2000 hashed draws of pairs, of the same class and of different ones."""
+    """Mean cosine of hashed draws of pairs, of the same class and of different ones, and their ratio."""
     v = V.unit_vectors(vectors(spark, d), "v").select("vec_id", "cls", "v")
-    ids = D.dense_ids(v.select("vec_id", "cls"), ["vec_id"], "place").join(v.select("vec_id", "v"), "vec_id")
-    n = v.count()
-    draw = lambda s: F.pmod(R.hashed(F.lit(42), F.lit(s), F.col("b")), F.lit(n))
-    p = R.replicates(spark, 2000).select("b", draw("a").alias("i"), draw("b").alias("j")).where("i <> j")
-    a, b = (ids.select(F.col("place").alias(k), F.col("cls").alias(f"c{k}"), F.col("v").alias(f"v{k}")) for k in ("i", "j"))
-    both = p.join(a, "i").join(b, "j").select((F.col("ci") == F.col("cj")).alias("same"), (1 - C.dot(F.col("vi"), F.col("vj"))).alias("d"))
-    return both.groupBy("same").agg(F.count("*").alias("n"), F.avg("d").alias("mean_distance"))
+    p = R.sampled_pairs(v, "vec_id", "cls", WITHIN, BETWEEN, 42)
+    both = p.join(v.select(F.col("vec_id").alias("x"), F.col("v").alias("vx")), "x").join(v.select(F.col("vec_id").alias("y"), F.col("v").alias("vy")), "y").select("same", C.dot(F.col("vx"), F.col("vy")).alias("s"))
+    near, far = F.avg(F.when(F.col("same"), F.col("s"))), F.avg(F.when(~F.col("same"), F.col("s")))
+    return both.agg(F.sum(F.col("same").cast("long")).alias("n_within"), F.sum((~F.col("same")).cast("long")).alias("n_between"), near.alias("within"), far.alias("between"), F.round(F.when(far != 0, near / far), 4).alias("ratio"))
 
 
 LOSO = f"""{W}, tot AS (SELECT cls, dim, sum(x) AS s, count(*) AS n FROM dims GROUP BY ALL), own AS (SELECT unit, cls, dim, sum(x) AS s, count(*) AS n FROM dims GROUP BY ALL), un AS (SELECT DISTINCT unit FROM vec),
@@ -260,78 +264,103 @@ def t11(spark, d):
     return u.groupBy("cls", "status").applyInPandas(run, "cls string, status string, f1 double, theoretical double")
 
 
-B = 200
+#: The replicate counts of the permutation tests and of the bootstraps.
+PERMUTATIONS, BOOTSTRAPS = 5000, 2000
 PERM = f"""{W}, cen AS (SELECT cls, unit, dim, avg(x) AS m FROM dims GROUP BY ALL), un AS (SELECT cls, unit, any_value(status) AS status FROM vec GROUP BY ALL),
- pr AS (SELECT b, cls, unit, row_number() OVER (PARTITION BY b, cls ORDER BY ('0x' || substr(md5('7-' || b || '-' || unit), 1, 8))::BIGINT, unit) AS rank FROM range({B}) t(b), un),
+ pr AS (SELECT b, cls, unit, row_number() OVER (PARTITION BY b, cls ORDER BY ('0x' || substr(md5('7-' || b || '-' || unit), 1, 8))::BIGINT, unit) AS rank FROM range({PERMUTATIONS}) t(b), un),
  k AS (SELECT cls, sum((status = 'L1')::INT) AS k FROM un GROUP BY cls), g AS (SELECT pr.b, pr.cls, pr.unit, rank <= k AS first FROM pr JOIN k USING (cls)),
- mm AS (SELECT b, g.cls, first, dim, avg(m) AS m FROM g JOIN cen USING (cls, unit) GROUP BY ALL), pd AS (SELECT p.b, p.cls, {COS} AS d FROM mm p JOIN mm q ON p.b = q.b AND p.cls = q.cls AND p.dim = q.dim AND p.first AND NOT q.first GROUP BY ALL),
- om AS (SELECT cls, status = 'L1' AS first, dim, avg(m) AS m FROM un JOIN cen USING (cls, unit) GROUP BY ALL), ob AS (SELECT p.cls, {COS} AS o FROM om p JOIN om q ON p.cls = q.cls AND p.dim = q.dim AND p.first AND NOT q.first GROUP BY ALL)
- SELECT cls, round(any_value(o), 6) AS observed, round((1 + sum((d >= o)::INT)) / ({B} + 1.0), 6) AS p_value FROM ob JOIN pd USING (cls) GROUP BY cls"""
-
-
-def _two_centroids(df: DataFrame, keys: list[str], first: str) -> DataFrame:
-    c = V.mean_vectors(df, [*keys, first], F.col("centroid"), "m")
-    a, b = (c.where(F.col(first) == x).select(*keys, F.col("m").alias(n)) for x, n in ((True, "x"), (False, "y")))
-    return a.join(b, keys).select(*keys, C.cosine_distance(F.col("x"), F.col("y")).alias("d"))
-
-
-#: The replicate counts of the reference's configuration; B is what the oracles' SQL can do.
-PERMUTATIONS, BOOTSTRAPS = 5000, 2000
-
-
-def _permuted_groups(spark: SparkSession, d: str, n: int) -> DataFrame:
-    v = vectors(spark, d)
-    cells = V.mean_vectors(v, ["cls", "unit"], F.col("v")).select("cls", "unit", "centroid").join(v.groupBy("cls", "unit").agg(F.first("status").alias("status")), ["cls", "unit"])
-    observed = _two_centroids(cells.withColumn("first", F.col("status") == "L1"), ["cls"], "first")
-    k = cells.groupBy("cls").agg(F.sum((F.col("status") == "L1").cast("long")).alias("k"))
-    both = R.replicates(spark, n).join(cells.select("cls", "unit"), F.lit(True))
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("b", "cls").orderBy(R.hashed(F.lit(7), F.col("b"), F.col("unit")), "unit"))
-    drawn = both.withColumn("rank", rank).join(k, "cls").select("b", "cls", "unit", (F.col("rank") <= F.col("k")).alias("first"))
-    permuted = _two_centroids(drawn.join(cells.select("cls", "unit", "centroid"), ["cls", "unit"]), ["b", "cls"], "first")
-    return R.permutation_p(observed, permuted, ["cls"], n)
+ mm AS (SELECT b, g.cls, dim, avg(m) FILTER (first) AS p, avg(m) FILTER (NOT first) AS q FROM g JOIN cen USING (cls, unit) GROUP BY ALL), pd AS (SELECT b, cls, round(1 - sum(p * q) / (sqrt(sum(p * p)) * sqrt(sum(q * q))), 9) AS d FROM mm GROUP BY ALL),
+ om AS (SELECT cls, dim, avg(m) FILTER (status = 'L1') AS p, avg(m) FILTER (status <> 'L1') AS q FROM un JOIN cen USING (cls, unit) GROUP BY ALL), ob AS (SELECT cls, round(1 - sum(p * q) / (sqrt(sum(p * p)) * sqrt(sum(q * q))), 9) AS o FROM om GROUP BY ALL),
+ pv AS (SELECT cls, any_value(o) AS observed, (1 + sum((d >= o)::INT)) / ({PERMUTATIONS} + 1.0) AS p FROM ob JOIN pd USING (cls) WHERE o IS NOT NULL GROUP BY cls),
+ rk AS (SELECT *, row_number() OVER (ORDER BY p, cls) AS r, count(*) OVER () AS m FROM pv), q AS (SELECT *, least(min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS q FROM rk)
+ SELECT cls, round(observed, 6) AS observed, round(p, 6) AS p_value, round(q, 6) AS q_value_bh, q <= 0.05 AS significant_bh FROM q"""
 
 
 @query("t4_permutation_test", PERM)
 def t4(spark, d):
-    """Labels shuffled over units: distance of the groups' mean vectors per class, and its p."""
-    return _permuted_groups(spark, d, B)
+    """Labels shuffled over units: distance of the groups' mean vectors per class, its p, and q over the classes.
 
-
-@query("t4_adjusted_permutation_test")
-def t4_adjusted(spark, d):
-    """The same with all permutations and q-values over the classes."""
-    got = _permuted_groups(spark, d, PERMUTATIONS).withColumn("family", F.lit("all"))
+    Both groups' vectors follow from the first group's sum and the class's, and a cosine doesn't mind the counts."""
+    v = vectors(spark, d)
+    cells = V.mean_vectors(v, ["cls", "unit"], F.col("v")).select("cls", "unit", "centroid").join(v.groupBy("cls", "unit").agg(F.first("status").alias("status")), ["cls", "unit"])
+    cells = materialize(cells, "cells")
+    width = cells.agg(F.max(F.size("centroid"))).first()[0] or 0
+    total = V.vector_sums(cells, ["cls"], "centroid", width).join(cells.groupBy("cls").agg(F.sum((F.col("status") == "L1").cast("long")).alias("k"), F.count("*").alias("size")), "cls")
+
+    def distances(first: DataFrame, keys: list[str]) -> DataFrame:
+        own = V.vector_sums(first, keys, "centroid", width, name="one").join(total.where("k between 1 and size - 1"), "cls")
+        rest = F.zip_with("total", "one", lambda t, x: t - x)
+        return own.select(*keys, F.round(C.cosine_distance(F.col("one"), rest), 9).alias("d")).where("d is not null")
+
+    ranks = R.permutation_ranks(cells, ["cls"], "unit", PERMUTATIONS, 7).join(total.select("cls", "k"), "cls").where("rank <= k")
+    permuted = distances(ranks.select("b", "cls", "unit").join(cells.select("cls", "unit", "centroid"), ["cls", "unit"]), ["b", "cls"])
+    got = R.permutation_p(distances(cells.where("status = 'L1'"), ["cls"]), permuted, ["cls"], PERMUTATIONS).withColumn("family", F.lit("all"))
     return D.benjamini_hochberg(got, ["family"], "p_value", ["cls"]).drop("family")
 
 
-BOOT = f"""WITH {TOK_SQL}, um AS (SELECT unit, cls, avg(f1) AS m FROM tok GROUP BY ALL), o AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT unit FROM tok)),
- dr AS (SELECT b, o.place AS slot, ('0x' || substr(md5('11-' || b || '-' || o.place), 1, 8))::BIGINT % size AS place FROM range({B}) t(b), o), w AS (SELECT b, unit, count(*) AS times FROM dr JOIN o USING (place) GROUP BY ALL),
- c AS (SELECT b, cls, sum(times * m) / sum(times) AS m FROM w JOIN um USING (unit) GROUP BY ALL), p AS (SELECT p.cls AS a, q.cls AS b, abs(p.m - q.m) AS d FROM c p JOIN c q ON p.b = q.b AND p.cls < q.cls)
- SELECT a, b, count(*) AS n_valid, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high FROM p GROUP BY a, b"""
+BOOT = f"""{TOK_SQL}, um AS (SELECT unit, cls, avg(f1) AS x, avg(f2) AS y FROM tok WHERE f1 IS NOT NULL AND f2 IS NOT NULL GROUP BY ALL), o AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT unit FROM um)),
+ dr AS (SELECT b, o.place AS slot, ('0x' || substr(md5('11-' || b || '-' || o.place), 1, 8))::BIGINT % size AS place FROM range({BOOTSTRAPS}) t(b), o), w AS (SELECT b, unit, count(*) AS times FROM dr JOIN o USING (place) GROUP BY ALL),
+ c AS (SELECT b, cls, sum(times) AS n, sum(times * x) AS sx, sum(times * y) AS sy, sum(times * x * x) AS qx, sum(times * x * y) AS qz, sum(times * y * y) AS qy FROM w JOIN um USING (unit) GROUP BY ALL),
+ p AS (SELECT p.cls AS a, q.cls AS b, p.sx / p.n - q.sx / q.n AS u, p.sy / p.n - q.sy / q.n AS v, (p.qx - p.sx * p.sx / p.n + q.qx - q.sx * q.sx / q.n) / (p.n + q.n - 1) AS xx,
+  (p.qz - p.sx * p.sy / p.n + q.qz - q.sx * q.sy / q.n) / (p.n + q.n - 1) AS xy, (p.qy - p.sy * p.sy / p.n + q.qy - q.sy * q.sy / q.n) / (p.n + q.n - 1) AS yy FROM c p JOIN c q ON p.b = q.b AND p.cls < q.cls),
+ r AS (SELECT *, xx + 1e-6 * (xx + yy) / 2 AS k, yy + 1e-6 * (xx + yy) / 2 AS l FROM p),
+ e AS (SELECT a, b, 'euclidean' AS measure, sqrt(u * u + v * v) AS d FROM r UNION ALL SELECT a, b, 'mahalanobis', sqrt(greatest((u * u * l - 2 * u * v * xy + v * v * k) / (k * l - xy * xy), 0)) FROM r WHERE k * l - xy * xy > 0)
+ SELECT a, b, measure, count(*) AS n_valid, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high FROM e GROUP BY ALL"""
 
 
-@query("t7_bootstrap_distances", BOOT)
+@query("t7_bootstrap_distances", "WITH " + BOOT)
 def t7(spark, d):
-    """Intervals of class distances over units drawn with replacement, as weights on the units' means."""
-    um = D.cell_means(tokens(spark, d), ["unit", "cls"], ["f1"])
-    w = R.bootstrap_weights(um.select("unit").distinct(), "unit", spark, B, 11)
-    c = w.join(um, "unit").groupBy("b", "cls").agg((F.sum(F.col("times") * F.col("f1")) / F.sum("times")).alias("m"))
+    """Intervals of class distances over units drawn with replacement, as weights on the units' means; the covariance of the
+    Mahalanobis distance is that of the pair's own unit means, estimated anew in each replicate."""
+    um = tokens(spark, d).na.drop(subset=["f1", "f2"]).groupBy("unit", "cls").agg(F.avg("f1").alias("x"), F.avg("f2").alias("y"))
+    um = materialize(um, "unit-means")
+    w = R.bootstrap_weights(um.select("unit").distinct(), "unit", BOOTSTRAPS, 11)
+    t, x, y = F.col("times"), F.col("x"), F.col("y")
+    sums = {"n": t, "sx": t * x, "sy": t * y, "qx": t * x * x, "qz": t * x * y, "qy": t * y * y}
+    c = materialize(w.join(um, "unit").groupBy("b", "cls").agg(*[F.sum(e).alias(k) for k, e in sums.items()]), "replicates")
+    p, q = (c.select(F.col("b").alias("r"), F.col("cls").alias(s), *[F.col(k).alias(f"{k}_{s}") for k in sums]) for s in "ab")
+    both = p.join(q, "r").where("a < b")
+    scatter = lambda s, m, n: F.col(f"{s}_a") - F.col(f"{m}_a") * F.col(f"{n}_a") / F.col("n_a") + F.col(f"{s}_b") - F.col(f"{m}_b") * F.col(f"{n}_b") / F.col("n_b")
+    gap = lambda m: F.col(f"{m}_a") / F.col("n_a") - F.col(f"{m}_b") / F.col("n_b")
+    free = F.col("n_a") + F.col("n_b") - 1
+    cov = both.select("a", "b", gap("sx").alias("u"), gap("sy").alias("v"), (scatter("qx", "sx", "sx") / free).alias("xx"), (scatter("qz", "sx", "sy") / free).alias("xy"), (scatter("qy", "sy", "sy") / free).alias("yy"))
+    ridge = 1e-6 * (F.col("xx") + F.col("yy")) / 2
+    u, v, k, m = F.col("u"), F.col("v"), F.col("xx") + ridge, F.col("yy") + ridge
+    det = k * m - F.col("xy") * F.col("xy")
+    square = F.when(det > 0, F.greatest((u * u * m - 2 * u * v * F.col("xy") + v * v * k) / det, F.lit(0.0)))
+    made = F.array(F.struct(F.lit("euclidean").alias("measure"), F.sqrt(u * u + v * v).alias("d")), F.struct(F.lit("mahalanobis").alias("measure"), F.sqrt(square).alias("d")))
+    return R.percentile_interval(cov.select("a", "b", F.inline(made)).where("d is not null"), ["a", "b", "measure"], "d")
+
+
+VBOOT = f"""{W}, pick AS (SELECT DISTINCT cls FROM vec ORDER BY cls LIMIT 3), um AS (SELECT cls, unit, dim, avg(x) AS m FROM dims WHERE cls IN (SELECT cls FROM pick) GROUP BY ALL), o AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT unit FROM um)),
+ dr AS (SELECT b, o.place AS slot, ('0x' || substr(md5('11-' || b || '-' || o.place), 1, 8))::BIGINT % size AS place FROM range({BOOTSTRAPS}) t(b), o), w AS (SELECT b, unit, count(*) AS times FROM dr JOIN o USING (place) GROUP BY ALL),
+ c AS (SELECT b, cls, dim, sum(times * m) AS m FROM w JOIN um USING (unit) GROUP BY ALL), d AS (SELECT p.cls AS a, q.cls AS c, {COS} AS d FROM c p JOIN c q ON p.b = q.b AND p.dim = q.dim AND p.cls < q.cls GROUP BY p.b, p.cls, q.cls)
+ SELECT a, c AS b, count(*) AS n_valid, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high FROM d GROUP BY a, c"""
+
+
+@query("t7_bootstrap_cosines", VBOOT)
+def t7_cosines(spark, d):
+    """The same draws for vectors: intervals of the cosine distances between the first three classes."""
+    v = vectors(spark, d)
+    few = v.select("cls").distinct().orderBy("cls").limit(3)
+    um = materialize(V.mean_vectors(v.join(F.broadcast(few), "cls"), ["cls", "unit"], F.col("v")).select("cls", "unit", "centroid"), "unit-means")
+    width = um.agg(F.max(F.size("centroid"))).first()[0] or 0
+    w = R.bootstrap_weights(um.select("unit").distinct(), "unit", BOOTSTRAPS, 11)
+    c = materialize(V.vector_sums(w.join(um, "unit"), ["b", "cls"], "centroid", width, F.col("times")), "replicates")
     p, q = c.toDF("r", "a", "x"), c.toDF("r", "b", "y")
-    pairs = p.join(q, "r").where("a < b").select("a", "b", F.abs(F.col("x") - F.col("y")).alias("d"))
+    pairs = p.join(q, "r").where("a < b").select("a", "b", C.cosine_distance(F.col("x"), F.col("y")).alias("d")).where("d is not null")
     return R.percentile_interval(pairs, ["a", "b"], "d")
 
 
 MANTEL = f"""WITH {VEC_SQL}, {DIM_SQL}, c1 AS (SELECT cls, dim, avg(x) AS m FROM dims WHERE dim <= 32 GROUP BY ALL), c2 AS (SELECT cls, dim, avg(x) AS m FROM dims WHERE dim > 32 GROUP BY ALL),
  d1 AS (SELECT p.cls AS a, q.cls AS b, round({EUC}, 9) AS d FROM c1 p JOIN c1 q ON p.dim = q.dim AND p.cls <> q.cls GROUP BY ALL), d2 AS (SELECT p.cls AS a, q.cls AS b, round({EUC}, 9) AS d FROM c2 p JOIN c2 q ON p.dim = q.dim AND p.cls <> q.cls GROUP BY ALL),
  lb AS (SELECT DISTINCT cls FROM vec), pl AS (SELECT cls, row_number() OVER (ORDER BY cls) AS place FROM lb),
- pm AS (SELECT b, cls, row_number() OVER (PARTITION BY b ORDER BY ('0x' || substr(md5('5-' || b || '-' || cls), 1, 8))::BIGINT, cls) AS place FROM range({B}) t(b), lb UNION ALL SELECT -1, cls, place FROM pl),
+ pm AS (SELECT b, cls, row_number() OVER (PARTITION BY b ORDER BY ('0x' || substr(md5('5-' || b || '-' || cls), 1, 8))::BIGINT, cls) AS place FROM range({PERMUTATIONS}) t(b), lb UNION ALL SELECT -1, cls, place FROM pl),
  mp AS (SELECT b, pm.cls AS src, pl.cls AS dst FROM pm JOIN pl USING (place)),
  j AS (SELECT x.b, p.d AS u, q.d AS v FROM d1 p JOIN mp x ON x.dst = p.a JOIN mp y ON y.dst = p.b AND y.b = x.b JOIN d2 q ON q.a = x.src AND q.b = y.src WHERE p.a < p.b),
  rk AS (SELECT b, rank() OVER (PARTITION BY b ORDER BY u) + (count(*) OVER (PARTITION BY b, u) - 1) / 2.0 AS u, rank() OVER (PARTITION BY b ORDER BY v) + (count(*) OVER (PARTITION BY b, v) - 1) / 2.0 AS v FROM j),
  r AS (SELECT b, round(corr(u, v), 9) AS r FROM rk GROUP BY b)
- SELECT round(max(r) FILTER (b = -1), 6) AS r, round((1 + sum((b >= 0 AND r >= (SELECT r FROM r WHERE b = -1))::INT)) / ({B} + 1.0), 6) AS p_value FROM r"""
+ SELECT round(max(r) FILTER (b = -1), 6) AS r, round((1 + sum((b >= 0 AND r >= (SELECT r FROM r WHERE b = -1))::INT)) / ({PERMUTATIONS} + 1.0), 6) AS p_value FROM r"""
 
 
 @query("t5_mantel", MANTEL)
@@ -342,7 +371,7 @@ def t5(spark, d):
     for at in (1, 33):
         c = V.mean_vectors(v.select("cls", F.slice("v", at, 32).alias("v")), ["cls"], F.col("v"))
         mats.append(V.euclidean_matrix(c, "cls", "centroid", upper=False).where("a <> b").withColumn("d", F.round("d", 9)))
-    return U.mantel(spark, mats[0], mats[1], B, 5)
+    return U.mantel(mats[0], mats[1], PERMUTATIONS, 5)
 
 
 @query("c6_adjusted_rand", """WITH x AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY ALL), i AS (SELECT sum(n * (n - 1) / 2) AS i, sum(n) AS t FROM x),

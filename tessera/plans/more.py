@@ -16,7 +16,7 @@ from ..operators import resample as R
 from ..operators import vectors as V
 from ..operators.layout import neighbour_layout
 from ..session import table
-from .inference import BOOT, CEN, COS, EUC, PERMUTATIONS, UNIT, W, _frame, _stats
+from .inference import BOOT, BOOTSTRAPS, CEN, COS, EUC, MANTEL, PERMUTATIONS, UNIT, W, _frame, _stats
 from .roles import DIM_SQL, TOK_SQL, VEC_SQL, rounded, tokens, vectors
 
 QUERIES, ORACLES = {}, {}
@@ -176,7 +176,7 @@ def t12(spark, d):
 
 
 STRATA = f"""WITH {TOK_SQL}, um AS (SELECT unit, status, avg(f1) AS m FROM tok WHERE cls = 'click' GROUP BY ALL), o AS (SELECT status, unit, m, row_number() OVER (PARTITION BY status ORDER BY unit) - 1 AS place, count(*) OVER (PARTITION BY status) AS size FROM um),
- dr AS (SELECT b, status, ('0x' || substr(md5('13-' || b || '-' || status || '-' || place), 1, 8))::BIGINT % size AS place FROM range(200) t(b), o), m AS (SELECT b, status, avg(o.m) AS m FROM dr JOIN o USING (status, place) GROUP BY ALL),
+ dr AS (SELECT b, status, ('0x' || substr(md5('13-' || b || '-' || status || '-' || place), 1, 8))::BIGINT % size AS place FROM range({BOOTSTRAPS}) t(b), o), m AS (SELECT b, status, avg(o.m) AS m FROM dr JOIN o USING (status, place) GROUP BY ALL),
  p AS (SELECT p.b, abs(p.m - q.m) AS d FROM m p JOIN m q ON p.b = q.b AND p.status < q.status) SELECT count(*) AS n_valid, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high FROM p"""
 
 
@@ -186,34 +186,43 @@ def t8(spark, d):
     um = tokens(spark, d).where("cls = 'click'").groupBy("unit", "status").agg(F.avg("f1").alias("m"))
     w = Window.partitionBy("status")
     o = um.withColumn("place", F.row_number().over(w.orderBy("unit")) - 1).withColumn("size", F.count("*").over(w))
-    slots = R.replicates(spark, 200).join(o.select("status", F.col("place").alias("slot"), "size"), F.lit(True))
+    slots = R.replicated(o.select("status", F.col("place").alias("slot"), "size"), BOOTSTRAPS)
     drawn = slots.select("b", "status", F.pmod(R.hashed(F.lit(13), F.col("b"), F.col("status"), F.col("slot")), F.col("size")).alias("place"))
     m = drawn.join(o.select("status", "place", "m"), ["status", "place"]).groupBy("b").pivot("status", ["L1", "L2"]).agg(F.avg("m"))
     return R.percentile_interval(m.select(F.abs(F.col("L1") - F.col("L2")).alias("d")), [], "d")
 
 
-@query("t6_matrix_grid")
+PARTS = {"head": (1, 22), "middle": (23, 44), "tail": (45, 64)}
+
+
+def _one_mantel(a: str, b: str) -> str:
+    (p, q), (r, t) = PARTS[a], PARTS[b]
+    one = MANTEL.replace("dim <= 32", f"dim BETWEEN {p} AND {q}").replace("dim > 32", f"dim BETWEEN {r} AND {t}")
+    return f"SELECT '{a}' AS rep_a, '{b}' AS rep_b, r, p_value FROM ({one})"
+
+
+@query("t6_matrix_grid", " UNION ALL ".join(_one_mantel(a, b) for a, b in (("head", "middle"), ("head", "tail"), ("middle", "tail"))))
 def t6(spark, d):
     """Rank correlations of the class distances of several representations, each against permutations."""
     v, t = vectors(spark, d), None
     mats = {}
-    for name, at in (("head", 1), ("middle", 23), ("tail", 43)):
-        c = V.mean_vectors(v.select("cls", F.slice("v", at, 22).alias("v")), ["cls"], F.col("v"))
-        mats[name] = V.euclidean_matrix(c, "cls", "centroid", upper=False).where("a <> b")
+    for name, (lo, hi) in PARTS.items():
+        c = V.mean_vectors(v.select("cls", F.slice("v", lo, hi - lo + 1).alias("v")), ["cls"], F.col("v"))
+        mats[name] = V.euclidean_matrix(c, "cls", "centroid", upper=False).where("a <> b").withColumn("d", F.round("d", 9))
     names = list(mats)
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
-            one = U.mantel(spark, mats[a], mats[b], PERMUTATIONS, 5).select(F.lit(a).alias("rep_a"), F.lit(b).alias("rep_b"), "r", "p_value")
+            one = U.mantel(mats[a], mats[b], PERMUTATIONS, 5).select(F.lit(a).alias("rep_a"), F.lit(b).alias("rep_b"), "r", "p_value")
             t = one if t is None else t.unionByName(one)
     return t
 
 
-@query("t15_rope_summary", f"WITH b AS ({BOOT.replace('WITH ', 'WITH ', 1)}) SELECT 'distance' AS kind, a || '-' || b AS label, mean, ci_low, ci_high, CASE WHEN ci_low >= 0 AND ci_high <= 5 THEN 'equivalent' WHEN ci_high < 0 OR ci_low > 5 THEN 'non_equivalent' ELSE 'indeterminate' END AS rope FROM b")
+@query("t15_rope_summary", f"WITH b AS (WITH {BOOT}) SELECT measure AS kind, a || '-' || b AS label, mean, ci_low, ci_high, CASE WHEN ci_low >= 0 AND ci_high <= 5 THEN 'equivalent' WHEN ci_high < 0 OR ci_low > 5 THEN 'non_equivalent' ELSE 'indeterminate' END AS rope FROM b")
 def t15(spark, d):
     from .inference import QUERIES as Q
 
     b = Q["t7_bootstrap_distances"](spark, d)
-    return b.select(F.lit("distance").alias("kind"), F.concat_ws("-", "a", "b").alias("label"), "mean", "ci_low", "ci_high", R.classify_rope(F.col("ci_low"), F.col("ci_high"), F.lit(0.0), F.lit(5.0)).alias("rope"))
+    return b.select(F.col("measure").alias("kind"), F.concat_ws("-", "a", "b").alias("label"), "mean", "ci_low", "ci_high", R.classify_rope(F.col("ci_low"), F.col("ci_high"), F.lit(0.0), F.lit(5.0)).alias("rope"))
 
 
 @query("d5_group_distance_by_class", f"{W}, cen AS (SELECT cls, status, dim, avg(x) AS m FROM dims GROUP BY ALL), n AS (SELECT cls, status, count(*) AS n FROM vec GROUP BY ALL) SELECT p.cls, any_value(a.n) AS n_l1, any_value(b.n) AS n_l2, round({COS}, 6) AS d FROM cen p JOIN cen q ON p.cls = q.cls AND p.dim = q.dim AND p.status < q.status JOIN n a ON a.cls = p.cls AND a.status = 'L1' JOIN n b ON b.cls = p.cls AND b.status = 'L2' GROUP BY p.cls")

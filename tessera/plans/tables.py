@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import describe as D
 from ..operators import resample as R
+from ..operators.spans import pooled_frames, target_runs
 from ..session import table
 from .roles import CLASSES, TOK_SQL, rounded, tokens
 
@@ -164,14 +165,8 @@ def p10(spark, d):
     return table(spark, d, "events").select("event_id", C.semitones(F.col("value")).alias("st"))
 
 
-@query("p2_fold_words", "SELECT doc_id, lower(trim(translate(nfc_normalize(substr(text, 1, 80)), '’ʼ‘`´', ''''''''''''), ' ')) AS folded FROM documents")
+@query("p2_fold_words", "SELECT doc_id, lower(trim(translate(nfc_normalize(text), '’ʼ‘`´', ''''''''''''), ' ')) AS folded FROM documents")
 def p2(spark, d):
-    return table(spark, d, "documents").select("doc_id", C.fold_word(F.substring("text", 1, 80)).alias("folded"))
-
-
-@query("p2_fold_texts")
-def p2_texts(spark, d):
-    """The fold of p2_fold_words, whose SQL takes 80 characters, over whole texts."""
     return table(spark, d, "documents").select("doc_id", C.fold_word(F.col("text")).alias("folded"))
 
 
@@ -296,16 +291,13 @@ def j7(spark, d):
     return iv.where("fin is not null").join(sp, "unit").where(((F.col("onset") + F.col("fin")) / 2).between(F.col("lo"), F.col("hi"))).select("event_id")
 
 
-@query("j8_target_span", """WITH w AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id),
- s AS (SELECT conv_id, i, j, array_to_string(r[i:j], '') AS joined FROM w, range(1, 60) a(i), range(1, 60) b(j) WHERE i <= j AND j <= len(r) AND j < i + 3)
- SELECT conv_id, min((i - 1) * 10 + j)::BIGINT AS place FROM s WHERE joined = 'assistantuser' GROUP BY conv_id""")
+@query("j8_target_span", """WITH w AS (SELECT conv_id, role, row_number() OVER w AS i, sum(length(role)) OVER (w ROWS UNBOUNDED PRECEDING) - length(role) AS lo, sum(length(role)) OVER (w ROWS UNBOUNDED PRECEDING) AS hi FROM conversations WHERE turn IS NOT NULL AND role <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role)),
+ t AS (SELECT conv_id, string_agg(role, '' ORDER BY i) AS all_words FROM w GROUP BY conv_id)
+ SELECT a.conv_id, min(a.i)::BIGINT AS first_word, min_by(b.i, a.i)::BIGINT AS last_word FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.hi - a.lo = length('assistantuser') JOIN t ON t.conv_id = a.conv_id WHERE substr(all_words, a.lo::BIGINT + 1, length('assistantuser')) = 'assistantuser' GROUP BY a.conv_id""")
 def j8(spark, d):
-    """The first run of neighbouring words that together spell the target."""
-    c = table(spark, d, "conversations").where("turn is not null").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("r"))
-    starts = F.sequence(F.lit(1), F.size("r"))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(i, F.least(i + 2, F.size("r"))), lambda j: F.struct(i.alias("i"), j.alias("j"), F.array_join(F.slice(F.col("r"), i, j - i + 1), "").alias("w")))))
-    hits = F.filter(runs, lambda x: x["w"] == "assistantuser")
-    return c.where(F.size(hits) > 0).select("conv_id", F.array_min(F.transform(hits, lambda x: ((x["i"] - 1) * 10 + x["j"]).cast("long"))).alias("place"))
+    """The first run of neighbouring words, of any length, that together spell the target."""
+    c = table(spark, d, "conversations").where("turn is not null and role <> ''")
+    return target_runs(c, "conv_id", ["turn", "role"], "role", "assistantuser")
 
 
 @query("j9_dimensions", "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -329,12 +321,12 @@ BH = """pv AS (SELECT event_id, event_type AS family, CASE WHEN event_id % 17 =
 @query("w3_benjamini_hochberg", f"WITH {BH}, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, event_id) AS r, count(*) OVER (PARTITION BY family) AS m FROM pv WHERE p IS NOT NULL), q AS (SELECT event_id, family, p, least(min(p * m / r) OVER (PARTITION BY family ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS q FROM r) SELECT pv.event_id, pv.family, round(pv.p, 6) AS p, round(q, 6) AS q_value_bh, coalesce(q <= 0.05, false) AS significant_bh FROM pv LEFT JOIN q USING (event_id)")
 def w3(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("event_type").alias("family"), F.when(F.col("event_id") % 17 != 0, (F.col("event_id") * 37 % 1000 + 1) / F.lit(30011.0)).alias("p"))
-    return D.benjamini_hochberg(e, ["family"], "p", ["event_id"])
+    return D.benjamini_hochberg_by_value(e, ["family"], "p", buckets=D.buckets(spark))
 
 
 @query("w4_average_ranks", "SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS rank FROM lineitem")
 def w4(spark, d):
-    return D.average_ranks(table(spark, d, "lineitem"), "l_quantity", ["l_returnflag"], "rank").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "rank")
+    return D.average_ranks_by_value(table(spark, d, "lineitem"), "l_quantity", ["l_returnflag"], "rank", D.buckets(spark)).select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "rank")
 
 
 @query("w6_round_robin_pick", f"WITH {TOK_SQL}, u AS (SELECT DISTINCT unit, status || '/' || gender AS grp FROM tok), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY unit) AS rn, count(*) OVER (PARTITION BY grp) AS size FROM u) SELECT unit, grp FROM r ORDER BY rn, size DESC, grp LIMIT 10")
@@ -360,6 +352,18 @@ def w8(spark, d):
     return e.select("event_id", F.when(b > a, a).otherwise(middle).alias("first_frame"), F.greatest(b - a, F.lit(1)).alias("n_frames"))
 
 
+FRAMES = "fr AS (SELECT vec_id, i - 1 AS place, j, embedding[4 * (i - 1) + j]::DOUBLE AS x FROM embeddings, range(1, 17) a(i), range(1, 5) b(j)), sp AS (SELECT vec_id, (vec_id % 13) / 50.0 AS onset, (vec_id % 13) / 50.0 + (vec_id % 5) / 60.0 AS fin FROM embeddings), bd AS (SELECT vec_id, onset, fin, least(floor(onset * 50)::INT, 16) AS a, least(ceil(fin * 50)::INT, 16) AS b FROM sp)"
+
+
+@query("w8_pooled_frames", f"WITH {FRAMES} SELECT vec_id, j, round(avg(x), 6) AS x FROM fr JOIN bd USING (vec_id) WHERE CASE WHEN b > a THEN place >= a AND place < b ELSE place = least(round_even((onset + fin) / 2 * 50, 0)::INT, 15) END GROUP BY vec_id, j")
+def w8_pooled(spark, d):
+    """The vectors read as 16 frames of 4 numbers, averaged over a span."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.transform(F.slice("embedding", i * 4 + 1, F.lit(4)), lambda x: x.cast("double"))).alias("frames"))
+    onset = (F.col("vec_id") % 13) / F.lit(50.0)
+    pooled = e.select("vec_id", F.posexplode(pooled_frames(F.col("frames"), onset, onset + (F.col("vec_id") % 5) / F.lit(60.0), 50.0)).alias("j", "x"))
+    return pooled.select("vec_id", (F.col("j") + 1).cast("long").alias("j"), "x")
+
+
 @query("o1_sorted_groups", f"WITH {TOK_SQL} SELECT row_number() OVER (ORDER BY cls NULLS LAST, status NULLS LAST) AS place, cls, status, count(*) AS n FROM tok GROUP BY cls, status")
 def o1(spark, d):
     g = tokens(spark, d).groupBy("cls", "status").agg(F.count("*").alias("n"))

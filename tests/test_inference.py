@@ -37,7 +37,7 @@ def test_permutations_are_adjusted(spark, tmp_path, monkeypatch):
     x = np.random.default_rng(1).normal(size=(120, 64))
     df = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "vec_id long, label long, embedding array<double>")
     df.write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = registry.queries()["t4_adjusted_permutation_test"](spark, str(tmp_path)).orderBy("cls").collect()
+    got = registry.queries()["t4_permutation_test"](spark, str(tmp_path)).orderBy("cls").collect()
     assert len(got) == 3 and all(abs(r["p_value"] * 51 - round(r["p_value"] * 51)) < 1e-3 for r in got)
     assert [r["q_value_bh"] for r in got] == pytest.approx(adjusted([r["p_value"] for r in got]), abs=2e-6)
 
