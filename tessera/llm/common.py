@@ -2,45 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_worker_path
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    ensure_worker_path(spark)
-    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tessera_shared", None)
-    if not path:
-        path = spark._tessera_shared = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-    return path
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost executor loses none of it."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
-    return out
-
+from ..storage import discard, materialize, new_path, shared_dir
 
-def discard(df: DataFrame) -> None:
-    """Remove a table of materialize() that no later plan reads."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+__all__ = ["connected_components", "discard", "materialize", "new_path", "shared_dir"]
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
