@@ -294,30 +294,73 @@ def test_vectors(spark, tmp_path):
     assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(near.get(i, ())), comp[i], comp[i] == i) for i, _ in rows}
 
 
-def test_link_counts_over_several_blocks(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 8)
-    rng = np.random.default_rng(6)
-    center = rng.normal(size=8)
-    x = np.array([center + rng.normal(0, 0.3, 8) for _ in range(50)])
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df).collect()}
+def brute_links(x, ids=None):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    assert got == {i: int((u @ u[i] >= 0.9).sum() - 1) for i in range(50)}
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, True)
+    low, last = np.arange(len(x)), None
+    while last is None or (low != last).any():
+        last, low = low, np.where(near, low, len(x)).min(1)
+    return near.sum(1) - 1, low
+
+
+def vector_table(spark, x, parts=5):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(parts)
+
+
+def test_link_counts_over_several_blocks(spark, monkeypatch):
+    """One component of many small blocks, in stripes: all, none and some pairs of two blocks are linked."""
+    for name, k in (("CHUNK", 4), ("STRIPE", 2), ("WINDOW", 16), ("ROWS", 40)):
+        monkeypatch.setattr(vectors, name, k)
+    rng = np.random.default_rng(6)
+    chain = np.array([[np.cos(t), np.sin(t), 0, 0] for t in np.linspace(0, 2.5, 60)])
+    tight = np.array([0, 0, 1.0, 0.2]) + rng.normal(0, 0.01, (40, 4))
+    x = np.concatenate([chain, tight, tight[:5]])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(vector_table(spark, x)).collect()}
+    links, low = brute_links(x)
+    assert got == {i: (int(links[i]), int(low[i])) for i in range(len(x))}
 
 
-def test_no_pair_of_vectors_is_lost_in_a_dense_cone(spark):
+def test_dense_cone_of_vectors(spark):
+    """No link is false, and nearly all are found where every two vectors are close."""
     rng = np.random.default_rng(7)
     x = rng.normal(size=(3000, 64)) / 8 * 0.2**0.5
     x[1500:] = x[:1500] * 0.75 + rng.normal(size=(1500, 64)) / 8 * (0.2 * (1 - 0.75**2)) ** 0.5
     x[:, 0] += 0.8**0.5
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()}
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near = u @ u.T >= 0.9
-    low, last = np.arange(len(x)), None
-    while last is None or (low != last).any():
-        last, low = low, np.where(near, low, len(x)).min(1)
-    assert got == {i: (int(near[i].sum() - 1), int(low[i])) for i in range(len(x))}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(vector_table(spark, x)).collect()}
+    links, low = brute_links(x)
+    assert all(got[i][0] <= links[i] and got[i][1] >= low[i] for i in range(len(x)))
+    assert sum(n for n, _ in got.values()) >= 0.99 * links.sum()
+
+
+def test_recall_is_measured_and_passes_are_added(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 32))
+    x[300:] = x[:300] + 0.45 * rng.normal(size=(300, 32))
+    for name, k in (("WINDOW", 4), ("GOAL", 0.97)):
+        monkeypatch.setattr(vectors, name, k)
+    monkeypatch.setattr(vectors, "passes_for", lambda n: 1)
+    seen, measure = [], vectors.measured_recall
+    monkeypatch.setattr(vectors, "measured_recall", lambda *a: seen.append(measure(*a)) or seen[-1])
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(vector_table(spark, x)).collect()}
+    links, _ = brute_links(x)
+    assert len(seen) > 1 and seen[0] < 0.97 <= seen[-1]
+    assert sum(got.values()) >= 0.95 * links.sum() and all(got[i] <= links[i] for i in got)
+
+
+def test_passes_follow_the_rows():
+    n = [vectors.passes_for(10**k) for k in range(2, 9)]
+    assert n[0] == 1 and n == sorted(n) and n[-1] < 200
+
+
+def test_odd_vector_tables(spark):
+    """No rows; repeated and missing ids, equal vectors, and columns with names of the operator's own."""
+    kind = "vec_id long, embedding array<float>, cid string, component string, v int, x int, links int"
+    assert vectors.near_duplicates(spark.createDataFrame([], kind)).collect() == []
+    rows = [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [0.0, 1.0]), (None, [1.0, 0.0]), (2, [2.0, 0.1]), (9, None), (None, None)]
+    df = spark.createDataFrame([(*r, "q", "q", 1, 1, 1) for r in rows], kind)
+    got = sorted(tuple(-1 if c is None else c for c in r) for r in vectors.near_duplicates(df).collect())
+    assert got == sorted([(5, 2, 2, False), (5, 2, 2, False), (5, 0, 5, True), (-1, 0, -1, False), (2, 2, 2, True), (9, 0, 9, True), (-1, 0, -1, False)])
 
 
 def test_packing(spark, folder, ids):
