@@ -199,6 +199,46 @@ def test_secrets_are_found_and_redacted(spark):
     assert got == {1: 'token = "[SECRET]" end', 2: "Mail [EMAIL] or [PHONE], [CARD] from [IP] and 300.1.1.1", 3: None}
 
 
+@pytest.mark.parametrize("n", [20, 240, 5000, 100_000])
+def test_secrets_of_any_length_go_as_a_whole(spark, n):
+    rng = np.random.default_rng(n)
+    key = "".join(rng.choice(list("0123456789abcdefXYZ"), n))
+    docs = spark.createDataFrame([(1, f'set token = "{key}" and go'), (2, f"access key {key} is mine")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redacted(docs).collect()}
+    assert got == {1: 'set token = "[SECRET]" and go', 2: "access key [SECRET] is mine"}
+
+
+def test_further_kinds_and_clean_texts(spark):
+    rows = ["IBAN: DE89370400440532013000 ok", "ping 2001:db8:85a3:8d3:1319:8a2e:370:7348 now", "lives at 12 Maple Street now", "call (415) 555-0134 now", "jo.do (at) mail.org wrote"]
+    clean = ["the time is 12:30:45 today", "commit 4d2a1f09c8e7b6a5d4c3b2a190817263544f3e2d merged", "version 10.20.30 of 2024-05-17", "see /usr/share/doc/readme_first_of_all now", "Donaudampfschifffahrtsgesellschaft"]
+    docs = spark.createDataFrame(list(enumerate(rows + clean)), "doc_id long, text string")
+    got = [r["text"] for r in pii.redacted(docs).orderBy("doc_id").collect()]
+    assert got == ["IBAN: [IBAN] ok", "ping [IPV6] now", "lives at [ADDRESS] now", "call [NUMBER] now", "[HANDLE] wrote", *clean]
+
+
+def test_sums_within_a_row(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(0, 9, n).tolist()) for i, n in enumerate([0, 1, 2, 7, 8, 9, 26, 27, 28, 500])]
+    df = spark.createDataFrame(rows, "i long, xs array<int>").select("i", pii.running(F.col("xs"), lambda a, b: a + b).alias("s"), pii.running(F.col("xs"), lambda a, b: F.greatest(a, b)).alias("m"))
+    got = {r["i"]: (r["s"], r["m"]) for r in df.collect()}
+    assert got == {i: ([sum(xs[:k]) for k in range(len(xs))], [max(xs[:k], default=0) for k in range(len(xs))]) for i, xs in rows}
+
+
+def test_a_long_text_of_addresses_takes_seconds(spark):
+    """About a megabyte with 50,000 spans; places beyond ASCII count as code points."""
+    import time
+
+    one = "é😀 10.20.30.40 a.b@c.de "
+    text = one * 25_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = pii.with_spans(docs).select(F.size("base_spans").alias("n"), F.element_at("base_spans", -1).alias("last")).first()
+    new = pii.redacted(docs).first()["text"]
+    took = time.time() - began
+    assert got["n"] == 50_000 and got["last"]["end"] == text.rindex(" a.b")
+    assert new == "é😀 [IP] [EMAIL] " * 25_000 and took < 60
+
+
 def measures(x):
     w = re.findall(r"[^\x20\x09-\x0D]+", x or "")
     grams, covered = Counter(zip(w, w[1:], w[2:])), set()
