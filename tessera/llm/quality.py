@@ -2,7 +2,9 @@
 
 Each document gets its measures within its own row; nothing is shuffled for them. Quantile sketches of the measures
 per language and source (approximate percentiles, merged from the partial sketches of the tasks) give
-each group its own fences, which are joined to the documents and decide what passes.
+each group its own fences, which are joined to the documents and decide what passes. There is no fixed cutoff beside the two base rules: a
+fence is so many spreads of the group's middle away, and a share of a document's words or lines may stray by what chance makes of
+counts in the group's typical document. Groups of few documents lean on the sketch of all.
 """
 
 from __future__ import annotations
@@ -11,14 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .pii import let
 
 BLANKS, SYMBOLS = r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
 BLANK_CHARS = " \t\n\x0b\f\r"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 ACCURACY = 1000
-#: A measure's fence is the group's median plus SPREAD times the distance to its upper quartile, but at least the margin.
-SPREAD = 6.0
-MARGINS = {"symbol_ratio": 0.25, "dup_line_ratio": 0.35, "repeat_ratio": 0.35, "word_length": 3.0}
+#: Fences lie SPREAD quartile distances from the median. A share of a document's n things also has a play of NOISE / sqrt(n), n being at most
+#: the group's median number of them. A group's quantiles count as its documents do, those of all documents as LEAN documents.
+SPREAD, NOISE, LEAN = 8.0, 3.0, 50
+SHARES = {"symbol_ratio": "n_words", "dup_line_ratio": "n_lines", "repeat_ratio": "n_words"}
+BOTH_SIDES = ["word_length"]
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -31,8 +36,9 @@ def _repeated(words: Column, n: Column) -> Column:
 
     places = F.sequence(F.lit(0), n - 3)
     hashes = F.transform(places, lambda i: F.xxhash64(word(i, 0), word(i, 1), word(i, 2)))
-    twice = F.size(F.array_distinct(hashes)) < n - 2
-    windows = F.sort_array(F.transform(places, lambda i: F.struct(F.xxhash64(word(i, 0), word(i, 1), word(i, 2)).alias("h"), F.concat_ws(" ", word(i, 0), word(i, 1), word(i, 2)).alias("w"), i.alias("i"))))
+
+    def windows(hs: Column) -> Column:
+        return F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), F.concat_ws(" ", word(i, 0), word(i, 1), word(i, 2)).alias("w"), i.alias("i"))))
 
     def same(ws: Column, k: Column, j: Column) -> Column:
         return F.coalesce((F.get(ws, k)["h"] == F.get(ws, j)["h"]) & (F.get(ws, k)["w"] == F.get(ws, j)["w"]), F.lit(False))
@@ -42,8 +48,8 @@ def _repeated(words: Column, n: Column) -> Column:
         start = F.struct(F.lit(0).alias("sum"), F.lit(-3).alias("last"))
         return F.aggregate(F.sort_array(own), start, lambda a, x: F.struct((a["sum"] + F.least(F.lit(3), x - a["last"])).alias("sum"), x.alias("last")))["sum"]
 
-    exact = F.get(F.transform(F.array(windows), covered), F.lit(0))
-    return F.when(n < 3, F.lit(0)).when(twice, exact).otherwise(F.lit(0))
+    exact = let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) < n - 2, let(windows(hs), covered)).otherwise(F.lit(0)))
+    return F.when(n < 3, F.lit(0)).otherwise(exact)
 
 
 def with_measures(docs: DataFrame, text_col: str = "text", name: str = "measures") -> DataFrame:
@@ -79,12 +85,32 @@ def _ratios(m: str = "measures") -> dict[str, Column]:
     }
 
 
+LEVELS = [0.25, 0.5, 0.75]
+
+
 def thresholds(measured: DataFrame, group: tuple[str, ...] = ("lang", "source"), name: str = "measures") -> DataFrame:
     """The fences of each group, from all its documents; null group values are a group of their own."""
-    sketches = [F.percentile_approx(v, [0.5, 0.75], ACCURACY).alias(k) for k, v in _ratios(name).items()]
-    per = measured.groupBy(*[F.col(g).alias(f"__tessera_{g}") for g in group]).agg(*sketches)
-    fences = [(F.col(k)[0] + F.greatest(SPREAD * (F.col(k)[1] - F.col(k)[0]), F.lit(MARGINS[k]))).alias(f"__tessera_most_{k}") for k in MARGINS]
-    return per.select(*[f"__tessera_{g}" for g in group], *fences)
+    things = sorted(set(SHARES.values()))
+    sketches = [F.percentile_approx(v, LEVELS, ACCURACY).alias(k) for k, v in _ratios(name).items()]
+    sketches += [F.percentile_approx(F.col(f"{name}.{t}"), 0.5, ACCURACY).alias(t) for t in things]
+    per = measured.groupBy(*[F.col(g).alias(f"__tessera_{g}") for g in group]).agg(F.count("*").alias("n"), *sketches)
+    every = measured.agg(*sketches)
+    every = every.select(*[F.col(c).alias(f"all_{c}") for c in every.columns])
+    both = per.crossJoin(F.broadcast(every))  # one row
+
+    def level(k: str, i: int | None = None) -> Column:
+        own, all_ = (F.col(k), F.col(f"all_{k}")) if i is None else (F.col(k)[i], F.col(f"all_{k}")[i])
+        return (F.col("n") * own + LEAN * all_) / (F.col("n") + LEAN)
+
+    fences = []
+    for k in _ratios(name):
+        low, middle, high = (level(k, i) for i in range(3))
+        fences.append((middle + SPREAD * (high - middle)).alias(f"__tessera_most_{k}"))
+        if k in SHARES:
+            fences += [middle.alias(f"__tessera_middle_{k}"), level(SHARES[k]).alias(f"__tessera_things_{k}")]
+        if k in BOTH_SIDES:
+            fences.append((middle - SPREAD * (middle - low)).alias(f"__tessera_least_{k}"))
+    return both.select(*[f"__tessera_{g}" for g in group], *fences)
 
 
 def with_verdicts(measured: DataFrame, fences: DataFrame, group: tuple[str, ...] = ("lang", "source"), name: str = "measures", verdict: str = "kept") -> DataFrame:
@@ -96,7 +122,13 @@ def with_verdicts(measured: DataFrame, fences: DataFrame, group: tuple[str, ...]
     base = F.col(f"{name}.base_failed")
     passes = ~base
     for k, v in _ratios(name).items():
-        passes = passes & (v <= F.col(f"__tessera_most_{k}"))
+        most = F.col(f"__tessera_most_{k}")
+        if k in SHARES:
+            things = F.greatest(F.least(F.col(f"{name}.{SHARES[k]}").cast("double"), F.col(f"__tessera_things_{k}")), F.lit(1.0))
+            most = F.greatest(most, F.col(f"__tessera_middle_{k}") + NOISE / F.sqrt(things))
+        passes = passes & (v <= most)
+        if k in BOTH_SIDES:
+            passes = passes & (v >= F.col(f"__tessera_least_{k}"))
     return measured.join(fences, on, "left").select(*[measured[c] for c in measured.columns], F.coalesce(passes, ~base).alias(verdict))
 
 
@@ -109,7 +141,8 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grou
 
 
 def passing(docs: DataFrame, text_col: str = "text", group: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """The rows of docs that are kept, with their own columns; texts are measured twice and never shuffled."""
+    """The rows of docs that are kept, with their own columns. Repeated rows and null ids are judged row by row, null and empty texts
+    fail a base rule, and an empty table stays empty. Texts are measured twice and never shuffled."""
     name, verdict = "__tessera_measures", "__tessera_kept"
     fences = materialize(thresholds(with_measures(docs.select(text_col, *group), text_col, name), group, name), "fences")
     judged = with_verdicts(with_measures(docs, text_col, name), fences, group, name, verdict)

@@ -256,6 +256,62 @@ def test_quality(spark, folder):
         assert not (r["kept"] and r["base_failed"])
 
 
+def kept_by_brute_force(rows):
+    """rows: (id, text, lang, source) -> ids that pass the base rules and the fences of their group."""
+
+    def ratios(x):
+        n, chars, symbols, dup, rep, failed = measures(x)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", y)) for y in (x or "").split("\n"))
+        return {"symbol_ratio": symbols / max(n, 1), "dup_line_ratio": dup / max(lines, 1), "repeat_ratio": rep / max(n, 1), "word_length": chars / max(n, 1), "n_words": n, "n_lines": lines}, failed
+
+    def at(values, p):
+        return sorted(values)[max(int(np.ceil(p * len(values))), 1) - 1]
+
+    got = {i: (*ratios(x), (lang, source)) for i, x, lang, source in rows}
+    groups = defaultdict(list)
+    for r, _, g in got.values():
+        groups[g].append(r)
+    everyone = [r for r, *_ in got.values()]
+
+    def level(g, k, p):
+        n = len(groups[g])
+        return (n * at([r[k] for r in groups[g]], p) + quality.LEAN * at([r[k] for r in everyone], p)) / (n + quality.LEAN)
+
+    out = set()
+    for i, (r, failed, g) in got.items():
+        good = not failed
+        for k in ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length"):
+            low, mid, high = (level(g, k, p) for p in (0.25, 0.5, 0.75))
+            play = quality.NOISE / max(min(r[quality.SHARES[k]], level(g, quality.SHARES[k], 0.5)), 1) ** 0.5 if k in quality.SHARES else 0
+            good &= r[k] <= mid + max(quality.SPREAD * (high - mid), play)
+            good &= k != "word_length" or r[k] >= mid - quality.SPREAD * (mid - low)
+        if good:
+            out.add(i)
+    return out
+
+
+def test_quality_verdicts(spark):
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    rows = []
+    for i in range(160):
+        x = " ".join(word(rng.integers(2, 9)) for _ in range(rng.integers(20, 200)))
+        if i % 13 == 0:
+            x = x.replace(" ", " $ ")
+        if i % 17 == 0:
+            x = " ".join(word(rng.integers(1, 3)) for _ in range(120))
+        if i % 19 == 0:
+            x = " ".join(word(14) for _ in range(120))
+        if i % 23 == 0:
+            x = (x + "\n") * 2
+        rows.append((i, x, "en" if i % 3 else None, f"s{i % 4 // 3}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality.assess(docs).where("kept").collect()
+    want = kept_by_brute_force(rows)
+    assert {r["doc_id"] for r in got} == want == {r["doc_id"] for r in quality.passing(docs).collect()}
+    assert 0 < len(want) < sum(not r["base_failed"] for r in quality.assess(docs).collect())
+
+
 def test_quality_fences_reject_outliers_and_keep_clean(spark):
     clean = " ".join(f"word{i}" for i in range(80))
     rows = [(i, clean + f" {i}", None, "s") for i in range(30)] + [(99, clean.replace(" ", " ### "), None, "s")]
