@@ -368,6 +368,35 @@ def test_toxicity_scores_every_pair_of_neighbours():
     assert toxicity.highest(bad) == toxicity.highest(bad[1:])
 
 
+def test_toxicity_scores_by_brute_force(spark, folder):
+    """Every score from the learnt numbers alone, and from the sample's rows alone: one text per id, none of the held-out ids."""
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    weights, bias = toxicity.learn(docs.union(docs.withColumn("text", F.concat("text", F.lit(" zz")))), labels)
+    long = spark.createDataFrame([(500, "ab" * 50_000), (501, "x " * 50_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs.select("doc_id", "text").union(long), (weights, bias)).collect()}
+    exact = weights.astype(np.float32).astype(float)
+    for i, x in {**TEXTS, 500: "ab" * 50_000, 501: "x " * 50_000}.items():
+        best, values = 0.0, []
+        for w in re.findall(r"[^\W_]+", (x or "").lower()):
+            raw = f"<{w}>"
+            made = {raw} | {raw[k : k + n] for n in (3, 4, 5) for k in range(len(raw) - n + 1)}
+            values.append(np.mean([exact[zlib.crc32(g.encode()) % toxicity.BUCKETS] for g in made]))
+        if values:
+            n = min(2, len(values))
+            best = max(sum(values[k : k + n]) / (n + 5.0) for k in range(len(values) - n + 1))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(bias + best, -60, 60))), rel=1e-4, abs=1e-9)
+
+
+def test_toxicity_does_not_hang_on_places():
+    rng = np.random.default_rng(2)
+    weights = rng.normal(size=toxicity.BUCKETS)
+    x = "one two three four five six".split()
+    pairs = toxicity.word_values(weights, x)
+    for lead in ("zero", "zero zero", "a b c"):
+        own = toxicity.word_values(weights, lead.split() + x)
+        assert own[-6:].tolist() == pairs.tolist() and toxicity.highest(own) >= toxicity.highest(pairs)
+
+
 def test_toxicity_query(spark, folder):
     for i, r in result(spark, folder, "op7_toxicity").items():
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
