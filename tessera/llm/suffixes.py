@@ -14,16 +14,16 @@ anchors are:
    run all but the least position go. These are the suffixes whose longest previous factor reaches LENGTH; its value isn't computed.
 5. The spans of each document are joined to it and cut out.
 
-Anchors that a sample of at most SAMPLE documents shows to be very common (a boilerplate line in ever new surroundings)
-are dealt out by longer keys, which reach further left or right; any string holds one of them. That only spreads work: the
-same keys are made for the whole corpus, so no match depends on the sample.
+An anchor with more than HOT different regions (a boilerplate line in ever new surroundings) is dealt out by longer keys: with half of the
+spare bytes more on its left or on its right, one of which any string holds, and so on while such a key is as common. A key as long as a
+string needs no comparison, only its least position. Which are common is counted over all rows, and no match depends on it.
+The number of parts follows from the bytes of the corpus, so a task holds about PART of it.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,7 @@ from .common import materialize
 
 LENGTH, K = 100, 32
 SPARE = LENGTH - K  # bytes of a string beside its anchor
-SLICE, FLUSH, REGIONS, MOST = 1 << 18, 800_000, 10_000, 20_000
-SAMPLE, SAMPLE_CHARS, COMMON = 1500, 10_000, 20
+SLICE, FLUSH, REGIONS, HOT, PART = 1 << 18, 800_000, 10_000, 20_000, 24 << 20
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -98,21 +97,7 @@ def anchors(raw: bytes, cuts: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(hashes)
 
 
-def _spread(anchor: int, text: bytes, left: int, right: int, common: set[int], out: set[int], reach: tuple[int, int] = (0, 0)) -> None:
-    """The keys of a common anchor: it with more bytes on one side, again and again while that is common, too.
-    text is the region, left and right its bytes before and behind the anchor's own."""
-    x, y = reach
-    if anchor not in common or x + y >= SPARE:
-        out.add(anchor)
-        return
-    half = (SPARE - x - y + 1) // 2
-    for p, q in ((x, y + half), (x + half, y)):
-        if p <= left and q <= right:
-            key = xxhash.xxh64_intdigest(text[left - p : left + K + q], seed=p)
-            _spread(key, text, left, right, common, out, (p, q))
-
-
-def _doc_rows(key: np.ndarray, raw: bytes, cuts: list[int], common: set[int]) -> np.ndarray:
+def _doc_rows(key: np.ndarray, raw: bytes, cuts: list[int]) -> np.ndarray:
     places, hashes = anchors(raw, cuts)
     ends = np.array(cuts, np.int64)
     of = np.searchsorted(ends, places, side="right")
@@ -122,18 +107,6 @@ def _doc_rows(key: np.ndarray, raw: bytes, cuts: list[int], common: set[int]) ->
     digest = xxhash.xxh3_64_intdigest
     rows["region"] = np.fromiter((digest(raw[a:b], c) for a, b, c in zip(lo.tolist(), hi.tolist(), (places - lo).tolist(), strict=True)), np.uint64, len(places))
     rows["anchor"], rows["key"], rows["at"] = hashes, key[of], places - begin
-    if common:
-        hot = np.flatnonzero(np.isin(hashes, np.fromiter(common, np.uint64, len(common))))
-        more, which = [], []
-        for i in hot.tolist():
-            keys: set[int] = set()
-            a, b, p = int(lo[i]), int(hi[i]), int(places[i])
-            _spread(int(hashes[i]), raw[a:b], p - a, b - p - K, common, keys)
-            more += keys
-            which += [i] * len(keys)
-        extra = rows[which]
-        extra["anchor"] = more
-        rows = np.concatenate([np.delete(rows, hot), extra])
     return rows
 
 
@@ -176,7 +149,7 @@ def _copies(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _deal(parts: int, common: set[int]):
+def _deal(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n = 0
@@ -201,7 +174,7 @@ def _deal(parts: int, common: set[int]):
                 to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 20))))
                 some = texts.slice(at, to - at).to_pylist()
                 cuts = np.cumsum([len(x) for x in some]).tolist()
-                held.append(_doc_rows(keys[at:to], b"".join(some), cuts, common))
+                held.append(_doc_rows(keys[at:to], b"".join(some), cuts))
                 n += len(held[-1])
                 at = to
                 if n > FLUSH:
@@ -230,8 +203,8 @@ def _batch(key, start, end, anchor) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(anchor, pa.int64())], names=["key", "start", "end", "anchor"])
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a part at a time. Out: spans (anchor 0), and the regions asked for (end -1, start the anchor's place)."""
+def _settle(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a part at a time. Out: spans (anchor 0), and the regions asked for (start the anchor's place, end -1, or -2 if there are more than `most`)."""
 
     def done(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         rows, copies = _settled(np.concatenate([_unpacked(x) for x in held]))
@@ -239,10 +212,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(spans):
             yield _batch(spans["key"], spans["start"], spans["end"], np.zeros(len(spans), np.int64))
         new = np.r_[True, rows["anchor"][1:] != rows["anchor"][:-1]]
-        several = (np.bincount(np.cumsum(new) - 1) > 1)[np.cumsum(new) - 1]
-        ask = rows[several]
+        group = np.cumsum(new) - 1
+        regions = np.bincount(group)[group]
+        ask = rows[regions > 1]
         if len(ask):
-            yield _batch(ask["key"], ask["at"], np.full(len(ask), -1), ask["anchor"].view(np.int64) if ask["anchor"].flags.c_contiguous else np.ascontiguousarray(ask["anchor"]).view(np.int64))
+            yield _batch(ask["key"], ask["at"], np.where(regions[regions > 1] > most, -2, -1), np.ascontiguousarray(ask["anchor"]).view(np.int64))
 
     part, held = None, []
     for batch in batches:
@@ -260,42 +234,82 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 REGION = "part int, anchor binary, key binary, at binary, left binary, size binary, text binary"
+SINGLE = "k long, x int, y int, key long, at int, left int, text binary"
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(anchor, key, place, bytes before it, text) of the regions asked for. In: key, text, asked (array of (start, anchor))."""
+    for batch in batches:
+        keys, texts, asked = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2)
+        for i, key in enumerate(keys):
+            raw = texts[i].as_py()
+            for place in asked[i].as_py():
+                at, lo = place["start"], max(0, place["start"] - SPARE)
+                yield place["anchor"] & (1 << 64) - 1, key, at, at - lo, raw[lo : at + LENGTH]
+
+
+def _packed(found: Iterator[tuple[int, int, int, int, bytes]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Regions packed by anchor."""
+    held: list[tuple[int, int, int, int, bytes]] = []
+
+    def flush() -> pa.RecordBatch:
+        part = np.array([(a >> 20) % parts for a, *_ in held])
+        order = np.argsort(part, kind="stable")
+        rows = []
+        for i in np.unique(part).tolist():
+            own = [held[j] for j in order[np.searchsorted(part[order], i) : np.searchsorted(part[order], i, side="right")]]
+            a, k, at, left, text = zip(*own, strict=True)
+            rows.append((i, np.array(a, "<u8").tobytes(), np.array(k, "<i8").tobytes(), np.array(at, "<i4").tobytes(), np.array(left, "<i2").tobytes(), np.array([len(x) for x in text], "<i2").tobytes(), b"".join(text)))
+        names = [x.split()[0] for x in REGION.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j == 0 else pa.binary()) for j, c in enumerate(zip(*rows, strict=True))], names=names)
+
+    for row in found:
+        held.append(row)
+        if len(held) >= 160_000:
+            yield flush()
+            held = []
+    if held:
+        yield flush()
 
 
 def _regions(parts: int):
-    """Texts of the regions asked for, packed by anchor. In: key, text, asked (array of (start, anchor))."""
+    return lambda batches: _packed(_asked(batches), parts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, bytes]] = []
-        size = 0
 
-        def flush() -> pa.RecordBatch:
-            part = np.array([(a >> 20) % parts for a, *_ in held])
-            order = np.argsort(part, kind="stable")
+def _repacked(parts: int):
+    """In: SINGLE."""
+    return lambda batches: _packed(((k & (1 << 64) - 1, key, at, left, text) for b in batches for k, _, _, key, at, left, text in zip(*[c.to_pylist() for c in b.columns], strict=True)), parts)
+
+
+def _singles(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=[x.split()[0] for x in SINGLE.split(", ")])
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for anchor, key, at, left, text in _asked(batches):
+        rows.append((_signed(anchor), 0, 0, key, at, left, text))
+        if len(rows) == 10_000:
+            yield _singles(rows)
             rows = []
-            for i in np.unique(part).tolist():
-                own = [held[j] for j in order[np.searchsorted(part[order], i) : np.searchsorted(part[order], i, side="right")]]
-                a, k, at, left, text = zip(*own, strict=True)
-                rows.append((i, np.array(a, "<u8").tobytes(), np.array(k, "<i8").tobytes(), np.array(at, "<i4").tobytes(), np.array(left, "<i2").tobytes(), np.array([len(x) for x in text], "<i2").tobytes(), b"".join(text)))
-            names = [x.split()[0] for x in REGION.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j == 0 else pa.binary()) for j, c in enumerate(zip(*rows, strict=True))], names=names)
+    yield _singles(rows)
 
-        for batch in batches:
-            keys, texts, asked = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2)
-            for i, key in enumerate(keys):
-                raw = texts[i].as_py()
-                for place in asked[i].as_py():
-                    at, anchor = place["start"], place["anchor"] & (1 << 64) - 1
-                    lo = max(0, at - SPARE)
-                    held.append((anchor, key, at, at - lo, raw[lo : at + LENGTH]))
-                    size += 250
-                if size > 40 << 20:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
 
-    return run
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each region under its two next longer keys: with half of the spare bytes that are left on either side."""
+    for batch in batches:
+        rows = []
+        for _, x, y, key, at, left, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            half = (SPARE - x - y + 1) // 2
+            for p, q in ((x, y + half), (x + half, y)):
+                if p <= left and left + K + q <= len(text):
+                    rows.append((_signed(xxhash.xxh64_intdigest(text[left - p : left + K + q], seed=p)), p, q, key, at, left, text))
+        yield _singles(rows)
 
 
 def suffix_ranks(text: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -409,36 +423,11 @@ def _compared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Reco
             if len(spans):
                 yield spans
 
-        def halves(own: np.ndarray, x: int = 0, y: int = 0) -> Iterator[np.ndarray]:
-            """One anchor's regions; too many at once are split by what stands on either side, as in _spread()."""
-            if len(own) <= MOST or x + y >= SPARE:
-                yield from found(own)
-                return
-            half = (SPARE - x - y + 1) // 2
-            for p, q in ((x, y + half), (x + half, y)):
-                by: dict[bytes, list[int]] = {}
-                for j in own.tolist():
-                    lo = int(begin[j]) + int(left[j]) - p
-                    if p <= left[j] and lo + p + K + q <= begin[j + 1]:
-                        by.setdefault(text[lo : lo + p + K + q], []).append(j)
-                small = [js for js in by.values() if 1 < len(js) <= MOST]
-                for js in by.values():
-                    if len(js) > MOST:
-                        yield from halves(np.array(js), p, q)
-                held_: list[int] = []
-                for js in small:
-                    held_ += js
-                    if len(held_) > MOST:
-                        yield from found(np.array(held_))
-                        held_ = []
-                if held_:
-                    yield from found(np.array(held_))
-
         lo = 0
         for i in range(1, len(edge)):
             if i == len(edge) - 1 or edge[i + 1] - edge[lo] > REGIONS:
                 own = order[edge[lo] : edge[i]]
-                yield from halves(own) if len(own) > MOST else found(own)
+                yield from found(own)
                 lo = i
 
     part, held = None, []
@@ -461,37 +450,47 @@ def _cut(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
     return [(int(x["start"]), int(x["end"])) for x in merged(rows)]
 
 
-def _common_anchors(docs: DataFrame) -> set[int]:
-    """Keys with many different regions in a bounded sample: at most SAMPLE documents, SAMPLE_CHARS of each."""
-    n = docs.count()
-    if n < SAMPLE:
-        return set()
-    some = docs.sample(min(1.0, 0.8 * SAMPLE / n), seed=11).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE).collect()
-    common: set[int] = set()
-    raw = [r["text"].encode() for r in some]
-    cuts = np.cumsum([len(x) for x in raw]).tolist()
-    while raw:
-        rows, _ = _settled(_doc_rows(np.arange(len(raw)), b"".join(raw), cuts, common))
-        often = {a for a, k in Counter(rows["anchor"].tolist()).items() if k >= COMMON} - common
-        if not often:
-            break
-        common |= often
-    return common
+def _common(rows: DataFrame, parts: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Regions of common anchors (SINGLE) under keys that aren't common, packed, and spans of whole strings that are."""
+    packed, spans = None, None
+    while True:
+        rows = materialize(rows, "common")
+        often = rows.groupBy("k", "x", "y").agg(F.count("*").alias("n"), F.min(F.struct("key", F.col("at") - F.col("x"))).alias("least")).where(F.col("n") > HOT)
+        often = materialize(often.select(F.col("k").alias("hk"), F.col("x").alias("hx"), F.col("y").alias("hy"), "least"), "common-keys")
+        same = (rows["k"] == often["hk"]) & (rows["x"] == often["hx"]) & (rows["y"] == often["hy"])
+        few = rows.join(often, same, "left_anti").select(*[x.split()[0] for x in SINGLE.split(", ")]).mapInArrow(_repacked(parts), REGION)
+        packed = few if packed is None else packed.union(few)
+        if often.isEmpty():
+            return packed, spans
+        hot = rows.join(often, same)
+        whole = hot.where((F.col("x") + F.col("y") >= SPARE) & (F.struct("key", F.col("at") - F.col("x")) != F.col("least")))
+        whole = whole.select("key", (F.col("at") - F.col("x")).alias("start"), (F.col("at") - F.col("x") + LENGTH).alias("end"))
+        spans = whole if spans is None else spans.union(whole)
+        rows = hot.where(F.col("x") + F.col("y") < SPARE).select(*[x.split()[0] for x in SINGLE.split(", ")]).mapInArrow(_longer, SINGLE)
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """rows: key (unique, in corpus order), text (not null). Returns key, start, end of strings to remove, in bytes; a span
     may run past the document's end, and one shorter than LENGTH within the document doesn't count."""
     spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInArrow(_deal(parts, _common_anchors(rows)), DEALT)
-    found = materialize(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_settle, FOUND), "settled")
-    asked = found.where("end = -1").groupBy(F.col("key").alias("asked_key")).agg(F.collect_list(F.struct("start", "anchor")).alias("asked"))
-    texts = rows.join(asked.hint("shuffle_hash"), rows["key"] == asked["asked_key"]).select("key", "text", "asked")
-    regions = texts.mapInArrow(_regions(parts), REGION)
-    gone = regions.repartition("part").sortWithinPartitions("part").mapInArrow(_compare(parts), GONE)
-    more = gone.repartition("part").sortWithinPartitions("part").mapInArrow(_gather, FOUND)
-    return found.where("end >= 0").select("key", "start", "end").union(more.select("key", "start", "end"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+    dealt = rows.mapInArrow(_deal(parts), DEALT)
+    found = materialize(dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(partial(_settle, most=HOT), FOUND), "settled")
+
+    def texts(end: int) -> DataFrame:
+        asked = found.where(F.col("end") == end).groupBy(F.col("key").alias("asked_key")).agg(F.collect_list(F.struct("start", "anchor")).alias("asked"))
+        return rows.join(asked.hint("shuffle_hash"), rows["key"] == asked["asked_key"]).select("key", "text", "asked")
+
+    regions = texts(-1).mapInArrow(_regions(parts), REGION)
+    spans = found.where("end >= 0").select("key", "start", "end")
+    if not found.where("end = -2").isEmpty():
+        more, whole = _common(texts(-2).mapInArrow(_alone, SINGLE), parts)
+        regions = regions.union(more)
+        spans = spans if whole is None else spans.union(whole)
+    gone = regions.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_compare(parts), GONE)
+    more = gone.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_gather, FOUND)
+    return spans.union(more.select("key", "start", "end"))
 
 
 OUT = "key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"
@@ -521,7 +520,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: n_bytes, n_removed, n_spans, kept (binary: the bytes that stay), kept_text (the whole characters
     of these), and rest, a struct of the other columns of docs, the id among them.
 
-    A null text counts as empty. Rows of one id, or of none, come in the order of their texts, nulls first. An empty table gives no rows.
+    A null text counts as empty, texts of any length are read as a whole. Rows of one id, or of none, come in the order of their texts, nulls
+    first; of equal rows any one is the first. An empty table gives no rows.
     """
     rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest)
