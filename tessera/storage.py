@@ -21,8 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The session's own folder within the shared one."""
+    if not getattr(spark, "_tessera_session", None):
+        spark._tessera_session = uuid.uuid4().hex
+    return f"{shared_dir(spark)}/tessera/{spark._tessera_session}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -39,6 +46,14 @@ def discard(df: DataFrame) -> None:
     """Remove a table of materialize() that no later plan reads."""
     path = getattr(df, "_tessera_path", None)
     if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables and files that the session's queries have left in the shared folder; results not yet written elsewhere need them."""
+    _delete(spark, session_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

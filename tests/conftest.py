@@ -13,4 +13,7 @@ def spark():
     s = local_session(4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from tessera.storage import clear
+
+    clear(s)
     s.stop()
