@@ -13,6 +13,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -122,22 +123,20 @@ def _write(folder: str, tokenizer: str | None, end: int):
         part = TaskContext.get().partitionId()
         fs, top = _fs(folder)
         fs.create_dir(top, recursive=True)
-        name, own = f"{top}/part-{part:06d}.tokens", f"{top}/_part-{part:06d}-{uuid.uuid4().hex}"
-        with fs.open_output_stream(own) as out:
+        # Another try of the task writes a file of its own; the manifest names the one whose task counted.
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.tokens"
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        with fs.open_output_stream(f"{top}/{name}") as out:
             writer = ShardWriter(out)
-            for batch in batches:
+            for batch in chain([first], batches):
                 for at in range(0, batch.num_rows, 512):
                     some = batch.slice(at, 512)
                     for doc_id, ids in zip(some.column(0).to_pylist(), encode_with_end(some.column(1).to_pylist(), tokenizer, end), strict=True):
                         writer.add(doc_id, ids)
             writer.close()
-        if not writer.docs:
-            fs.delete_file(own)
-            return
-        if fs.get_file_info(name).is_file:  # another try of the task left the same bytes
-            fs.delete_file(name)
-        fs.move(own, name)  # whole or not at all
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{folder}/part-{part:06d}.tokens"]), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["part", "path", "docs", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["part", "path", "docs", "tokens"])
 
     return run
 
@@ -145,7 +144,7 @@ def _write(folder: str, tokenizer: str | None, end: int):
 def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, tokenizer: str | None = None, end: int = END) -> DataFrame:
     """Encode every text, append the end id, and write files in ascending id order, one per range of ids.
 
-    Returns the manifest, one row per file: part, path, docs, tokens. A null text counts as empty (its
+    Returns the manifest, one row per file: part, path, docs, tokens; files it doesn't name are those of tasks that were lost. A null text counts as empty (its
     document is the end id alone), null ids come first, rows of one id stay next to each other in the order of their
     texts. An empty table writes no file. Other columns aren't read.
     """
