@@ -1,11 +1,11 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with templates, in DataFrame functions alone.
 
-A block is a window of BLOCK words, one starting every half block, so words that stand within half a block
-share one. It meets a template if it holds at least CONTAINMENT of the template's distinct words. The words of the templates
+A block is any window of BLOCK words. It meets a template if it holds at least CONTAINMENT of the template's distinct words. The words of the templates
 are put in order by the number of documents that hold them, counted over all documents, rarest first. A block that
 meets a template of n words in o places or more must hold one of the template's first n - o + 1 words (prefix
 filter), have o template words at all (length filter), and still reach o from the first word they share
-(positional filter); what is left is compared in full.
+(positional filter); what is left is compared in full. Of the windows of a text only those that start with a template word and hold a
+word of a prefix are made: moving the start of any other up to its first template word loses no word of a template.
 The templates are constants, so the join runs within each row and no text is shuffled.
 """
 
@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pii import let
+
 # The base phrases with their labels, and the notices that licenses tell people to use.
 PHRASES = [
     (("cc", "by"), "cc-by"),
@@ -26,14 +28,26 @@ PHRASES = [
 TEMPLATES = [
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("boost", "distributed under the boost software license version 1 0"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
 ]
 
 BLOCK, CONTAINMENT = 64, 0.8
@@ -85,11 +99,15 @@ def _base(words: Column) -> Column:
 def _matches(words: Column, order: list[str]) -> Column:
     """Array of (label, containment) of the blocks that meet a template; order: all template words, rarest first."""
     rank = {w: i for i, w in enumerate(order)}
-    ordered = _strings(order)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - BLOCK // 2 - 1, F.lit(0)), F.lit(BLOCK // 2))
+    ordered, prefixes = _strings(order), _strings(prefix_words(order))
+    starts = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(ordered, w), i)), lambda i: i.isNotNull())
+    windows = F.filter(F.transform(starts, lambda i: F.slice(words, i + 1, BLOCK)), lambda b: F.arrays_overlap(b, prefixes))
     # array_intersect keeps the order of its first argument: the block's template words, rarest first.
-    blocks = F.transform(starts, lambda i: F.array_intersect(ordered, F.slice(words, i + 1, BLOCK)))
+    blocks = F.array_distinct(F.transform(windows, lambda b: F.array_intersect(ordered, b)))
+    return let(blocks, lambda bs: _met(bs, rank))
+
 
+def _met(blocks: Column, rank: dict[str, int]) -> Column:
     def of(label: str, own: set[str]) -> Column:
         mine = sorted(own, key=rank.__getitem__)
         n, o = len(mine), _needed(len(mine))
@@ -118,7 +136,8 @@ def prefix_words(order: list[str]) -> list[str]:
 def with_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with, in place of any columns of these names, n_words, n_base, first_word, last_word, base_labels, labels and score (the largest containment, 1 for a phrase).
 
-    Null texts count as empty: no words, no labels, score 0. The table is read twice.
+    Null texts count as empty: no words, no labels, score 0. Repeated rows are scanned row by row, texts of any length as a whole, and an
+    empty table stays empty. The table is read twice.
     """
     counts = document_counts(docs, text_col)
     order = sorted(counts, key=lambda w: (counts[w], w))
