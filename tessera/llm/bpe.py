@@ -204,7 +204,8 @@ def ranks(path: str | None = None, pattern: str | None = None) -> Ranks:
 
 
 def encode(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
-    """ids of a text (array of int), without special tokens; null counts as the empty text, whose array is empty."""
+    """ids of a text (array of int), without special tokens; null counts as the empty text, whose array is empty. Texts of any length are
+    encoded as a whole, repeated rows alike; a column of no rows gives none."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(texts: pd.Series) -> pd.Series:

@@ -38,4 +38,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == was:
             break
         was = now
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._tessera_path = cur._tessera_path  # for discard()
+    return out

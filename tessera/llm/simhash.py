@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = linked.join(least, "component").select(F.col("fp").alias("fp_"), "least")
     # A table of its own, so that the join below deals both sides anew and a much-copied fingerprint can be split.
     info = materialize(fps.join(named, fps["fp"] == named["fp_"], "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "named")
+    discard(fps)
+    discard(parts)
     return own.join(info, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
-
-__all__ = ["discard", "fingerprint", "fingerprint_components", "near_duplicates", "simhash", "to_hex"]

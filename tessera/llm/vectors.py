@@ -392,11 +392,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         samples.setdefault(len(r["v"]), []).append(r["v"])
     known = {size: unit_rows(np.array(own, float)) for size, own in samples.items()}
     probes = _chosen(classes, PROBES, "probes")
-    todo, edges, parts = range(passes_for(n)), None, None
+    todo, edges, parts, written = range(passes_for(n)), None, None, []
     while n:
         got = _found(classes, n, known, todo)
         edges = got if edges is None else edges.union(got)
         parts = materialize(connected_components(edges), "components")
+        written += [got, parts]
         if measured_recall(classes, parts, probes) >= GOAL:
             break
         todo = range(todo.stop, 2 * todo.stop)
@@ -407,6 +408,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     named = parts.join(least, "component").select(F.col("node").alias("cid"), "name")
     info = classes.join(named, "cid", "left").join(links, "cid", "left")
     info = materialize(info.select(F.col("v").alias("v_"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("name", "least").alias("component_id")), "named")
+    for t in (classes, *written):
+        discard(t)
     linked = good.join(info, good["v"] == info["v_"]).select("id", "n_links", "component_id")
     alone = rows.where(~(usable(F.col("v")) & F.col("id").isNotNull())).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.union(alone)

@@ -326,7 +326,7 @@ def test_licenses(spark, folder):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (TEXTS[i] or "").translate(low))
         places = [(j, label) for j in range(len(w)) for p, label in licenses.PHRASES if tuple(w[j : j + len(p)]) == p]
         share = {}
-        for at in range(0, max(len(w) - 33, 0) + 1, 32):
+        for at in range(max(len(w) - 63, 1)):
             block = set(w[at : at + 64])
             for (label, text) in licenses.TEMPLATES:
                 own = set(text.split())
@@ -338,6 +338,23 @@ def test_licenses(spark, folder):
         assert r["score"] == pytest.approx(1.0 if places else max(share.values(), default=0.0))
 
 
+def test_a_notice_with_words_in_between_is_found_at_any_place(spark):
+    label, notice = next(t for t in licenses.TEMPLATES if t[0] == "isc")
+    words = notice.split()
+    rows = []
+    for lead in range(0, 70, 7):
+        spread = [x for w in words for x in (w, "word", "other")][: licenses.BLOCK]
+        rows.append((lead, " ".join(["first"] * lead + spread + ["last"] * 50)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for i, x in rows:
+        w = x.split()
+        best = max(len(set(words) & set(w[k : k + licenses.BLOCK])) for k in range(len(w)))
+        want[i] = best / len(set(words)) if best >= licenses._needed(len(set(words))) else 0.0
+    got = {r["doc_id"]: r["score"] for r in licenses.with_licenses(docs).collect()}
+    assert got == pytest.approx(want) and max(want.values()) > 0
+
+
 def test_toxicity_learns_words_and_misspellings():
     rng = np.random.default_rng(0)
     words = ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(3, 9))) for _ in range(400)]
@@ -524,6 +541,37 @@ def test_best_two_fit_replaces_the_smallest():
     assert used == Counter({i: i * 7 % 11 for i in range(1, 100) if i * 7 % 11})
 
 
+def brute_bins(lengths, most):
+    """Best-two-fit one bin at a time over single pieces."""
+    left, out = sorted(lengths, reverse=True), []
+    while left:
+        rest, own, gap = left[:], [], most
+        for x in left:
+            if x <= gap:
+                own.append(x)
+                rest.remove(x)
+                gap -= x
+        if gap and len(own) > 1:
+            room = gap + own[-1]
+            pairs = [(a + b, a, b) for i, a in enumerate(rest) for b in rest[i + 1 :] if own[-1] < a + b <= room]
+            if pairs:
+                total = max(p[0] for p in pairs)
+                a, b = min(((a, b) for t, a, b in pairs if t == total), key=lambda p: abs(p[0] - p[1]))
+                own[-1:] = [a, b]
+        for x in own:
+            left.remove(x)
+        out.append((sum(own), len(own)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_two_fit_by_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, [12, 30, 60][seed % 3], 120).tolist()
+    got = sorted((sum(sizes), len(sizes)) for sizes, n in packing.bins(Counter(lengths), 60) for _ in range(n))
+    assert got == brute_bins(lengths, 60)
+
+
 def removed(rows):
     seen, out = set(), []
     for i, x in rows:
