@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import bpe, licenses, packing, pii, quality, shards, simhash, suffixes, toxicity, vectors
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,14 +28,21 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = pii.listed(F.concat("base_spans", "extra_spans")).alias("spans")
+    return marked.select("doc_id", *_base_columns(), spans)
 
 
+def _base_columns() -> list[Column]:
     def count(kind: str) -> Column:
         return F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k) for k in pii.BASE]
-    spans = pii.listed(F.concat("base_spans", "extra_spans")).alias("spans")
-    return marked.select("doc_id", *counts, F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"), spans)
+    return [*[count(k) for k in pii.BASE], F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256")]
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4_pii that SQL can state."""
+    marked = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select("doc_id", *_base_columns(), pii.listed(F.col("base_spans")).alias("base_spans"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +83,5 @@ QUERIES = {
     "op8_vectors": op8_vectors,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pii_base_spans": pii_base_spans,
 }
-ORACLES: dict[str, str] = {}

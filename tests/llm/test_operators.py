@@ -663,3 +663,33 @@ def test_pipeline(spark, folder):
     got = docs.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     lib = tokens.encoder().library
     assert {r["doc_id"]: r["n"] for r in got} == {i: len(lib.encode(r["text"], add_special_tokens=False).ids) + 1 for i, r in kept.items()}
+
+
+@pytest.mark.parametrize("name", ["pii_base_spans", "op5_quality", "op6_licenses", "op10_suffix_dedup"])
+def test_oracle_sql(spark, folder, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, folder)
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = {r[want.columns.index("doc_id")]: dict(zip(want.columns, r, strict=True)) for r in want.fetchall()}
+    for r in got.collect():
+        for k, v in r.asDict().items():
+            assert v == (pytest.approx(rows[r["doc_id"]][k]) if isinstance(v, float) else rows[r["doc_id"]][k]), (k, r["doc_id"])
+
+
+@pytest.mark.parametrize("case", ["empty", "odd"])
+def test_pipeline_of_odd_tables(spark, tmp_path, case):
+    """No rows; or null ids and texts, repeated rows, and columns with names of the stages' own. What passes the rules comes out in pieces."""
+    import corpus_pipeline
+
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(90))
+    rows = [] if case == "empty" else [(None, None), (None, word(1)), (1, word(2)), (1, word(2)), (1, word(3)), (2, None), (3, ""), (4, word(4)), (5, word(4))]
+    docs = spark.createDataFrame([(i, x, None, None, None) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("id", "key", "kept", "measures", "component_id", "fp", "spans", "gone"):
+        docs = docs.withColumn(c, F.lit("x"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0) for r in got if r["piece"] == 0) == ([] if case == "empty" else [0, 1, 4])
