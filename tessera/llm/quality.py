@@ -142,8 +142,13 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grou
 
 def passing(docs: DataFrame, text_col: str = "text", group: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """The rows of docs that are kept, with their own columns. Repeated rows and null ids are judged row by row, null and empty texts
-    fail a base rule, and an empty table stays empty. Texts are measured twice and never shuffled."""
+    fail a base rule, and an empty table stays empty. Texts are measured once, written with their measures and never shuffled; those
+    that fail a base rule keep their measures alone."""
     name, verdict = "__tessera_measures", "__tessera_kept"
-    fences = materialize(thresholds(with_measures(docs.select(text_col, *group), text_col, name), group, name), "fences")
-    judged = with_verdicts(with_measures(docs, text_col, name), fences, group, name, verdict)
+    own = with_measures(docs, text_col, name)
+    failed = F.col(f"{name}.base_failed")
+    rest = [F.when(~failed, F.col(c)).alias(c) if c not in group else F.col(c) for c in docs.columns]
+    measured = materialize(own.select(*rest, name), "measured")
+    fences = materialize(thresholds(measured, group, name), "fences")
+    judged = with_verdicts(measured, fences, group, name, verdict)
     return judged.where(verdict).select(*docs.columns)
