@@ -66,48 +66,53 @@ class Fit:
         return self.k_params * math.log(self.n) - 2 * self.loglik
 
 
-def _profile(theta: float, s: UnitStats, cols: list[int], w: np.ndarray, reml: bool):
-    """(log-likelihood, beta, inverse information, error variance) at variance ratio theta."""
+def _profiles(u: np.ndarray, s: UnitStats, cols: list[int], w: np.ndarray, reml: bool):
+    """(log-likelihood, beta, inverse information, error variance) of each row of w, unit weights, at the log of 1 + its variance ratio."""
+    theta = np.expm1(u)[:, None]
+    p = len(cols)
     xx, xy = s.xx[:, cols][:, :, cols], s.xy[:, cols]
     x1, y1 = s.xx[:, cols, 0], s.xy[:, 0]
-    c = theta / (1 + s.n * theta)
-    a = np.einsum("u,uij->ij", w, xx) - np.einsum("u,ui,uj->ij", w * c, x1, x1)
-    b = w @ xy - (w * c * y1) @ x1
-    yy = w @ s.yy - (w * c) @ (y1 * y1)
+    wc = w * (theta / (1 + s.n * theta))
+    a = (w @ xx.reshape(-1, p * p) - wc @ (x1[:, :, None] * x1[:, None]).reshape(-1, p * p)).reshape(-1, p, p)
+    b = w @ xy - wc @ (y1[:, None] * x1)
+    yy = w @ s.yy - wc @ (y1 * y1)
     inv = np.linalg.pinv(a, hermitian=True)
-    beta = inv @ b
-    n, p = float(w @ s.n), int(np.linalg.matrix_rank(a, hermitian=True))
-    df = n - p if reml else n
-    sigma2 = max((yy - beta @ b) / df, 1e-300)
-    ll = -0.5 * (df * math.log(2 * math.pi * sigma2) + df + w @ np.log1p(s.n * theta))
+    beta = np.einsum("rij,rj->ri", inv, b)
+    n = w @ s.n
+    df = n - np.linalg.matrix_rank(a, hermitian=True) if reml else n
+    sigma2 = np.maximum((yy - (beta * b).sum(1)) / df, 1e-300)
+    ll = -0.5 * (df * np.log(2 * math.pi * sigma2) + df + (w * np.log1p(s.n * theta)).sum(1))
     if reml:
         ev = np.linalg.eigvalsh(a)
-        ll -= 0.5 * np.log(ev[ev > ev.max() * 1e-12]).sum()
-    return ll, beta, inv * sigma2, sigma2
+        some = ev > ev.max(1, keepdims=True) * 1e-12
+        ll = ll - 0.5 * np.log(np.where(some, ev, 1.0)).sum(1)
+    return ll, beta, inv * sigma2[:, None, None], sigma2
 
 
-def fit(s: UnitStats, cols: list[int], reml: bool = False, weights: np.ndarray | None = None) -> Fit:
-    """Random-intercept model on some columns of the design; weights: how often each unit was drawn."""
-    w = np.ones(len(s.n)) if weights is None else weights.astype(float)
-    value = lambda u: _profile(math.expm1(u), s, cols, w, reml)[0]
+def _best(s: UnitStats, cols: list[int], w: np.ndarray, reml: bool) -> np.ndarray:
+    """The log of 1 + the likeliest variance ratio of each row of w: the best of a grid, then golden sections around it."""
+    value = lambda u: _profiles(u, s, cols, w, reml)[0]
     grid = np.r_[0.0, np.geomspace(1e-4, 12, 40)]
-    got = [value(u) for u in grid]
-    i = int(np.argmax(got))
-    lo, hi = grid[max(i - 1, 0)], grid[min(i + 1, len(grid) - 1)]
+    i = np.argmax([value(np.full(len(w), u)) for u in grid], axis=0)
+    lo, hi = grid[np.maximum(i - 1, 0)], grid[np.minimum(i + 1, len(grid) - 1)]
     g = (math.sqrt(5) - 1) / 2
-    for _ in range(60):  # golden section
+    for _ in range(60):
         a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-        if value(a) >= value(b):
-            hi = b
-        else:
-            lo = a
-    theta = math.expm1((lo + hi) / 2)
-    if value(0.0) >= value((lo + hi) / 2):
-        theta = 0.0
-    ll, beta, cov, sigma2 = _profile(theta, s, cols, w, reml)
+        left = value(a) >= value(b)
+        lo, hi = np.where(left, lo, a), np.where(left, b, hi)
+    middle = (lo + hi) / 2
+    return np.where(value(np.zeros(len(w))) >= value(middle), 0.0, middle)
+
+
+def fit(s: UnitStats, cols: list[int], reml: bool = False, weights: np.ndarray | None = None) -> Fit:
+    """Random-intercept model on some columns of the design; weights: how often each unit was drawn."""
+    w = (np.ones(len(s.n)) if weights is None else weights.astype(float))[None]
+    u = _best(s, cols, w, reml)
+    theta = math.expm1(u[0])
+    ll, beta, cov, sigma2 = (x[0] for x in _profiles(u, s, cols, w, reml))
     tiny = theta * sigma2 <= 1e-10 or theta / (1 + theta) < 0.005
     status = "no_variance" if sigma2 <= 1e-12 else "boundary" if tiny else "ok"
-    return Fit(status, beta, cov, ll, theta * sigma2, sigma2, len(cols) + 2, int(w @ s.n))
+    return Fit(status, beta, cov, float(ll), float(theta * sigma2), float(sigma2), len(cols) + 2, int(w[0] @ s.n))
 
 
 def likelihood_ratio(small: Fit, large: Fit) -> tuple[float, int, float]:
@@ -145,6 +150,10 @@ def build_models(s: UnitStats, extra: list[int]) -> dict[str, Fit]:
     return {name: fit(s, cols) for name, cols in specs.items()}
 
 
-def bootstrap(s: UnitStats, cols: list[int], contrast: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Estimates of a contrast over replicates; draws: (replicate, unit) multiplicities."""
-    return np.array([contrast @ fit(s, cols, weights=w).beta for w in draws])
+def bootstrap(s: UnitStats, cols: list[int], contrast: np.ndarray, draws: np.ndarray, at_once: int = 100) -> np.ndarray:
+    """Estimates of a contrast over replicates, some fitted at once; draws: (replicate, unit) multiplicities."""
+    out = []
+    for lo in range(0, len(draws), at_once):
+        w = draws[lo : lo + at_once].astype(float)
+        out.append(_profiles(_best(s, cols, w, False), s, cols, w, False)[1] @ contrast)
+    return np.concatenate(out) if out else np.zeros(0)
