@@ -117,6 +117,6 @@ def test_folds_take_whole_texts(spark, tmp_path):
     # One word's fold is tested above; a long text's is that of its parts.
     words = ["ʃːʲ", "É", "e\u0301", "l’Été", "plain", "ɑ̃"] * 40
     spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "x" * 90 + "É ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {n: {r[0]: r[1] for r in registry.queries()[n](spark, str(tmp_path)).collect()} for n in ("p1_base_symbols", "p2_fold_texts")}
+    got = {n: {r[0]: r[1] for r in registry.queries()[n](spark, str(tmp_path)).collect()} for n in ("p1_base_symbols", "p2_fold_words")}
     assert got["p1_base_symbols"] == {1: " ".join(["ʃ", "E", "e", "l’Ete", "plain", "ɑ̃"] * 40), 2: None, 3: "x" * 90 + "E "}
-    assert got["p2_fold_texts"] == {1: " ".join(["ʃːʲ", "é", "é", "l'été", "plain", "ɑ̃"] * 40), 2: None, 3: "x" * 90 + "é"}
+    assert got["p2_fold_words"] == {1: " ".join(["ʃːʲ", "é", "é", "l'été", "plain", "ɑ̃"] * 40), 2: None, 3: "x" * 90 + "é"}
