@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings by runs of equal strings in suffix order.
+"""Removal of long repeated byte strings by longest previous factors, taken from suffix order.
 
 A byte goes if some LENGTH-byte string that covers it also starts earlier in the corpus (smaller id, or same
 document and earlier start). No suffix array of the whole corpus is needed for that. Equal strings choose equal anchors
@@ -10,8 +10,9 @@ anchors are:
 2. Per anchor, equal regions are settled: all but the earliest copy go. Anchors left with several different
    regions ask for the text of one copy of each.
 3. The documents asked for give these regions, which are dealt out by anchor again.
-4. Per anchor the suffixes of its regions are sorted. Those with LENGTH equal bytes are neighbours in that order; of each such
-   run all but the least position go. These are the suffixes whose longest previous factor reaches LENGTH; its value isn't computed.
+4. Per anchor the suffixes of its regions are sorted. The longest previous factor of a suffix is the longer of its common prefixes
+   with the suffixes at the previous and at the next smaller position in that order; a string goes if it reaches LENGTH, beyond which
+   it isn't followed.
 5. The spans of each document are joined to it and cut out.
 
 An anchor with more than HOT different regions (a boilerplate line in ever new surroundings) is dealt out by longer keys: with half of the
@@ -328,12 +329,41 @@ def suffix_ranks(text: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.
         yield c, order, rank
 
 
+def smaller_before(p: np.ndarray) -> np.ndarray:
+    """For each place of p the last one before it with a smaller value, -1 if there is none. Minima over spans of doubling width
+    are searched from the widest down, so the work depends on the length of p alone, not on the order of its values."""
+    least = [p]
+    while 2 << len(least) - 1 <= len(p):
+        width = 1 << len(least) - 1
+        least.append(np.minimum(least[-1][:-width], least[-1][width:]))
+    at = np.arange(len(p))  # all values from here to the place are larger
+    for k in range(len(least) - 1, -1, -1):
+        lo = at - (1 << k)
+        larger = lo >= 0
+        larger[larger] = least[k][lo[larger]] > p[larger]
+        at[larger] = lo[larger]
+    return at - 1
+
+
+def previous_factors(sa: np.ndarray, group: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each suffix, up to the width of strings. sa: positions in suffix order, those of a group together and
+    groups in the order of their positions; group, strings: by position."""
+    before = smaller_before(sa)
+    after = len(sa) - 1 - smaller_before(sa[::-1])[::-1]
+    factor = np.zeros(len(sa), np.int64)
+    for near in (before, after):
+        i = np.flatnonzero((near >= 0) & (near < len(sa)))
+        i = i[group[sa[i]] == group[sa[near[i]]]]
+        other = strings[sa[i]] != strings[sa[near[i]]]
+        factor[i] = np.maximum(factor[i], np.where(other.any(1), other.argmax(1), strings.shape[1]))
+    return factor
+
+
 def _repeats(anchor, key, at, left, size, text: bytes) -> np.ndarray:
     """Spans of the strings of LENGTH bytes that also stand at a smaller position within their anchor's regions.
 
     Equal strings have their anchor at the same distance, so the regions are laid out with their anchors in one column, and a
-    string's matches start in its own column. There, strings that share LENGTH bytes stand next to each other in suffix order, and
-    all but the one at the least position go."""
+    string's matches start in its own column. Rows are in the order of their positions."""
     into = np.lexsort((at, key, anchor))
     begin = np.r_[0, np.cumsum(size.astype(np.int64))[:-1]]
     anchor, key, at, left, size, begin = (x[into] for x in (anchor, key, at.astype(np.int64), left.astype(np.int64), size.astype(np.int64), begin))
@@ -351,13 +381,7 @@ def _repeats(anchor, key, at, left, size, text: bytes) -> np.ndarray:
         sa = order[ok[order]]
         if len(sa) < 2:
             continue
-        a, b = sa[:-1], sa[1:]
-        near = np.flatnonzero(group[a] == group[b])
-        same = np.zeros(len(sa), bool)
-        same[near + 1] = (plain[a[near], c : c + LENGTH] == plain[b[near], c : c + LENGTH]).all(1)  # common prefix of neighbours
-        start = np.flatnonzero(~same)
-        least = np.minimum.reduceat(sa, start)[np.cumsum(~same) - 1]
-        hit = sa[sa != least]
+        hit = sa[previous_factors(sa, group, plain[:, c : c + LENGTH]) >= LENGTH]
         spans = np.empty(len(hit), SPAN)
         spans["key"], spans["start"] = key[hit], at[hit] - (SPARE - c)
         spans["end"] = spans["start"] + LENGTH

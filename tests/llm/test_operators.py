@@ -588,6 +588,19 @@ def removed(rows):
     return out
 
 
+def test_smaller_positions_and_previous_factors():
+    rng = np.random.default_rng(11)
+    for n in [*range(12), 300]:
+        for p in (rng.permutation(n), np.arange(n), np.arange(n)[::-1]):
+            assert suffixes.smaller_before(p).tolist() == [max((j for j in range(i) if p[j] < p[i]), default=-1) for i in range(n)]
+    strings = rng.integers(0, 2, (200, 9)).astype(np.uint8)
+    group = np.sort(rng.integers(0, 7, 200))
+    common = lambda a, b: next((k for k in range(9) if a[k] != b[k]), 9)
+    sa = np.array(sorted(range(200), key=lambda i: (group[i], strings[i].tolist())))
+    want = [max((common(strings[i], strings[j]) for j in range(i) if group[j] == group[i]), default=0) for i in sa]
+    assert suffixes.previous_factors(sa, group, strings).tolist() == want
+
+
 def test_suffix_dedup(spark, folder):
     got = result(spark, folder, "op10_suffix_dedup")
     for i, *want in removed(sorted(TEXTS.items())):
