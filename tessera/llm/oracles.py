@@ -1,6 +1,6 @@
 """SQL of the operators' queries, where SQL can state them.
 
-Not stated: op1, op2 and op9 (merges of a byte-pair vocabulary), op3 (XXH64 with a seed), op7 (a trained model), op4's spans beyond the base ones
+Not stated: op1, op2, op9, op11 and op12 (merges of a vocabulary), op3 (XXH64 with a seed), op7 (a trained model), op4's spans beyond the base ones
 (lookarounds and trees) and with these the pipeline. Tests compare them with the public libraries or with brute force.
 """
 

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators."""
+"""The registered queries of the operators for training data."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, licenses, packing, pii, quality, shards, simhash, suffixes, toxicity, vectors
+from . import alignment, binary_packing, bpe, licenses, packing, pii, quality, shards, simhash, suffixes, toxicity, vectors
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -72,6 +72,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("rest.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = binary_packing.decompose(table(spark, sf_dir, "documents"))
+    length = F.col("length").cast("long").alias("length")
+    return got.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_byte_bpe": op2_byte_bpe,
@@ -83,5 +93,7 @@ QUERIES = {
     "op8_vectors": op8_vectors,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_alignment": op11_alignment,
+    "op12_binary_packing": op12_binary_packing,
     "pii_base_spans": pii_base_spans,
 }
