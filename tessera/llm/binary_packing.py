@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from .tokens import END
 from .words import word_encoder
 
 MAX = 4096
-#: Tokens of a batch of pieces.
-BATCH = 1_000_000
+#: Bytes of the texts that are encoded together, about; a longer text is encoded by itself.
+BATCH = 8 << 20
 PIECES = "doc_id long, start long, doc_tokens long, sequence_id long, ids binary, length int"
 
 
@@ -34,40 +35,35 @@ def lengths(n: int, most: int = MAX) -> list[int]:
 
 
 def _cut(tokenizer: str | None, end: int, most: int):
-    tail = np.uint32(end).tobytes()
+    sizes = 1 << np.arange(most.bit_length())[::-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = np.zeros(most.bit_length(), np.int64)
 
-        def pieces(ids: list[int | None], texts: list[np.ndarray]) -> pa.RecordBatch:
-            cuts = [lengths(len(x), most) for x in texts]
-            each = np.array([len(x) for x in cuts])
-            length = np.array([n for x in cuts for n in x], np.int64)
-            ends, total = np.cumsum(length), np.array([len(x) for x in texts])
+        def pieces(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+            tokens, total = word_encoder(tokenizer).encode(texts, end)
+            pieces_of = total[:, None] // sizes  # the same as lengths()
+            pieces_of[:, 1:] &= 1
+            each, length = pieces_of.sum(1), np.repeat(np.tile(sizes, len(total)), pieces_of.ravel())
             bucket = np.log2(length).astype(np.int64)
             nth = np.empty(len(length), np.int64)
             for k in np.unique(bucket):
                 own = np.flatnonzero(bucket == k)
                 nth[own] = seen[k] + np.arange(len(own))
                 seen[k] += len(own)
-            raw = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32).tobytes()), pa.py_buffer(b"".join(x.tobytes() for x in texts))])
+            ends = np.cumsum(length)
+            raw = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32)), pa.py_buffer(tokens)])
             start = ends - length - np.repeat(np.cumsum(total) - total, each)
-            columns = [pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(texts)), each))), pa.array(start), pa.array(np.repeat(total, each)), pa.array((part * 64 + bucket << 34) + nth), raw, pa.array(length.astype(np.int32))]
+            columns = [ids.take(pa.array(np.repeat(np.arange(len(total)), each))), pa.array(start), pa.array(np.repeat(total, each)), pa.array((part * 64 + bucket << 34) + nth), raw, pa.array(length.astype(np.int32))]
             return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PIECES.split(", ")])
 
         for batch in batches:
-            ids, texts, n = [], [], 0
-            some = (x for at in range(0, batch.num_rows, 512) for x in batch.column(1).slice(at, 512).to_pylist())
-            for doc_id, tokens in zip(batch.column(0).to_pylist(), word_encoder(tokenizer).encode_many(some, tail), strict=True):
-                ids.append(doc_id)
-                texts.append(tokens)
-                n += len(tokens)
-                if n > BATCH:
-                    yield pieces(ids, texts)
-                    ids, texts, n = [], [], 0
-            if ids:
-                yield pieces(ids, texts)
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+            block = np.cumsum(size) // BATCH
+            cuts = np.flatnonzero(np.diff(block, prepend=-1)) if len(block) else []
+            for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                yield pieces(*[c.slice(lo, hi - lo) for c in batch.columns])
 
     return run
 
