@@ -44,20 +44,15 @@ def lexicon(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "word").agg(n, F.count("*").alias("n_sources"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"))
 
 
+def turn(checkpoint: str, batch: int) -> str:
+    return f"{checkpoint}/counts/turn={batch % 2}"
+
+
 def latest(spark: SparkSession, checkpoint: str) -> tuple[DataFrame, int]:
     """The counts of the last batch that was written, and its number; none and -1 before the first one."""
-    empty, found = spark.createDataFrame([], COUNTS), (None, -1)
-    for turn in (0, 1):
-        try:
-            one = spark.read.schema(COUNTS).parquet(f"{checkpoint}/counts/turn{turn}")
-        except Exception as e:  # AnalysisException of either kind of session
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            continue
-        batch = one.agg(F.max("batch")).first()[0]
-        if batch is not None and batch > found[1]:
-            found = one, batch
-    return found[0] if found[0] is not None else empty, found[1]
+    both = spark.read.schema(f"{COUNTS}, turn int").parquet(f"{checkpoint}/counts")
+    last = both.agg(F.max("batch")).first()[0]
+    return both.where(F.col("batch") == last).drop("turn"), -1 if last is None else last
 
 
 def file_or_folder(path: str) -> str:
@@ -76,15 +71,17 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, text:
         docs, seen = observed(docs, rows_read=F.count(F.lit(1)), texts_missing=F.count(F.when(F.col(text).isNull(), 1)))
         total = counted(docs, text, lang, source)
         if k:
-            total = total.unionByName(session.read.schema(COUNTS).parquet(f"{checkpoint}/counts/turn{(k - 1) % 2}").drop("batch"))
+            total = total.unionByName(session.read.schema(COUNTS).parquet(turn(checkpoint, k - 1)).drop("batch"))
         total = total.groupBy("lang", "source", "word").agg(F.sum("n").alias("n")).withColumn("batch", F.lit(k).cast("long"))
-        total.write.mode("overwrite").parquet(f"{checkpoint}/counts/turn{k % 2}")
+        total.write.mode("overwrite").parquet(turn(checkpoint, k))
         got = seen()
         said["batches"] += 1
         for x in ("rows_read", "texts_missing"):
             said[x] += got[x]
         log.info("batch %d: read %d rows of %s, %d without a text", k, got["rows_read"], documents, got["texts_missing"])
 
+    # So that there is a folder of counts, even before the first batch.
+    spark.createDataFrame([], f"{COUNTS}, turn int").write.mode("append").partitionBy("turn").parquet(f"{checkpoint}/counts")
     stream = spark.readStream.schema(spark.read.parquet(documents).schema).option("maxFilesPerTrigger", files_per_batch).parquet(file_or_folder(documents))
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
     try:

@@ -86,7 +86,7 @@ def test_lexicon_after_a_failure(spark, places, monkeypatch, where):
     with monkeypatch.context() as m:
         if where == "counting":  # the table to be replaced is already broken
             def broken(docs, *columns):
-                docs.sparkSession.createDataFrame([], lexicon.COUNTS).write.mode("overwrite").parquet(f"{places['checkpoint']}/counts/turn1")
+                docs.sparkSession.createDataFrame([], lexicon.COUNTS).write.mode("overwrite").parquet(f"{places['checkpoint']}/counts/turn=1")
                 raise RuntimeError("lost")
 
             m.setattr(lexicon, "counted", broken)
