@@ -35,19 +35,25 @@ PII = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {",
 def _quality() -> str:
     ratios = {"symbol_ratio": "n_symbols / greatest(n_words, 1)", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)", "repeat_ratio": "n_repeat_words / greatest(n_words, 1)", "word_length": "word_chars / greatest(n_words, 1)"}
     q = ", ".join(f"quantile_disc({k}, {p}) AS {k}_{i}" for k in ratios for i, p in enumerate(quality.LEVELS))
-    things = sorted(set(quality.SHARES.values()))
+    things = sorted({t for t, _ in quality.SHARES.values()})
     q += ", " + ", ".join(f"quantile_disc({t}, 0.5) AS {t}_typical" for t in things)
-    names = [f"{k}_{i}" for k in ratios for i in range(3)] + [f"{t}_typical" for t in things]
+    names = [f"{k}_{i}" for k in ratios for i in range(len(quality.LEVELS))] + [f"{t}_typical" for t in things]
     mixed = ", ".join(f"(g.n * g.{x} + {quality.LEAN} * e.{x}) / (g.n + {quality.LEAN}) AS {x}" for x in names)
     tests = []
     for k in ratios:
-        most = f"f.{k}_1 + {quality.SPREAD} * (f.{k}_2 - f.{k}_1)"
+        middle = f"f.{k}_{quality.MEDIAN}"
         if k in quality.SHARES:
-            t = quality.SHARES[k]
-            most = f"greatest({most}, f.{k}_1 + {quality.NOISE} / sqrt(greatest(least(r.{t}, f.{t}_typical), 1)))"
-        tests.append(f"r.{k} <= {most}")
+            t, size = quality.SHARES[k]
+            ordinary = middle
+            for i in quality.UPPER:
+                level, typical = f"f.{k}_{i}", f"(f.{t}_typical / {size})"
+                ordinary = f"CASE WHEN ({level} - {middle}) * {typical} <= {quality.ERRORS} * sqrt(greatest({level} * {typical}, 1.0)) THEN {level} ELSE {ordinary} END"
+            events = f"(greatest(r.{t}, 1) / {size})"
+            tests.append(f"r.{k} * {events} <= ({ordinary}) * {events} + {quality.ERRORS} * sqrt(greatest(({ordinary}) * {events}, 1.0))")
+        else:
+            tests.append(f"r.{k} <= {middle} + {quality.SPREAD} * (f.{k}_2 - {middle})")
         if k in quality.BOTH_SIDES:
-            tests.append(f"r.{k} >= f.{k}_1 - {quality.SPREAD} * (f.{k}_1 - f.{k}_0)")
+            tests.append(f"r.{k} >= {middle} - {quality.SPREAD} * ({middle} - f.{k}_0)")
     return rf"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS l FROM documents),
  i AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) > 2), g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM i),
  c AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM c, range(3) t(k) GROUP BY doc_id),

@@ -2,9 +2,13 @@
 
 Each document gets its measures within its own row; nothing is shuffled for them. Quantile sketches of the measures
 per language and source (approximate percentiles, merged from the partial sketches of the tasks) give
-each group its own fences, which are joined to the documents and decide what passes. There is no fixed cutoff beside the two base rules: a
-fence is so many spreads of the group's middle away, and a share of a document's words or lines may stray by what chance makes of
-counts in the group's typical document. Groups of few documents lean on the sketch of all.
+each group its own fences, which are joined to the documents and decide what passes. Groups of few documents lean on the sketch of all.
+
+A count (symbols, later copies of lines, repeated words) is fenced by the highest share that is ordinary in the group: the highest of the sketch's
+upper quantiles that is no leap from the median, a leap being more than ERRORS standard errors of such a count in a document of the group's typical length.
+A document may have as many as that share gives in its own length, and ERRORS standard errors more; where the share is zero, the error is that of a single
+event. So a group with much junk takes a lower quantile, and one whose clean documents repeat themselves a higher share. The
+mean word length is fenced on both sides, SPREAD quartile distances from the median.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ BLANKS, SYMBOLS = r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
 BLANK_CHARS = " \t\n\x0b\f\r"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 ACCURACY = 1000
-#: Fences lie SPREAD quartile distances from the median. A share of a document's n things also has a play of NOISE / sqrt(n), n being at most
-#: the group's median number of them. A group's quantiles count as its documents do, those of all documents as LEAN documents.
-SPREAD, NOISE, LEAN = 8.0, 3.0, 50
-SHARES = {"symbol_ratio": "n_words", "dup_line_ratio": "n_lines", "repeat_ratio": "n_words"}
+#: SPREAD and ERRORS as above. A group's quantiles count as its documents do, those of all documents as LEAN documents.
+SPREAD, ERRORS, LEAN = 8.0, 4.0, 50
+#: What a share is a share of, and how many things an event brings: a repeat is two windows of three words.
+SHARES = {"symbol_ratio": ("n_words", 1), "dup_line_ratio": ("n_lines", 1), "repeat_ratio": ("n_words", 6)}
 BOTH_SIDES = ["word_length"]
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -85,12 +89,14 @@ def _ratios(m: str = "measures") -> dict[str, Column]:
     }
 
 
-LEVELS = [0.25, 0.5, 0.75]
+LEVELS = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
+#: Places in LEVELS of the median and of those that may be a group's highest ordinary share, in rising order.
+MEDIAN, UPPER = 1, (3, 4, 5)
 
 
 def thresholds(measured: DataFrame, group: tuple[str, ...] = ("lang", "source"), name: str = "measures") -> DataFrame:
     """The fences of each group, from all its documents; null group values are a group of their own."""
-    things = sorted(set(SHARES.values()))
+    things = sorted({t for t, _ in SHARES.values()})
     sketches = [F.percentile_approx(v, LEVELS, ACCURACY).alias(k) for k, v in _ratios(name).items()]
     sketches += [F.percentile_approx(F.col(f"{name}.{t}"), 0.5, ACCURACY).alias(t) for t in things]
     per = measured.groupBy(*[F.col(g).alias(f"__tessera_{g}") for g in group]).agg(F.count("*").alias("n"), *sketches)
@@ -105,9 +111,15 @@ def thresholds(measured: DataFrame, group: tuple[str, ...] = ("lang", "source"),
     fences = []
     for k in _ratios(name):
         low, middle, high = (level(k, i) for i in range(3))
-        fences.append((middle + SPREAD * (high - middle)).alias(f"__tessera_most_{k}"))
         if k in SHARES:
-            fences += [middle.alias(f"__tessera_middle_{k}"), level(SHARES[k]).alias(f"__tessera_things_{k}")]
+            thing, size = SHARES[k]
+            ordinary = middle
+            for i in UPPER:
+                typical = level(thing) / size
+                ordinary = F.when((level(k, i) - middle) * typical <= ERRORS * F.sqrt(F.greatest(level(k, i) * typical, F.lit(1.0))), level(k, i)).otherwise(ordinary)
+            fences.append(ordinary.alias(f"__tessera_ordinary_{k}"))
+        else:
+            fences.append((middle + SPREAD * (high - middle)).alias(f"__tessera_most_{k}"))
         if k in BOTH_SIDES:
             fences.append((middle - SPREAD * (middle - low)).alias(f"__tessera_least_{k}"))
     return both.select(*[f"__tessera_{g}" for g in group], *fences)
@@ -122,11 +134,13 @@ def with_verdicts(measured: DataFrame, fences: DataFrame, group: tuple[str, ...]
     base = F.col(f"{name}.base_failed")
     passes = ~base
     for k, v in _ratios(name).items():
-        most = F.col(f"__tessera_most_{k}")
         if k in SHARES:
-            things = F.greatest(F.least(F.col(f"{name}.{SHARES[k]}").cast("double"), F.col(f"__tessera_things_{k}")), F.lit(1.0))
-            most = F.greatest(most, F.col(f"__tessera_middle_{k}") + NOISE / F.sqrt(things))
-        passes = passes & (v <= most)
+            thing, size = SHARES[k]
+            events = F.greatest(F.col(f"{name}.{thing}"), F.lit(1)) / size
+            usual = F.col(f"__tessera_ordinary_{k}") * events
+            passes = passes & (v * events <= usual + ERRORS * F.sqrt(F.greatest(usual, F.lit(1.0))))
+        else:
+            passes = passes & (v <= F.col(f"__tessera_most_{k}"))
         if k in BOTH_SIDES:
             passes = passes & (v >= F.col(f"__tessera_least_{k}"))
     return measured.join(fences, on, "left").select(*[measured[c] for c in measured.columns], F.coalesce(passes, ~base).alias(verdict))

@@ -124,8 +124,22 @@ def word_ids(texts):
 
 
 def test_words_encode_as_the_library():
-    texts = odd_texts(5000, 11)
-    assert [x.tolist() for x in words.word_encoder().encode_many(texts)] == word_ids(texts)
+    import pyarrow as pa
+
+    texts = [*ODD, *odd_texts(5000, 11)]
+    for tail in (None, 2):
+        ids, n = words.word_encoder().encode(pa.array(texts), tail)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*x, *([2] if tail else [])] for x in word_ids(texts)]
+
+
+def test_words_are_forgotten(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(words, "KEPT", 3)
+    encoder = words.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for texts in (["one two three four five"], ["one " + "x" * 500, "two, three."], ["one two"]):
+        assert encoder.encode(pa.array(texts))[0].tolist() == sum(word_ids(texts), [])
+    assert not any(len(x) > words.LONGEST for x in encoder.known)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4095, 4096, 4097, 12_345])

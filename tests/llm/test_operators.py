@@ -282,9 +282,17 @@ def kept_by_brute_force(rows):
         good = not failed
         for k in ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length"):
             low, mid, high = (level(g, k, p) for p in (0.25, 0.5, 0.75))
-            play = quality.NOISE / max(min(r[quality.SHARES[k]], level(g, quality.SHARES[k], 0.5)), 1) ** 0.5 if k in quality.SHARES else 0
-            good &= r[k] <= mid + max(quality.SPREAD * (high - mid), play)
-            good &= k != "word_length" or r[k] >= mid - quality.SPREAD * (mid - low)
+            if k == "word_length":
+                good &= mid - 8 * (mid - low) <= r[k] <= mid + 8 * (high - mid)
+                continue
+            thing, size = {"symbol_ratio": ("n_words", 1), "dup_line_ratio": ("n_lines", 1), "repeat_ratio": ("n_words", 6)}[k]
+            typical, usual = level(g, thing, 0.5) / size, mid
+            for p in (0.9, 0.95, 0.99):
+                x = level(g, k, p)
+                if (x - mid) * typical <= 4 * max(x * typical, 1) ** 0.5:
+                    usual = x
+            n = max(r[thing], 1) / size
+            good &= r[k] * n <= usual * n + 4 * max(usual * n, 1) ** 0.5
         if good:
             out.add(i)
     return out
@@ -320,6 +328,24 @@ def test_quality_fences_reject_outliers_and_keep_clean(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(30))
 
 
+def test_quality_fences_follow_the_group(spark):
+    """The same repeated lines are an outlier among plain documents and ordinary where many have them; a junk tenth doesn't make junk ordinary."""
+    rng = np.random.default_rng(2)
+    line = lambda: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(6))
+
+    def text(again):
+        lines = [line() for _ in range(60 - again)]
+        return "\n".join(lines + list(rng.choice(lines[:8], again)))
+
+    rows = [(i, text(0), "plain") for i in range(300)] + [(1000 + i, text(int(rng.integers(0, 13))), "lists") for i in range(300)]
+    rows += [(500, text(12), "plain"), (501, text(1), "plain"), (1500, text(12), "lists")]
+    rows += [(2000 + i, text(0).replace(" ", " # "), "plain") for i in range(20)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, source string, lang string")
+    kept = {r["doc_id"] for r in quality.passing(docs).collect()}
+    assert 500 not in kept and {501, 1500} <= kept and not kept & set(range(2000, 2020))
+    assert set(range(300)) <= kept and len([i for i in kept if 1000 <= i < 1300]) > 285
+
+
 def test_licenses(spark, folder):
     low = str.maketrans(licenses.UPPER, licenses.UPPER.lower())
     for i, r in result(spark, folder, "op6_licenses").items():
