@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import encoder
+from .tokens import CHUNKS, encoder
 
 PIECES = "piece_bpe_32k.model"
 #: Stripes of the ids of B, whose dense matrices are made one at a time; bands of stripes, by which links travel.
@@ -36,10 +36,7 @@ STRIPES, BANDS = 256, 32
 #: Bytes of links that one task scores, about.
 TASK_BYTES = 128 << 20
 #: Entries that a worker keeps of chunks it has seen, the longest such chunk, and the chunks of the documents that are packed together.
-KEPT, LONGEST, HELD = 300_000, 48, 400_000
-_SPACE = r"[^\S\x1c-\x1f]"
-#: A text is cut where white space follows something else: no token of A goes past such a place, and none of B, whose vocabulary is tested for it.
-CHUNKS = re.compile(rf"{_SPACE}*[\S\x1c-\x1f]+|{_SPACE}+")
+KEPT, LONGEST, HELD = 600_000, 48, 400_000
 LINKS = "row_key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, band int, keys binary, totals binary, sizes binary, docs binary, times binary"
 
 
@@ -51,7 +48,11 @@ def letters_of_bytes() -> dict[str, int]:
 
 
 class Aligner:
-    """Token ids of both tokenizers for chunks of texts, and the links between them."""
+    """Token ids of both tokenizers for chunks of texts, and the links between them.
+
+    Texts are cut where A's splitting pattern always cuts (tokens.CHUNKS): before white space, behind a word of letters, between marks and letters, around a
+    lone line feed. B's vocabulary is tested for pieces that go past such places; if there are any, texts aren't cut, or not those with the white space in question.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,11 +67,12 @@ class Aligner:
         names = [self.b.id_to_piece(i) for i in range(self.n_b)]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
         self.a_len, self.b_len = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
-        self.space = self.b.piece_to_id("▁")
-        #: White space that B's vocabulary holds behind something else; texts aren't cut before it.
-        inner = {c for x in names for c in re.findall(r"(?<=[^\s▁])\s", x)} | {c for x in names for c in re.findall(r"(?<=▁)\s", x)}
+        self.space, self.line_feed = self.b.piece_to_id("▁"), self.b.piece_to_id("<0x0A>")
+        #: White space that B's vocabulary holds in a piece with something else; texts that have it aren't cut.
+        inner = {c for x in names for c in re.findall(r"(?<=.)\s", x)}
         self.uncut = re.compile("|".join(map(re.escape, sorted(inner)))) if inner else None
-        self.sound = not any(re.search(r"[^\s▁]▁|\s▁", x) for x in names)
+        past = re.compile(r"[^▁]▁|\n|[A-Za-zÀ-ÖØ-öø-ÿ][\x00-@\[-`{-\x7f]|[!-/:-@\[-`{-~][A-Za-zÀ-ÖØ-öø-ÿ]")
+        self.sound = not any(past.search(x) for i, x in enumerate(names) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
         self.forget()
 
     def forget(self) -> None:
@@ -85,27 +87,38 @@ class Aligner:
         return -(-self.n_b // STRIPES)
 
     def _ids_of_b(self, chunks: list[str]) -> list[list[int]]:
-        """A chunk that begins with a space is given without it, as B adds one (to what isn't empty); of any other the piece for the added one is taken away."""
-        got = self.b.encode([x[1:] if x[0] == " " else x for x in chunks], num_threads=1)
+        """Of each chunk, without the space that B puts before it: a chunk's own first space stands for it, or a line feed keeps it from the chunk."""
+        got = self.b.encode([x[1:] if x[0] == " " else f"\n{x}" for x in chunks], num_threads=1)
         for i, x in enumerate(chunks):
             if x == " ":
                 got[i] = [self.space]
             elif x[0] != " ":
-                if not got[i] or got[i][0] != self.space:
+                if got[i][:2] != [self.space, self.line_feed]:
                     raise ValueError("a piece holds the added space and more of the text")
-                got[i] = got[i][1:]
+                del got[i][:2]
         return got
 
+    def _ids_of_a(self, chunks: list[str]) -> list[bytes]:
+        known = self.a.known
+        known.clear()
+        self.a._learn([x for x in chunks if len(x) <= LONGEST])
+        return [known[x] if len(x) <= LONGEST else self.a._one(x) for x in chunks]
+
     def add(self, chunks: list[str]) -> None:
         """Learn chunks of texts, each once."""
-        ids_a, ids_b = list(self.a.encode_many(chunks)), self._ids_of_b(chunks)
-        good = []
-        for x, a, b in zip(chunks, ids_a, ids_b, strict=True):
-            raw = x.encode()
-            good.append(b"".join([self.a_bytes[i] for i in a.tolist()]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw)
-        ids_a, ids_b = [x if g else x[:0] for x, g in zip(ids_a, good, strict=True)], [x if g else [] for x, g in zip(ids_b, good, strict=True)]
-        n_a, n_b = np.array([len(x) for x in ids_a]), np.array([len(x) for x in ids_b])
-        a, b = np.concatenate(ids_a).astype(np.int64), np.fromiter(chain.from_iterable(ids_b), np.int64, int(n_b.sum()))
+        raw_a, ids_b = self._ids_of_a(chunks), self._ids_of_b(chunks)
+        n_a, n_b, good = np.array([len(x) for x in raw_a]) // 4, np.array([len(x) for x in ids_b]), np.ones(len(chunks), bool)
+        a, b = np.frombuffer(b"".join(raw_a), "<u4").astype(np.int64), np.fromiter(chain.from_iterable(ids_b), np.int64, int(n_b.sum()))
+        raw = [x.encode() for x in chunks]
+        ends, all_raw = np.cumsum([len(x) for x in raw]), b"".join(raw)
+        for ids, n, length, names in ((a, n_a, self.a_len, self.a_bytes), (b, n_b, self.b_len, self.b_bytes)):
+            upto = np.concatenate([[0], np.cumsum(length[ids])])[np.cumsum(n)]
+            if not np.array_equal(upto, ends) or b"".join(map(names.__getitem__, ids.tolist())) != all_raw:
+                cuts = np.cumsum(n) - n
+                good &= [b"".join(map(names.__getitem__, ids[lo : lo + k].tolist())) == x for lo, k, x in zip(cuts, n, raw, strict=True)]
+        if not good.all():  # the ids of the others are left out
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            n_a, n_b = n_a * good, n_b * good
         end_a, end_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         place, at_a, at_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
         pairs = ((b[at_b] % STRIPES) * self.rows() + b[at_b] // STRIPES) * self.n_a + a[at_a]
@@ -132,17 +145,21 @@ class Aligner:
         return CHUNKS.findall(f" {text}")
 
     def entries(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Each text's entries in the table. Chunks longer than LONGEST are forgotten with the next call that finds the table full."""
+        """Each text's entries in the table. Longer chunks than LONGEST aren't found again."""
         if len(self.known) > KEPT or len(self.pairs) > 8 * KEPT:
             self.forget()
-        new = list({x for t in texts for x in t if x not in self.known})
+        known, flat = self.known, list(chain.from_iterable(texts))
+        got = list(map(known.get, flat))
+        missing = [i for i, x in enumerate(got) if x is None]
+        new = list({flat[i] for i in missing})
         for i in range(0, len(new), 20_000):
             self.add(new[i : i + 20_000])
-        out = [np.fromiter(map(self.known.__getitem__, t), np.int64, len(t)) for t in texts]
+        for i in missing:
+            got[i] = known[flat[i]]
         for x in new:
             if len(x) > LONGEST:
-                del self.known[x]
-        return out
+                del known[x]
+        return np.split(np.array(got, np.int64), np.cumsum([len(t) for t in texts])[:-1])
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
