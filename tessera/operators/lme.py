@@ -1,99 +1,168 @@
-"""Linear mixed models with a random intercept, fitted from per-unit sufficient statistics.
+"""Linear mixed models with a random intercept, or an intercept and a slope, fitted from sums over classes of units.
 
-One groupBy per unit gives X'X, X'y, y'y and the sums; every model is a block of the widest design and every bootstrap
-replicate a weighted sum of the units' statistics, so the data are read once however many fits follow.
+With W = (X, y) and Z the columns of the random part, a unit enters the likelihood by Z'Z and by the products W'Z alone. Units
+of the same Z'Z (for an intercept: of the same size) therefore need only one sum of these products' products. Spark adds up
+each unit's W'W, then the classes; the driver holds one row per different Z'Z, whatever the number of units, and every
+model is a block of the widest design. A bootstrap replicate is a weighting of the units, so its class sums are made
+by the tasks that hold the units (resample.resampled_sums) and its model is fitted in a task, too.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import chi2_sf, normal_sf2
+from .resample import resampled_sums
 
+#: A variance is at its boundary up to TINY; up to SMALL of all variance it is looked for again from there.
+TINY, SMALL = 1e-10, 0.005
+Z95 = 1.959964
+USABLE = ("ok", "boundary")
 
-@dataclass
-class UnitStats:
-    """Per unit: n, X'X, X'y, y'y; the first column of X is the intercept, so X'1 is its first row."""
 
-    n: np.ndarray
-    xx: np.ndarray
-    xy: np.ndarray
-    yy: np.ndarray
+# --- sums ----------------------------------------------------------------------------------------------------------
 
 
-def unit_statistics(df: DataFrame, unit: str, y: str, x: list[str]) -> DataFrame:
-    """One row per unit with the products' sums, over complete rows; the intercept is added."""
+def unit_statistics(df: DataFrame, unit: str, y: str, x: list[str], keys: list[str] | None = None) -> DataFrame:
+    """One row per unit (and keys) with the products' sums over complete rows; the intercept is added as the first column."""
+    keys = keys or []
     rows = df.na.drop(subset=[unit, y, *x])
     cols = {"one": F.lit(1.0)} | {c: F.col(c).cast("double") for c in x}
     names = list(cols)
     aggs = [F.sum(cols[a] * cols[b]).alias(f"xx_{i}_{i + j}") for i, a in enumerate(names) for j, b in enumerate(names[i:])]
     aggs += [F.sum(cols[a] * F.col(y)).alias(f"xy_{i}") for i, a in enumerate(names)]
-    return rows.groupBy(unit).agg(F.count("*").alias("n"), F.sum(F.col(y) * F.col(y)).alias("yy"), *aggs)
+    span = [F.min(y).alias("y_low"), F.max(y).alias("y_high")]
+    return rows.groupBy(*keys, unit).agg(F.count("*").alias("n"), F.sum(F.col(y) * F.col(y)).alias("yy"), *aggs, *span)
 
 
-def collected(stats: DataFrame, k: int) -> UnitStats:
-    """The units' statistics on the driver: as many rows as units, k columns in the design."""
-    rows = stats.orderBy(stats.columns[0]).collect()
-    xx = np.zeros((len(rows), k, k))
-    for i in range(k):
-        for j in range(i, k):
-            xx[:, i, j] = xx[:, j, i] = [r[f"xx_{i}_{j}"] for r in rows]
-    return UnitStats(np.array([r["n"] for r in rows], float), xx, np.array([[r[f"xy_{i}"] for i in range(k)] for r in rows]), np.array([r["yy"] for r in rows]))
+def _product(i: int, j: int, k: int) -> str:
+    """The column of unit_statistics with the sum of W_i W_j, W being the k columns of the design and y."""
+    i, j = min(i, j), max(i, j)
+    return "yy" if i == k else f"xy_{i}" if j == k else f"xx_{i}_{j}"
 
 
-@dataclass
-class Fit:
-    status: str
-    beta: np.ndarray
-    cov: np.ndarray
-    loglik: float
-    var_unit: float
-    var_error: float
-    k_params: int
-    n: int
+def _pairs(k: int, q: int) -> list[tuple[int, int, int, int]]:
+    """(a, b, i, j): the products of W'Z_a and W'Z_b that are kept; the others follow by symmetry."""
+    return [(a, b, i, j) for a in range(q) for b in range(a, q) for i in range(k + 1) for j in (range(i, k + 1) if a == b else range(k + 1))]
 
-    @property
-    def aic(self) -> float:
-        return 2 * self.k_params - 2 * self.loglik
 
-    @property
-    def bic(self) -> float:
-        return self.k_params * math.log(self.n) - 2 * self.loglik
+def unit_products(stats: DataFrame, k: int, random: tuple[int, ...] = (0,), keys: list[str] | None = None) -> tuple[DataFrame, list[str], list[str]]:
+    """stats with the columns that classes of units are made by and those that are added up; and the names of both."""
+    q = len(random)
+    by = {f"zz_{a}_{b}": F.col(_product(random[a], random[b], k)) for a in range(q) for b in range(a, q)}
+    add = {"units": F.lit(1.0)} | {f"s_{i}_{j}": F.col(_product(i, j, k)) for i in range(k + 1) for j in range(i, k + 1)}
+    add |= {f"c_{a}_{b}_{i}_{j}": F.col(_product(random[a], i, k)) * F.col(_product(random[b], j, k)) for a, b, i, j in _pairs(k, q)}
+    keep = [*(keys or []), *[c for c in ("y_low", "y_high") if c in stats.columns]]
+    own = [c for c in stats.columns if c not in keep and not c.startswith(("xx_", "xy_", "yy"))]
+    out = stats.select(*own, *keep, *[c.cast("double").alias(n) for n, c in (by | add).items()])
+    return out, list(by), list(add)
 
 
-def _profiles(u: np.ndarray, s: UnitStats, cols: list[int], w: np.ndarray, reml: bool):
-    """(log-likelihood, beta, inverse information, error variance) of each row of w, unit weights, at the log of 1 + its variance ratio."""
-    theta = np.expm1(u)[:, None]
-    p = len(cols)
-    xx, xy = s.xx[:, cols][:, :, cols], s.xy[:, cols]
-    x1, y1 = s.xx[:, cols, 0], s.xy[:, 0]
-    wc = w * (theta / (1 + s.n * theta))
-    a = (w @ xx.reshape(-1, p * p) - wc @ (x1[:, :, None] * x1[:, None]).reshape(-1, p * p)).reshape(-1, p, p)
-    b = w @ xy - wc @ (y1[:, None] * x1)
-    yy = w @ s.yy - wc @ (y1 * y1)
-    inv = np.linalg.pinv(a, hermitian=True)
-    beta = np.einsum("rij,rj->ri", inv, b)
-    n = w @ s.n
-    df = n - np.linalg.matrix_rank(a, hermitian=True) if reml else n
-    sigma2 = np.maximum((yy - (beta * b).sum(1)) / df, 1e-300)
-    ll = -0.5 * (df * np.log(2 * math.pi * sigma2) + df + (w * np.log1p(s.n * theta)).sum(1))
+def class_statistics(stats: DataFrame, k: int, random: tuple[int, ...] = (0,), keys: list[str] | None = None) -> DataFrame:
+    """One row per different Z'Z (and keys). random: places in the design of the columns with an effect of each unit's own;
+    they should take few values, as indicators do, since a unit of its own Z'Z is a row of its own."""
+    rows, by, add = unit_products(stats, k, random, keys)
+    return rows.groupBy(*(keys or []), *by).agg(*[F.sum(c).alias(c) for c in add], F.min("y_low").alias("y_low"), F.max("y_high").alias("y_high"))
+
+
+@dataclass
+class Statistics:
+    """Class sums of R replicates (one, if nothing is resampled): zz (C, q, q), units (R, C), total (R, k+1, k+1) of W'W, cross (R, C, q, q, k+1, k+1)."""
+
+    zz: np.ndarray
+    units: np.ndarray
+    total: np.ndarray
+    cross: np.ndarray
+    spread: float = math.inf
+
+    @property
+    def n(self) -> np.ndarray:
+        return self.total[:, 0, 0]
+
+    def taken(self, cols: list[int], q: int = 1) -> Statistics:
+        """The columns of a smaller design and the first q of the random part."""
+        at = [*cols, self.total.shape[-1] - 1]
+        grid = np.ix_(at, at)
+        return Statistics(self.zz[:, :q, :q], self.units, self.total[:, *grid], self.cross[:, :, :q, :q][..., *grid], self.spread)
+
+
+def from_columns(columns: dict[str, np.ndarray], k: int, q: int, replicate: np.ndarray | None = None) -> Statistics:
+    """Statistics from the columns of class_statistics; replicate: which of the replicates 0, 1, ... a row belongs to."""
+    n = len(columns["units"])
+    zz = np.zeros((n, q, q))
+    for a in range(q):
+        for b in range(a, q):
+            zz[:, a, b] = zz[:, b, a] = columns[f"zz_{a}_{b}"]
+    classes, of = np.unique(zz.reshape(n, q * q), axis=0, return_inverse=True)
+    of, r = of.ravel(), np.zeros(n, int) if replicate is None else replicate
+    size = (r.max() + 1 if n else 1, len(classes))
+    out = Statistics(classes.reshape(-1, q, q), np.zeros(size), np.zeros((size[0], k + 1, k + 1)), np.zeros((*size, q, q, k + 1, k + 1)))
+    np.add.at(out.units, (r, of), columns["units"])
+    for i in range(k + 1):
+        for j in range(i, k + 1):
+            np.add.at(out.total[:, i, j], r, columns[f"s_{i}_{j}"])
+            out.total[:, j, i] = out.total[:, i, j]
+    for a, b, i, j in _pairs(k, q):
+        np.add.at(out.cross[:, :, a, b, i, j], (r, of), columns[f"c_{a}_{b}_{i}_{j}"])
+        out.cross[:, :, b, a, j, i] = out.cross[:, :, a, b, i, j]
+        if a == b:
+            out.cross[:, :, a, a, j, i] = out.cross[:, :, a, a, i, j]
+    if "y_low" in columns and n:
+        out.spread = float(np.max(columns["y_high"]) - np.min(columns["y_low"]))
+    return out
+
+
+def collected(classes: DataFrame, k: int, q: int = 1, keys: list[str] | None = None) -> dict[tuple, Statistics]:
+    """The class sums on the driver, by keys: as many rows as there are different Z'Z."""
+    keys = keys or []
+    rows, out = [r.asDict() for r in classes.collect()], {}
+    for key in sorted({tuple(r[c] for c in keys) for r in rows}, key=str):
+        own = [r for r in rows if tuple(r[c] for c in keys) == key]
+        out[key] = from_columns({c: np.array([r[c] for r in own], float) for c in own[0] if c not in keys}, k, q)
+    return out
+
+
+# --- likelihood ----------------------------------------------------------------------------------------------------
+
+
+def profiles(cov: np.ndarray, s: Statistics, reml: bool = False):
+    """(log-likelihood, beta, inverse information, error variance, rank) of each replicate at its covariance (R, q, q) of the random part, in error variances."""
+    p = s.total.shape[-1] - 1
+    b = np.eye(s.zz.shape[-1]) + s.zz @ cov[:, None]
+    m = cov[:, None] @ np.linalg.inv(b)
+    a = s.total - np.einsum("rcab,rcabij->rij", m, s.cross, optimize=True)
+    sign, logdet = np.linalg.slogdet(b)
+    xx, xy = a[:, :p, :p], a[:, :p, p]
+    ev, axes = np.linalg.eigh(xx)
+    some = ev > ev.max(1, keepdims=True) * 1e-12
+    inv = (axes * np.where(some, 1 / np.where(some, ev, 1.0), 0.0)[:, None]) @ axes.transpose(0, 2, 1)
+    beta = np.einsum("rij,rj->ri", inv, xy)
+    rank = some.sum(1)
+    df = s.n - rank if reml else s.n
+    sigma2 = np.maximum((a[:, p, p] - (beta * xy).sum(1)) / np.maximum(df, 1e-9), 1e-300)
+    ll = -0.5 * (df * np.log(2 * math.pi * sigma2) + df + (s.units * logdet).sum(1))
     if reml:
-        ev = np.linalg.eigvalsh(a)
-        some = ev > ev.max(1, keepdims=True) * 1e-12
         ll = ll - 0.5 * np.log(np.where(some, ev, 1.0)).sum(1)
-    return ll, beta, inv * sigma2[:, None, None], sigma2
+    ll = np.where((sign > 0).all(1), ll, -np.inf)
+    return ll, beta, inv * sigma2[:, None, None], sigma2, rank
+
+
+def _one(theta: np.ndarray) -> np.ndarray:
+    return theta[:, None, None]
 
 
-def _best(s: UnitStats, cols: list[int], w: np.ndarray, reml: bool) -> np.ndarray:
-    """The log of 1 + the likeliest variance ratio of each row of w: the best of a grid, then golden sections around it."""
-    value = lambda u: _profiles(u, s, cols, w, reml)[0]
-    grid = np.r_[0.0, np.geomspace(1e-4, 12, 40)]
-    i = np.argmax([value(np.full(len(w), u)) for u in grid], axis=0)
+def best_intercept(s: Statistics, reml: bool = False, top: float = 12.0) -> np.ndarray:
+    """The likeliest variance ratio of each replicate: the best of a grid over the log of 1 + ratio from the boundary on, then golden sections around it."""
+    value = lambda u: profiles(_one(np.expm1(u)), s, reml)[0]
+    r = len(s.units)
+    grid = np.r_[0.0, np.geomspace(1e-4 * min(top, 1.0), top, 40)]
+    i = np.argmax([value(np.full(r, u)) for u in grid], axis=0)
     lo, hi = grid[np.maximum(i - 1, 0)], grid[np.minimum(i + 1, len(grid) - 1)]
     g = (math.sqrt(5) - 1) / 2
     for _ in range(60):
@@ -101,34 +170,170 @@ def _best(s: UnitStats, cols: list[int], w: np.ndarray, reml: bool) -> np.ndarra
         left = value(a) >= value(b)
         lo, hi = np.where(left, lo, a), np.where(left, b, hi)
     middle = (lo + hi) / 2
-    return np.where(value(np.zeros(len(w))) >= value(middle), 0.0, middle)
+    return np.expm1(np.where(value(np.zeros(r)) >= value(middle), 0.0, middle))
+
+
+def simplex(f, start: np.ndarray, step: float, rounds: int = 600, tol: float = 1e-11) -> tuple[np.ndarray, float]:
+    """Minimum of f by a simplex that reflects, stretches and shrinks (Nelder and Mead)."""
+    x = np.vstack([start, start + step * np.eye(len(start))])
+    y = np.array([f(v) for v in x])
+    for _ in range(rounds):
+        order = np.argsort(y)
+        x, y = x[order], y[order]
+        if y[-1] - y[0] <= tol * (abs(y[0]) + tol) and np.abs(x - x[0]).max() < 1e-7:
+            break
+        mid = x[:-1].mean(0)
+        tries = [mid + t * (mid - x[-1]) for t in (1.0, 2.0, 0.5, -0.5)]
+        fv = f(tries[0])
+        if fv < y[0]:
+            far = f(tries[1])
+            x[-1], y[-1] = (tries[1], far) if far < fv else (tries[0], fv)
+            continue
+        if fv < y[-2]:
+            x[-1], y[-1] = tries[0], fv
+            continue
+        near = tries[2] if fv < y[-1] else tries[3]
+        value = f(near)
+        if value < min(fv, y[-1]):
+            x[-1], y[-1] = near, value
+        else:
+            x[1:] = x[0] + 0.5 * (x[1:] - x[0])
+            y[1:] = [f(v) for v in x[1:]]
+    i = int(np.argmin(y))
+    return x[i], float(y[i])
+
+
+def _from_factor(v: np.ndarray) -> np.ndarray:
+    low = np.array([[v[0], 0.0], [v[1], v[2]]])
+    return low @ low.T
+
+
+def best_slope(s: Statistics, reml: bool, start: np.ndarray, step: float) -> np.ndarray:
+    """A likely 2 x 2 covariance, looked for over its Cholesky factor."""
+    value = lambda v: -profiles(_from_factor(v)[None], s, reml)[0][0]
+    at, _ = simplex(lambda v: value(v) if np.isfinite(value(v)) else 1e300, start, step)
+    at, _ = simplex(lambda v: value(v) if np.isfinite(value(v)) else 1e300, at, step / 10)
+    return _from_factor(at)
+
+
+def identified(cov: np.ndarray, s: Statistics, reml: bool) -> bool:
+    """Does the likelihood curve in every direction of the covariance, so that standard errors exist?"""
+    q = len(cov)
+    at = [(a, b) for a in range(q) for b in range(a, q)]
+    h = 1e-3 * (np.abs(np.diag(cov)).max() + 1e-3)
+
+    def value(d: np.ndarray) -> float:
+        c = cov.copy()
+        for (a, b), x in zip(at, d, strict=True):
+            c[a, b] += x
+            c[b, a] = c[a, b]
+        return float(profiles(c[None], s, reml)[0][0])
+
+    unit = h * np.eye(len(at))
+    curve = np.array([[(value(u + v) - value(u - v) - value(v - u) + value(-u - v)) / (4 * h * h) for v in unit] for u in unit])
+    if not np.isfinite(curve).all():
+        return False
+    ev = np.linalg.eigvalsh(-curve)
+    return bool(ev[0] > 1e-5 * max(ev[-1], 0.0) and ev[-1] > 0)
 
 
-def fit(s: UnitStats, cols: list[int], reml: bool = False, weights: np.ndarray | None = None) -> Fit:
-    """Random-intercept model on some columns of the design; weights: how often each unit was drawn."""
-    w = (np.ones(len(s.n)) if weights is None else weights.astype(float))[None]
-    u = _best(s, cols, w, reml)
-    theta = math.expm1(u[0])
-    ll, beta, cov, sigma2 = (x[0] for x in _profiles(u, s, cols, w, reml))
-    tiny = theta * sigma2 <= 1e-10 or theta / (1 + theta) < 0.005
-    status = "no_variance" if sigma2 <= 1e-12 else "boundary" if tiny else "ok"
-    return Fit(status, beta, cov, float(ll), float(theta * sigma2), float(sigma2), len(cols) + 2, int(w[0] @ s.n))
+@dataclass
+class Fit:
+    """status: ok, boundary (no variance between units), singular (no standard errors), no_variance (a constant response), failed: why."""
+
+    status: str
+    beta: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    cov: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    loglik: float = math.nan
+    var_random: np.ndarray = field(default_factory=lambda: np.full((1, 1), math.nan))
+    var_error: float = math.nan
+    k_params: int = 0
+    n: int = 0
+    retried: bool = False
+
+    @property
+    def usable(self) -> bool:
+        return self.status in USABLE
+
+    @property
+    def var_unit(self) -> float:
+        return float(np.trace(self.var_random))
+
+    @property
+    def aic(self) -> float:
+        return 2 * self.k_params - 2 * self.loglik
+
+    @property
+    def bic(self) -> float:
+        return self.k_params * math.log(self.n) - 2 * self.loglik if self.n else math.nan
+
+
+def fit(s: Statistics, cols: list[int], reml: bool = False, q: int = 1) -> Fit:
+    """The model on some columns of the design with the first q columns of the random part.
+
+    Where the random variance is at its boundary, a very small share, or has no standard errors, it is looked for once more from the
+    boundary, and the larger of both variances is taken unless it is less likely."""
+    n = int(round(float(s.n[0]))) if len(s.units[0]) else 0
+    if not n:
+        return Fit("failed: no rows")
+    if s.spread == 0:
+        return Fit("no_variance", n=n)
+    s = s.taken(cols, q)
+    p = len(cols)
+    if np.linalg.matrix_rank(s.total[0, :p, :p], hermitian=True) < p:
+        return Fit("failed: singular design", n=n)
+    if n <= p:
+        return Fit("failed: fewer rows than terms", n=n)
+
+    def result(cov: np.ndarray) -> tuple[float, float, float, bool]:
+        ll, _, var, sigma2, _ = (x[0] for x in profiles(cov[None], s, reml))
+        trace = float(np.trace(cov))
+        errors = np.isfinite(np.sqrt(np.diag(var))).all() and np.isfinite(ll) and (q == 1 or identified(cov, s, reml))
+        return float(ll), trace * float(sigma2), trace / (1 + trace), bool(errors)
+
+    if q == 1:
+        cov = best_intercept(s, reml)[:, None]
+    else:
+        first = math.sqrt(best_intercept(Statistics(s.zz[:, :1, :1], s.units, s.total, s.cross[:, :, :1, :1]), reml)[0])
+        cov = best_slope(s, reml, np.array([first, 0.0, max(first, 0.1)]), 0.3)
+    got, again = result(cov), False
+    if got[1] <= TINY or got[2] < SMALL or not got[3]:
+        again = True
+        other = best_intercept(s, reml, 2 * SMALL)[:, None] if q == 1 else best_slope(s, reml, np.array([1e-3, 0.0, 1e-3]), 0.05)
+        second = result(other)
+        if second[1] > got[1] and second[0] >= got[0] - 1e-8 * abs(got[0]):
+            cov, got = other, second
+    ll, beta, var, sigma2, _ = (x[0] for x in profiles(cov[None], s, reml))
+    scale = float(s.total[0, p, p]) / n
+    if not np.isfinite(sigma2) or sigma2 <= 1e-14 * max(scale, 1e-300):
+        status = "singular"
+    elif got[1] <= TINY:
+        status = "boundary"
+    else:
+        status = "ok" if got[3] else "singular"
+    return Fit(status, beta, var, float(ll), cov * sigma2, float(sigma2), p + q * (q + 1) // 2 + 1, n, again)
 
 
 def likelihood_ratio(small: Fit, large: Fit) -> tuple[float, int, float]:
+    """(statistic, degrees of freedom, p); a negative statistic counts as zero, and a fit that can't be used gives nothing."""
+    if not (small.usable and large.usable):
+        return math.nan, 0, math.nan
     df = max(large.k_params - small.k_params, 1)
     x = 2 * (large.loglik - small.loglik)
     return (0.0, df, 1.0) if x < 0 else (x, df, chi2_sf(x, df))
 
 
 def icc(null: Fit) -> float:
-    return null.var_unit / (null.var_unit + null.var_error)
+    total = null.var_unit + null.var_error
+    return null.var_unit / total if null.usable and total > 0 else math.nan
 
 
-def nakagawa(f: Fit, s: UnitStats, cols: list[int]) -> tuple[float, float]:
+def nakagawa(f: Fit, s: Statistics, cols: list[int]) -> tuple[float, float]:
     """Marginal and conditional R2; the fixed part's variance is that of the fitted values over all rows."""
-    n = s.n.sum()
-    xx, x1 = s.xx.sum(0)[np.ix_(cols, cols)] / n, s.xx.sum(0)[cols, 0] / n
+    if not f.usable:
+        return math.nan, math.nan
+    n = float(s.n[0])
+    xx, x1 = s.total[0][np.ix_(cols, cols)] / n, s.total[0][cols, 0] / n
     fixed = max(float(f.beta @ xx @ f.beta - (f.beta @ x1) ** 2), 0.0)
     total = fixed + f.var_unit + f.var_error
     return fixed / total, (fixed + f.var_unit) / total
@@ -136,24 +341,91 @@ def nakagawa(f: Fit, s: UnitStats, cols: list[int]) -> tuple[float, float]:
 
 def wald(f: Fit, contrast: np.ndarray) -> tuple[float, float, float, float]:
     """(estimate, SE, z, p) of a contrast."""
+    if not f.usable:
+        return math.nan, math.nan, math.nan, math.nan
     est, se = float(contrast @ f.beta), math.sqrt(max(float(contrast @ f.cov @ contrast), 0.0))
     z = est / se if se > 0 else math.nan
     return est, se, z, normal_sf2(z) if se > 0 else math.nan
 
 
-#: Models as blocks of the design (1, L2, Male, L2 x Male, further columns).
-SPECS = {"null": [0], "main": [0, 1, 2], "full": [0, 1, 2, 3]}
+# --- the sequence of models ----------------------------------------------------------------------------------------
 
+#: Models as blocks of the design (1, group, second factor, their product, further columns) and columns of the random part (1, group).
+SEQUENCE = ["null", "main", "full", "extended", "random_slope"]
+TERMS = ["intercept", "group", "second", "group:second"]
 
-def build_models(s: UnitStats, extra: list[int]) -> dict[str, Fit]:
-    specs = SPECS | {"extended": [*SPECS["full"], *extra]}
-    return {name: fit(s, cols) for name, cols in specs.items()}
 
+def designs(extra: int) -> dict[str, tuple[list[int], int]]:
+    wide = list(range(4 + extra))
+    return {"null": ([0], 1), "main": ([0, 1, 2], 1), "full": ([0, 1, 2, 3], 1), "extended": (wide, 1), "random_slope": (wide, 2)}
 
-def bootstrap(s: UnitStats, cols: list[int], contrast: np.ndarray, draws: np.ndarray, at_once: int = 100) -> np.ndarray:
-    """Estimates of a contrast over replicates, some fitted at once; draws: (replicate, unit) multiplicities."""
-    out = []
-    for lo in range(0, len(draws), at_once):
-        w = draws[lo : lo + at_once].astype(float)
-        out.append(_profiles(_best(s, cols, w, False), s, cols, w, False)[1] @ contrast)
-    return np.concatenate(out) if out else np.zeros(0)
+
+@dataclass
+class Models:
+    """The fits of one response, and of the extended model without the group's own term."""
+
+    s: Statistics
+    extra: int
+    fits: dict[str, Fit]
+    without: Fit
+
+    def comparisons(self) -> Iterator[tuple]:
+        """(small, large, statuses, log-likelihoods, chi2, df, p, AICs, BICs) of each model and the one before it."""
+        for a, b in zip(SEQUENCE, SEQUENCE[1:], strict=False):
+            x, y = self.fits[a], self.fits[b]
+            yield (a, b, x.status, y.status, x.loglik, y.loglik, *likelihood_ratio(x, y), x.aic, y.aic, x.bic, y.bic)
+
+    def coefficients(self) -> Iterator[tuple]:
+        """(model, term, estimate, SE, z, p, interval) of every model that can be used."""
+        names = [*TERMS, *[f"extra_{i + 1}" for i in range(self.extra)]]
+        for model, (cols, _) in designs(self.extra).items():
+            for i, c in enumerate(cols if self.fits[model].usable else []):
+                est, se, z, p = wald(self.fits[model], np.eye(len(cols))[i])
+                yield model, names[c], est, se, z, p, est - Z95 * se, est + Z95 * se
+
+    def effects(self) -> tuple:
+        """(marginal and conditional R2 of main, full and extended, the group's part of the extended model's marginal R2, ICC, the group's estimate in main with its SE and interval)"""
+        at = designs(self.extra)
+        r2 = [x for m in ("main", "full", "extended") for x in nakagawa(self.fits[m], self.s, at[m][0])]
+        less = nakagawa(self.without, self.s, [c for c in at["extended"][0] if c != 1])[0]
+        part = max(r2[4] - less, 0.0) if math.isfinite(r2[4]) and math.isfinite(less) else math.nan
+        est, se, _, _ = wald(self.fits["main"], np.array([0.0, 1.0, 0.0]))
+        return (*r2, part, icc(self.fits["null"]), est, se, est - Z95 * se, est + Z95 * se)
+
+
+def build_models(s: Statistics, extra: int) -> Models:
+    """All models of one response; s has the widest design and a random part of two columns."""
+    fits = {name: fit(s, cols, q=q) for name, (cols, q) in designs(extra).items()}
+    return Models(s, extra, fits, fit(s, [c for c in range(4 + extra) if c != 1]))
+
+
+# --- bootstrap -----------------------------------------------------------------------------------------------------
+
+
+def estimable(s: Statistics, cols: list[int], contrast: np.ndarray) -> np.ndarray:
+    """Whether each replicate's design determines a contrast; one that has lost a class doesn't determine that class's."""
+    at = np.ix_(cols, cols)
+    inv = np.linalg.pinv(s.total[:, *at], hermitian=True)
+    return np.abs(contrast @ (inv @ s.total[:, *at]) - contrast).max(1) < 1e-6
+
+
+def bootstrap(stats: DataFrame, unit: str, k: int, cols: list[int], contrasts: dict[str, list[float]], n: int, seed: int, at_once: int = 50) -> DataFrame:
+    """(b, term, estimate): contrasts of the model fitted to units drawn with replacement, each drawn copy a unit of its own; null where a replicate doesn't determine one.
+
+    stats: of unit_statistics. Replicates are dealt to tasks, at_once fitted side by side."""
+    rows, by, add = unit_products(stats, k)
+    sums = resampled_sums(rows.drop("y_low", "y_high"), unit, by, add, n, seed)
+    names = {t: np.array(c, float) for t, c in contrasts.items()}
+
+    def fitted(pdf):
+        import pandas as pd
+
+        order = np.sort(pdf["b"].unique())
+        s = from_columns({c: pdf[c].to_numpy(float) for c in (*by, *add)}, k, 1, np.searchsorted(order, pdf["b"].to_numpy()))
+        own = s.taken(cols)
+        beta = profiles(_one(best_intercept(own)), own)[1]
+        out = [pd.DataFrame({"b": order, "term": t, "estimate": np.where(estimable(s, cols, c), beta @ c, np.nan)}) for t, c in names.items()]
+        return pd.concat(out)
+
+    got = sums.withColumn("_g", F.floor(F.col("b") / at_once)).groupBy("_g").applyInPandas(fitted, "b long, term string, estimate double")
+    return got.withColumn("estimate", F.when(~F.isnan("estimate"), F.col("estimate")))

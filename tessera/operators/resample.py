@@ -1,10 +1,15 @@
 """Permutations and bootstraps as joins of index tables with per-unit statistics.
 
-Randomness is a hash of seed, replicate and unit, so any engine gets the same draws.
+Randomness is a hash of seed, replicate and unit, so any engine gets the same draws; or, for many units, draws are split by partition
+(resampled_sums), so that no row is made per replicate and unit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +75,114 @@ def sampled_pairs(df: DataFrame, key: str, cls: str, within: int, between: int,
     far = far.join(a, "i").join(b, "j").where("ci <> cj").orderBy("k").limit(between).select("x", "y", F.lit(False).alias("same"))
     near = own.select((F.col("at") + F.col("i")).alias("i"), (F.col("at") + F.col("j")).alias("j")).join(a, "i").join(b, "j").select("x", "y", F.lit(True).alias("same"))
     return near.unionByName(far)
+
+
+# --- draws that are split by partition -----------------------------------------------------------------------------
+
+#: Units of a block whose draws are made together, units that a partition should have at least, and numbers that a task holds before it hands them on.
+BLOCK, LEAST, HELD = 256, 4096, 4_000_000
+
+
+def split_counts(sizes: np.ndarray, part: int, n: int, seed: int) -> np.ndarray:
+    """How many of a replicate's draws fall to a partition, for each of n replicates; sizes: units per partition.
+
+    A tree halves the partitions; at each node a binomial number of the draws goes left. The node seeds its draws, so every task finds the
+    same numbers on its own way down, and together they are a multinomial draw of all units' number."""
+    lo, hi = 0, len(sizes)
+    left = np.full(n, int(sizes.sum()), np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        first, both = int(sizes[lo:mid].sum()), int(sizes[lo:hi].sum())
+        down = np.random.default_rng([seed, lo, hi]).binomial(left, first / both) if both else left
+        lo, hi, left = (lo, mid, down) if part < mid else (mid, hi, left - down)
+    return left
+
+
+def _resampled(unit: str, stratum: list[str], groups: list[str], values: list[str], sizes: dict[tuple, np.ndarray], n: int, seed: int, schema: pa.Schema):
+    """Rows of one partition, sorted by stratum and unit -> sums per replicate and group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        left: dict[tuple, list] = {}  # by stratum: draws and units that are left, and the generator
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for key, x in sums.items():
+                some = np.flatnonzero(x[:, -1])  # the weight of a replicate's rows
+                columns = [pa.array(some), *[pa.array([v] * len(some), schema.field(g).type) for g, v in zip(groups, key, strict=True)], *[pa.array(c) for c in x[some, :-1].T]]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            sums.clear()
+
+        def block(keys: list[tuple], of: np.ndarray, units: int, table: np.ndarray, part: int, own: tuple) -> None:
+            if own not in left:
+                left[own] = [split_counts(sizes[own], part, n, seed), int(sizes[own][part]), np.random.default_rng([seed, len(sizes[own]), part, sorted(sizes, key=str).index(own)])]
+            draws, rest, rng = left[own]
+            mine = rng.binomial(draws, min(1.0, units / rest))
+            times = rng.multinomial(mine, np.full(units, 1 / units)).astype(float)
+            left[own][:2] = draws - mine, rest - units
+            names = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            code = np.array([names[k] for k in keys])
+            table = np.column_stack([table, np.ones(len(table))])
+            for k, i in names.items():
+                rows = np.flatnonzero(code == i)
+                add = times[:, of[rows]] @ table[rows]
+                if k in sums:
+                    sums[k] += add
+                else:
+                    sums[k] = add
+
+        held: list[tuple] = []
+        table = np.zeros((0, len(values)))
+
+        def cut(end: bool) -> Iterator[pa.RecordBatch]:
+            """Blocks of whole units of one stratum from what is held; at the end all of it."""
+            nonlocal held, table
+            at = 0
+            while at < len(held):
+                part, own, place, to = held[at][0], held[at][1], {}, at
+                while to < len(held) and held[to][1] == own and (held[to][2] in place or len(place) < BLOCK):
+                    place.setdefault(held[to][2], len(place))
+                    to += 1
+                if to == len(held) and not end:
+                    break
+                block([r[3] for r in held[at:to]], np.array([place[r[2]] for r in held[at:to]]), len(place), table[at:to], part, own)
+                at = to
+                if len(sums) * n * (len(values) + 1) > HELD:
+                    yield from given()
+            held, table = held[at:], table[at:]
+
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in dict.fromkeys(["_part", unit, *stratum, *groups])}
+            strata = zip(*[columns[c] for c in stratum], strict=True) if stratum else [()] * batch.num_rows
+            keys = zip(*[columns[c] for c in groups], strict=True) if groups else [()] * batch.num_rows
+            held += zip(columns["_part"], strata, columns[unit], keys, strict=True)
+            table = np.vstack([table, np.column_stack([batch.column(c).to_numpy() for c in values])])
+            yield from cut(False)
+        yield from cut(True)
+        yield from given()
+
+    return run
+
+
+def resampled_sums(df: DataFrame, unit: str, groups: list[str], values: list[str], n: int, seed: int, stratum: list[str] | None = None) -> DataFrame:
+    """(b, groups, values): sums of values over the rows of units that are drawn with replacement, as many as there are, in each of n replicates.
+
+    All rows of a unit are drawn together. stratum: columns constant within a unit; units are drawn within each of their values, and groups must
+    hold those columns if their sums are to be apart. Values are numbers without nulls. A (b, groups) of which nothing is drawn has no row.
+
+    Units are dealt to partitions by hash. Each finds its share of the draws (split_counts), draws its units' multiplicities block by block and multiplies them, a matrix
+    of replicates and units, by the units' values; the partitions' sums are added up. So work is replicates x units, but rows are
+    partitions x groups x replicates. The driver gathers the number of units per partition (and stratum)."""
+    spark, stratum = df.sparkSession, stratum or []
+    rows = df.select(*dict.fromkeys([unit, *stratum, *groups]), *[F.col(c).cast("double").alias(c) for c in values])
+    units = rows.select(unit, *stratum).distinct()
+    parts = max(1, min(units.count() // LEAST, 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = rows.repartition(parts, unit).sortWithinPartitions(*stratum, unit, *groups).withColumn("_part", F.spark_partition_id())
+    sizes: dict[tuple, np.ndarray] = {}
+    for r in units.repartition(parts, unit).groupBy(F.spark_partition_id().alias("_part"), *stratum).agg(F.count("*").alias("_n")).collect():
+        sizes.setdefault(tuple(r[c] for c in stratum), np.zeros(parts, np.int64))[r["_part"]] = r["_n"]
+    kinds = dict(df.dtypes)
+    names = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    schema = pa.schema([("b", pa.int64()), *[(g, names[kinds[g]]) for g in groups], *[(v, pa.float64()) for v in values]])
+    out = ", ".join(["b long", *[f"{g} {kinds[g]}" for g in groups], *[f"{v} double" for v in values]])
+    own = dealt.mapInArrow(_resampled(unit, stratum, groups, values, sizes, n, seed, schema), out)
+    return own.groupBy("b", *groups).agg(*[F.sum(v).alias(v) for v in values])

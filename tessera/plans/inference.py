@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -14,7 +14,6 @@ from ..functions import kernels as K
 from ..operators import classify as L
 from ..operators import cluster as U
 from ..operators import describe as D
-from ..operators import lme as M
 from ..operators import resample as R
 from ..operators import vectors as V
 from ..session import table
@@ -308,17 +307,20 @@ BOOT = f"""{TOK_SQL}, um AS (SELECT unit, cls, avg(f1) AS x, avg(f2) AS y FROM t
  SELECT a, b, measure, count(*) AS n_valid, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high FROM e GROUP BY ALL"""
 
 
-@query("t7_bootstrap_distances", "WITH " + BOOT)
-def t7(spark, d):
-    """Intervals of class distances over units drawn with replacement, as weights on the units' means; the covariance of the
-    Mahalanobis distance is that of the pair's own unit means, estimated anew in each replicate."""
-    um = tokens(spark, d).na.drop(subset=["f1", "f2"]).groupBy("unit", "cls").agg(F.avg("f1").alias("x"), F.avg("f2").alias("y"))
-    um = materialize(um, "unit-means")
-    w = R.bootstrap_weights(um.select("unit").distinct(), "unit", BOOTSTRAPS, 11)
-    t, x, y = F.col("times"), F.col("x"), F.col("y")
-    sums = {"n": t, "sx": t * x, "sy": t * y, "qx": t * x * x, "qz": t * x * y, "qy": t * y * y}
-    c = materialize(w.join(um, "unit").groupBy("b", "cls").agg(*[F.sum(e).alias(k) for k, e in sums.items()]), "replicates")
-    p, q = (c.select(F.col("b").alias("r"), F.col("cls").alias(s), *[F.col(k).alias(f"{k}_{s}") for k in sums]) for s in "ab")
+def unit_means(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(spark, d).na.drop(subset=["f1", "f2"]).groupBy("unit", "cls").agg(F.avg("f1").alias("x"), F.avg("f2").alias("y"))
+
+
+def pair_sums() -> dict[str, Column]:
+    """What a replicate needs of each class: the units' number, sums and products of their means."""
+    x, y = F.col("x"), F.col("y")
+    return {"n": F.lit(1.0), "sx": x, "sy": y, "qx": x * x, "qz": x * y, "qy": y * y}
+
+
+def pair_intervals(c: DataFrame) -> DataFrame:
+    """Intervals of the distances of classes over replicates; c: b, cls and pair_sums(). The covariance of the Mahalanobis distance is that of
+    the pair's own unit means, estimated anew in each replicate."""
+    p, q = (c.select(F.col("b").alias("r"), F.col("cls").alias(s), *[F.col(k).alias(f"{k}_{s}") for k in pair_sums()]) for s in "ab")
     both = p.join(q, "r").where("a < b")
     scatter = lambda s, m, n: F.col(f"{s}_a") - F.col(f"{m}_a") * F.col(f"{n}_a") / F.col("n_a") + F.col(f"{s}_b") - F.col(f"{m}_b") * F.col(f"{n}_b") / F.col("n_b")
     gap = lambda m: F.col(f"{m}_a") / F.col("n_a") - F.col(f"{m}_b") / F.col("n_b")
@@ -332,6 +334,22 @@ def t7(spark, d):
     return R.percentile_interval(cov.select("a", "b", F.inline(made)).where("d is not null"), ["a", "b", "measure"], "d")
 
 
+@query("t7_bootstrap_distances", "WITH " + BOOT)
+def t7(spark, d):
+    """Intervals of class distances over units drawn with replacement, as weights on the units' means; draws are hashed, so that SQL has the same."""
+    um = materialize(unit_means(spark, d), "unit-means")
+    w = R.bootstrap_weights(um.select("unit").distinct(), "unit", BOOTSTRAPS, 11)
+    c = materialize(w.join(um, "unit").groupBy("b", "cls").agg(*[F.sum(F.col("times") * e).alias(k) for k, e in pair_sums().items()]), "replicates")
+    return pair_intervals(c)
+
+
+@query("t7_split_draws")
+def t7_split(spark, d):
+    """The same intervals from draws that are split by partition: no row per replicate and unit is made, whatever the number of units."""
+    um = unit_means(spark, d).select("unit", "cls", *[e.alias(k) for k, e in pair_sums().items()])
+    return pair_intervals(R.resampled_sums(um, "unit", ["cls"], list(pair_sums()), BOOTSTRAPS, 11))
+
+
 VBOOT = f"""{W}, pick AS (SELECT DISTINCT cls FROM vec ORDER BY cls LIMIT 3), um AS (SELECT cls, unit, dim, avg(x) AS m FROM dims WHERE cls IN (SELECT cls FROM pick) GROUP BY ALL), o AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT unit FROM um)),
  dr AS (SELECT b, o.place AS slot, ('0x' || substr(md5('11-' || b || '-' || o.place), 1, 8))::BIGINT % size AS place FROM range({BOOTSTRAPS}) t(b), o), w AS (SELECT b, unit, count(*) AS times FROM dr JOIN o USING (place) GROUP BY ALL),
  c AS (SELECT b, cls, dim, sum(times * m) AS m FROM w JOIN um USING (unit) GROUP BY ALL), d AS (SELECT p.cls AS a, q.cls AS c, {COS} AS d FROM c p JOIN c q ON p.b = q.b AND p.dim = q.dim AND p.cls < q.cls GROUP BY p.b, p.cls, q.cls)
@@ -419,59 +437,6 @@ def v9(spark, d):
     return principal_components(vectors(spark, d), "vec_id", "v", 5)
 
 
-DESIGN = {"l2": "status = 'L2'", "male": "gender = 'M'", "both": "status = 'L2' and gender = 'M'", "c2": "cls = 'view'", "c3": "cls = 'purchase'"}
-
-
-def _stats(spark, d):
-    t = tokens(spark, d).select("unit", "f2", *[F.expr(f"cast({e} as double)").alias(k) for k, e in DESIGN.items()])
-    return M.unit_statistics(t, "unit", "f2", list(DESIGN))
-
-
-@query("m2_unit_statistics", f"WITH {TOK_SQL}, x AS (SELECT unit, f2 AS y, (status = 'L2')::INT AS l2 FROM tok WHERE f2 IS NOT NULL) SELECT unit, count(*) AS n, round(sum(y * y), 6) AS yy, round(sum(l2 * y), 6) AS ly, round(sum(y), 6) AS y FROM x GROUP BY unit")
-def m2(spark, d):
-    return _stats(spark, d).select("unit", "n", "yy", F.col("xy_1").alias("ly"), F.col("xy_0").alias("y"))
-
-
-def _frame(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame([tuple(x.item() if isinstance(x, np.generic) else x for x in r) for r in rows], schema)
-
-
-@query("m4_model_comparison")
-def m4(spark, d):
-    """Null, main, full and extended random-intercept models with their likelihood-ratio tests."""
-    s = M.collected(_stats(spark, d), 6)
-    fits = M.build_models(s, [4, 5])
-    names = list(fits)
-    rows = [(a, b, fits[b].status, fits[b].loglik, *M.likelihood_ratio(fits[a], fits[b]), fits[b].aic, fits[b].bic) for a, b in zip(names, names[1:], strict=False)]
-    return _frame(spark, rows, "small string, large string, status string, loglik double, chi2 double, df int, p_value double, aic double, bic double")
-
-
-@query("m5_explained_variance")
-def m5(spark, d):
-    s = M.collected(_stats(spark, d), 6)
-    fits = M.build_models(s, [4, 5])
-    cols = M.SPECS | {"extended": [0, 1, 2, 3, 4, 5]}
-    return _frame(spark, [(k, *M.nakagawa(f, s, cols[k]), M.icc(fits["null"])) for k, f in fits.items()], "model string, r2_marginal double, r2_conditional double, icc double")
-
-
-@query("m7_coefficients")
-def m7(spark, d):
-    s = M.collected(_stats(spark, d), 6)
-    f = M.fit(s, [0, 1, 2, 3])
-    return _frame(spark, [(n, *M.wald(f, np.eye(4)[i])) for i, n in enumerate(["intercept", "l2", "male", "l2:male"])], "term string, estimate double, se double, z double, p_value double")
-
-
-@query("m13_cluster_bootstrap")
-def m13(spark, d):
-    """Interval of the group effect over units drawn with replacement, then its place against a region of equivalence."""
-    s = M.collected(_stats(spark, d), 6)
-    draws = np.random.default_rng(42).multinomial(len(s.n), np.full(len(s.n), 1 / len(s.n)), size=BOOTSTRAPS)
-    got = M.bootstrap(s, [0, 1, 2], np.array([0.0, 1.0, 0.0]), draws)
-    low, high = np.quantile(got, [0.025, 0.975])
-    out = _frame(spark, [("l2", float(np.mean(got)), float(low), float(high))], "term string, mean double, ci_low double, ci_high double")
-    return out.withColumn("rope", R.classify_rope(F.col("ci_low"), F.col("ci_high"), F.lit(-0.5), F.lit(0.5)))
-
-
 @query("p1_base_symbols")
 def p1(spark, d):
     return table(spark, d, "documents").select("doc_id", C.base_symbol(F.col("text")).alias("base"))

@@ -11,13 +11,12 @@ from ..functions import kernels as K
 from ..operators import classify as L
 from ..operators import cluster as U
 from ..operators import describe as D
-from ..operators import lme as M
 from ..operators import resample as R
 from ..operators import vectors as V
 from ..operators.layout import neighbour_layout
 from ..session import table
-from .inference import BOOT, BOOTSTRAPS, CEN, COS, EUC, MANTEL, PERMUTATIONS, UNIT, W, _frame, _stats
-from .roles import DIM_SQL, TOK_SQL, VEC_SQL, rounded, tokens, vectors
+from .inference import BOOT, BOOTSTRAPS, CEN, COS, EUC, MANTEL, PERMUTATIONS, UNIT, W
+from .roles import DIM_SQL, TOK_SQL, VEC_SQL, frame, rounded, tokens, vectors
 
 QUERIES, ORACLES = {}, {}
 
@@ -192,6 +191,15 @@ def t8(spark, d):
     return R.percentile_interval(m.select(F.abs(F.col("L1") - F.col("L2")).alias("d")), [], "d")
 
 
+@query("t8_split_draws")
+def t8_split(spark, d):
+    """The same interval from draws that are split by partition and made within each group."""
+    um = tokens(spark, d).where("cls = 'click'").groupBy("unit", "status").agg(F.avg("f1").alias("m"))
+    sums = R.resampled_sums(um.select("unit", "status", F.coalesce("m", F.lit(0.0)).alias("m"), F.col("m").isNotNull().cast("double").alias("n")), "unit", ["status"], ["m", "n"], BOOTSTRAPS, 13, ["status"])
+    m = sums.groupBy("b").pivot("status", ["L1", "L2"]).agg(F.first(F.col("m") / F.col("n")))
+    return R.percentile_interval(m.select(F.abs(F.col("L1") - F.col("L2")).alias("d")), [], "d")
+
+
 PARTS = {"head": (1, 22), "middle": (23, 44), "tail": (45, 64)}
 
 
@@ -239,96 +247,6 @@ def d2g(spark, d):
     return p.groupBy("status").agg((F.sum(F.col("mean_distance") * F.col("n_pairs")) / F.sum("n_pairs")).alias("distance"))
 
 
-# --- mixed models -------------------------------------------------------------------------------------------------
-
-
-@query("m3_information_criteria")
-def m3(spark, d):
-    s = M.collected(_stats(spark, d), 6)
-    rows = [(k, f.status, f.k_params, f.n, f.loglik, f.aic, f.bic) for k, f in M.build_models(s, [4, 5]).items()]
-    return _frame(spark, rows, "model string, status string, k int, n int, loglik double, aic double, bic double")
-
-
-@query("m8_partial_r2")
-def m8(spark, d):
-    """Share of the variance that the group term adds to the extended model; its interaction stays in the smaller one."""
-    s = M.collected(_stats(spark, d), 6)
-    full, less = [0, 1, 2, 3, 4, 5], [0, 2, 3, 4, 5]
-    a, b = M.fit(s, full), M.fit(s, less)
-    r = M.nakagawa(a, s, full)[0], M.nakagawa(b, s, less)[0]
-    return _frame(spark, [(r[0], r[1], max(r[0] - r[1], 0.0))], "r2_full double, r2_reduced double, partial_r2 double")
-
-
-@query("m9_interaction")
-def m9(spark, d):
-    s = M.collected(_stats(spark, d), 6)
-    f = M.fit(s, [0, 1, 2, 3])
-    est, se, z, p = M.wald(f, np.array([0, 0, 0, 1.0]))
-    return _frame(spark, [("l2:male", est, se, z, p, est - 1.959964 * se, est + 1.959964 * se)], "term string, estimate double, se double, z double, p_value double, ci_low double, ci_high double")
-
-
-@query("m10_class_icc")
-def m10(spark, d):
-    """Intraclass correlation of single classes, by restricted likelihood; classes with fewer than ten rows are left out."""
-    t, rows = tokens(spark, d), []
-    per = M.unit_statistics(t.select(F.concat_ws("|", "cls", F.col("unit").cast("string")).alias("unit"), "f2"), "unit", "f2", [])
-    got = per.withColumn("cls", F.split_part("unit", F.lit("|"), F.lit(1))).orderBy("unit").collect()
-    for c in sorted({r["cls"] for r in got}):
-        own = [r for r in got if r["cls"] == c]
-        s = M.UnitStats(np.array([r["n"] for r in own], float), np.array([[[r["xx_0_0"]]] for r in own]), np.array([[r["xy_0"]] for r in own]), np.array([r["yy"] for r in own]))
-        if s.n.sum() >= 10:
-            f = M.fit(s, [0], reml=True)
-            rows.append((c, f.status, int(s.n.sum()), M.icc(f)))
-    return _frame(spark, rows, "cls string, status string, n int, icc double")
-
-
-@query("m11_component_models")
-def m11(spark, d):
-    """Models of the first principal components, z-scored, with the group effect and its variance-weighted sum."""
-    from ..operators.reduce import principal_components
-
-    v = vectors(spark, d)
-    pcs = principal_components(v, "vec_id", "v", 3)
-    z = pcs.groupBy("component").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s"))
-    long = pcs.join(z, "component").join(v.select("vec_id", "unit", "status"), "vec_id").select("component", "unit", "explained", (F.col("status") == "L2").cast("double").alias("l2"), ((F.col("score") - F.col("m")) / F.when(F.col("s") == 0, F.lit(1.0)).otherwise(F.col("s"))).alias("y"))
-    per = M.unit_statistics(long.withColumn("key", F.format_string("%d|%05d", "component", "unit")), "key", "y", ["l2"]).orderBy("key").collect()
-    share = {r["component"]: r["e"] for r in long.groupBy("component").agg(F.max("explained").alias("e")).collect()}
-    rows = []
-    for c in sorted(share):
-        own = [r for r in per if r["key"].startswith(f"{c}|")]
-        s = M.UnitStats(np.array([r["n"] for r in own], float), np.array([[[r["xx_0_0"], r["xx_0_1"]], [r["xx_0_1"], r["xx_1_1"]]] for r in own]), np.array([[r["xy_0"], r["xy_1"]] for r in own]), np.array([r["yy"] for r in own]))
-        f = M.fit(s, [0, 1])
-        est, se, _, p = M.wald(f, np.array([0, 1.0]))
-        rows.append((int(c), f.status, est, se, p, est * share[c]))
-    return _frame(spark, rows, "component int, status string, estimate double, se double, p_value double, weighted double")
-
-
-@query("m12_class_contrasts")
-def m12(spark, d):
-    """One model over all classes; the group effect per class as a Wald contrast, against a region of equivalence."""
-    t = tokens(spark, d).where(F.col("cls").isin("click", "view", "purchase"))
-    l2, c2, c3 = ((F.expr(e)).cast("double") for e in ("status = 'L2'", "cls = 'view'", "cls = 'purchase'"))
-    x = t.select("unit", "f2", l2.alias("l2"), c2.alias("c2"), c3.alias("c3"), (l2 * c2).alias("l2c2"), (l2 * c3).alias("l2c3"))
-    s = M.collected(M.unit_statistics(x, "unit", "f2", ["l2", "c2", "c3", "l2c2", "l2c3"]), 6)
-    f, rows = M.fit(s, list(range(6))), []
-    for c, k in (("click", None), ("view", 4), ("purchase", 5)):
-        v = np.zeros(6)
-        v[1] = 1
-        if k:
-            v[k] = 1
-        est, se, z, p = M.wald(f, v)
-        rows.append((c, est, se, p, est - 1.959964 * se, est + 1.959964 * se))
-    out = _frame(spark, rows, "cls string, estimate double, se double, p_value double, ci_low double, ci_high double")
-    return out.withColumn("rope", R.classify_rope(F.col("ci_low"), F.col("ci_high"), F.lit(-0.5), F.lit(0.5)))
-
-
-@query("m2_random_slope_status")
-def m2s(spark, d):
-    """A slope of a property that is constant within units can't be told from group variances of its own: reported, not fitted."""
-    varies = tokens(spark, d).groupBy("unit").agg(F.countDistinct("status").alias("k")).agg(F.max("k").alias("k")).first()["k"]
-    return _frame(spark, [("random_slope", "not_identifiable" if (varies or 1) < 2 else "identifiable")], "model string, status string")
-
-
 # --- clusters -----------------------------------------------------------------------------------------------------
 
 
@@ -357,7 +275,7 @@ def c8(spark, d):
         i, j = names.index(r["a"]), names.index(r["b"])
         m[i, j] = m[j, i] = r["d"]
     tree = K.linkage(m, "average")
-    return _frame(spark, [(n, int(k), int(K.elbow(tree, range(2, 5)))) for n, k in zip(names, K.cut(tree, 2), strict=True)], "cls string, cluster int, k_elbow int")
+    return frame(spark, [(n, int(k), int(K.elbow(tree, range(2, 5)))) for n, k in zip(names, K.cut(tree, 2), strict=True)], "cls string, cluster int, k_elbow int")
 
 
 @query("c10_k_selection")

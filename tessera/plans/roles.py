@@ -5,6 +5,7 @@ Each role table is given twice, as a DataFrame and as the SQL of a common table
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +46,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that engines which add in another order agree; -0 becomes 0."""
     return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of few rows of plain or numpy values; NaN becomes null."""
+
+    def plain(x):
+        x = x.item() if isinstance(x, np.generic) else x
+        return None if isinstance(x, float) and x != x else x
+
+    return spark.createDataFrame([tuple(plain(x) for x in r) for r in rows], schema)

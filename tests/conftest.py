@@ -1,8 +1,11 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # its threads don't survive the fork that starts the JVM
+
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 

@@ -4,9 +4,6 @@ from math import comb
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
-from tessera.operators import lme
 from tessera.plans import inference, more, registry
 
 
@@ -40,12 +37,3 @@ def test_permutations_are_adjusted(spark, tmp_path, monkeypatch):
     got = registry.queries()["t4_permutation_test"](spark, str(tmp_path)).orderBy("cls").collect()
     assert len(got) == 3 and all(abs(r["p_value"] * 51 - round(r["p_value"] * 51)) < 1e-3 for r in got)
     assert [r["q_value_bh"] for r in got] == pytest.approx(adjusted([r["p_value"] for r in got]), abs=2e-6)
-
-
-def test_models_are_bootstrapped_in_full(spark, tmp_path, monkeypatch):
-    seen = []
-    monkeypatch.setattr(lme, "bootstrap", lambda s, cols, contrast, draws: seen.append(len(draws)) or np.zeros(len(draws)))
-    rows = spark.range(200).select(F.col("id").alias("event_id"), (F.col("id") % 10).alias("user_id"), F.lit("click").alias("event_type"), F.timestamp_seconds("id").alias("ts"), (F.col("id") + 1).cast("double").alias("value"))
-    rows.write.parquet(f"{tmp_path}/events.parquet")
-    registry.queries()["m13_cluster_bootstrap"](spark, str(tmp_path)).collect()
-    assert seen == [2000]
