@@ -113,3 +113,36 @@ def missing_aware_euclidean(a: Column, b: Column) -> Column:
     both = F.filter(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), lambda x: x.isNotNull())
     total = F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
     return F.when(F.size(both) > 0, F.sqrt(total * F.size(a) / F.size(both)))
+
+
+# The rational functions of Wichura's AS 241, from the constant term on.
+QUANTILE_MIDDLE = (
+    (3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+    (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610),
+)
+QUANTILE_NEAR = (
+    (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+)
+QUANTILE_FAR = (
+    (6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930, 0.00124266094738807843860, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+    (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15),
+)
+
+
+def _ratio(tables: tuple, r: Column) -> Column:
+    tops = []
+    for table in tables:
+        out = F.lit(table[-1])
+        for c in table[-2::-1]:
+            out = out * r + F.lit(c)
+        tops.append(out)
+    return tops[0] / tops[1]
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal quantile of 0 < p < 1; null elsewhere."""
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.least(p, 1 - p)))
+    tail = F.when(r <= 5, _ratio(QUANTILE_NEAR, r - 1.6)).otherwise(_ratio(QUANTILE_FAR, r - 5.0))
+    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, q * _ratio(QUANTILE_MIDDLE, 0.180625 - q * q)).otherwise(F.signum(q) * tail))

@@ -13,6 +13,7 @@ from ..functions import columns as C
 from ..functions import kernels as K
 from ..operators import classify as L
 from ..operators import cluster as U
+from ..operators import compare as T
 from ..operators import describe as D
 from ..operators import resample as R
 from ..operators import vectors as V
@@ -209,21 +210,40 @@ def t9(spark, d):
     return D.benjamini_hochberg(got.withColumn("p_value", C.finite(F.col("p_value"))).withColumn("family", F.lit("all")), ["family"], "p_value", ["rows", "rep_a", "rep_b"])
 
 
-TEST = "cls string, feature string, n_a long, n_b long, mean_a double, mean_b double, shapiro_p_a double, shapiro_p_b double, levene_p double, selected_test string, statistic double, p_value double, assumptions_hold boolean, difference double"
+def unit_cells(df: DataFrame, group: str) -> DataFrame:
+    """Unit means per class and feature, stored, as several statistics read them."""
+    cells = D.cell_means(df, ["unit", "cls", group], ["f1", "f2"])
+    return materialize(cells.unpivot(["unit", "cls", group], ["f1", "f2"], "feature", "x").where("x is not null"), "unit-cells")
 
 
 def battery(df: DataFrame, group: str, a: str, b: str, least_units: int = 2) -> DataFrame:
     """Unit means per class and feature compared between two groups of units, with q-values per feature."""
-    cells = D.cell_means(df, ["unit", "cls", group], ["f1", "f2"])
-    long = cells.unpivot(["unit", "cls", group], ["f1", "f2"], "feature", "x").where("x is not null")
+    got = T.two_group_tests(unit_cells(df, group), ["cls", "feature"], group, a, b, "x")
+    few = F.least("n_a", "n_b") < least_units
+    got = got.withColumn("p_value", F.when(~few, F.col("p_value"))).withColumn("selected_test", F.when(few, "insufficient_units").otherwise(F.col("selected_test")))
+    return D.benjamini_hochberg(materialize(got, "tests"), ["feature"], "p_value", ["cls"])
 
-    def one(p: pd.DataFrame) -> dict:
-        return K.two_group_test(p.x[p[group] == a].to_numpy(), p.x[p[group] == b].to_numpy())
 
-    got = _each(long, ["cls", "feature"], TEST, one)
-    few = F.least("n_a", "n_b") < least_units
-    got = got.withColumn("p_value", F.when(~few, C.finite(F.col("p_value")))).withColumn("selected_test", F.when(few, "insufficient_units").otherwise(F.col("selected_test")))
-    return D.benjamini_hochberg(got, ["feature"], "p_value", ["cls"])
+def _group_statistics(group: str, a: str, b: str) -> str:
+    return f"""WITH {TOK_SQL}, u AS (SELECT unit, cls, {group} AS g, avg(f1) AS f1, avg(f2) AS f2 FROM tok GROUP BY ALL),
+ l AS (SELECT cls, g, 'f1' AS feature, f1 AS x FROM u WHERE f1 IS NOT NULL UNION ALL SELECT cls, g, 'f2', f2 FROM u WHERE f2 IS NOT NULL), md AS (SELECT cls, g, feature, median(x) AS md FROM l GROUP BY ALL),
+ z AS (SELECT cls, g, feature, x, abs(x - md) AS z, rank() OVER (PARTITION BY cls, feature ORDER BY x) + (count(*) OVER (PARTITION BY cls, feature, x) - 1) / 2.0 AS r FROM l JOIN md USING (cls, g, feature)),
+ s AS (SELECT cls, g, feature, count(*) AS n, avg(x) AS m, var_samp(x) AS v, avg(z) AS zm, var_pop(z) AS zv, sum(r) AS r FROM z GROUP BY ALL),
+ p AS (SELECT cls, feature, p.n, q.n AS k, p.m, q.m AS o, ((p.n - 1) * p.v + (q.n - 1) * q.v) / (p.n + q.n - 2) AS pooled, p.n * p.zv + q.n * q.zv AS within, (p.n * p.zm + q.n * q.zm) / (p.n + q.n) AS mid, p.zm AS za, q.zm AS zb, p.r FROM s p JOIN s q USING (cls, feature) WHERE p.g = '{a}' AND q.g = '{b}')
+ SELECT cls, feature, n AS n_a, k AS n_b, round(m, 6) AS mean_a, round(o, 6) AS mean_b, round((m - o) / sqrt(pooled * (1.0 / n + 1.0 / k)), 6) AS t, round((n + k - 2) * (n * (za - mid) ** 2 + k * (zb - mid) ** 2) / within, 6) AS levene_f, round(r - n * (n + 1) / 2, 6) AS u FROM p WHERE n > 1 AND k > 1"""
+
+
+@query("t2_group_statistics", _group_statistics("status", "L1", "L2"))
+def t2_statistics(spark, d):
+    """What the tests of two groups decide by: t, Levene's F about the medians, and U, for any number of units."""
+    got = T.two_group_statistics(unit_cells(tokens(spark, d), "status"), ["cls", "feature"], "status", "L1", "L2", "x")
+    return got.where("n_a > 1 and n_b > 1").drop("difference", "ties")
+
+
+@query("t3_second_factor_statistics", _group_statistics("gender", "F", "M"))
+def t3_statistics(spark, d):
+    got = T.two_group_statistics(unit_cells(tokens(spark, d), "gender"), ["cls", "feature"], "gender", "F", "M", "x")
+    return got.where("n_a > 1 and n_b > 1").drop("difference", "ties")
 
 
 @query("t2_group_battery")
@@ -246,21 +266,27 @@ def t1(spark, d):
     return s.select("cls", n.alias("n_a"), m.alias("n_b"), (F.col("L2_m") - F.col("L1_m")).alias("difference"), ((F.col("L1_m") - F.col("L2_m")) / F.sqrt(pooled * (1 / n + 1 / m))).alias("t"))
 
 
-@query("t11_quantile_quantile")
-def t11(spark, d):
-    """Normal quantiles at Filliben's medians against the ordered unit means."""
-    u = D.cell_means(tokens(spark, d), ["unit", "cls", "status"], ["f1"])
+def _quantile_sql(p: str) -> str:
+    def ratio(tables: tuple, r: str) -> str:
+        tops = []
+        for table in tables:
+            out = f"{table[-1]!r}::DOUBLE"
+            for c in table[-2::-1]:
+                out = f"({out} * {r} + {c!r}::DOUBLE)"
+            tops.append(out)
+        return f"({tops[0]} / {tops[1]})"
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("f1", ignore_index=True)
-        n = len(p)
-        if n < 3:
-            return p.assign(theoretical=np.nan)[["cls", "status", "f1", "theoretical"]].iloc[:0]
-        at = (np.arange(1, n + 1) - 0.3175) / (n + 0.365)
-        at[0], at[-1] = 1 - 0.5 ** (1 / n), 0.5 ** (1 / n)
-        return p.assign(theoretical=[K.normal_quantile(x) for x in at])[["cls", "status", "f1", "theoretical"]]
+    q, r = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    tail = f"CASE WHEN {r} <= 5 THEN {ratio(C.QUANTILE_NEAR, f'({r} - 1.6)')} ELSE {ratio(C.QUANTILE_FAR, f'({r} - 5)')} END"
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {ratio(C.QUANTILE_MIDDLE, f'(0.180625 - {q} * {q})')} ELSE sign({q}) * {tail} END"
 
-    return u.groupBy("cls", "status").applyInPandas(run, "cls string, status string, f1 double, theoretical double")
+
+@query("t11_quantile_quantile", f"""WITH {TOK_SQL}, u AS (SELECT unit, cls, status, avg(f1) AS f1 FROM tok GROUP BY ALL), o AS (SELECT cls, status, f1, row_number() OVER (PARTITION BY cls, status ORDER BY f1) AS i, count(*) OVER (PARTITION BY cls, status) AS n FROM u WHERE f1 IS NOT NULL),
+ p AS (SELECT cls, status, f1, CASE WHEN i = 1 THEN 1 - 0.5::DOUBLE ** (1.0::DOUBLE / n) WHEN i = n THEN 0.5::DOUBLE ** (1.0::DOUBLE / n) ELSE (i - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM o WHERE n >= 3) SELECT cls, status, round(f1, 6) AS f1, round({_quantile_sql("p")}, 6) AS theoretical FROM p""")
+def t11(spark, d):
+    """Normal quantiles at Filliben's medians against the ordered unit means."""
+    u = materialize(D.cell_means(tokens(spark, d), ["unit", "cls", "status"], ["f1"]), "unit-cells")
+    return T.normal_plot(u, ["cls", "status"], "f1")
 
 
 #: The replicate counts of the permutation tests and of the bootstraps.
