@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import cosine_distance, euclidean
+from .vectors import beside_all, own_classes, sum_vectors
 
 
 def leave_one_unit_out(df: DataFrame, key: str, unit: str, cls: str, vector: str, cosine: bool = False) -> DataFrame:
     """Predictions from centroids without the row's own unit: (sum of all - sum of the unit) / (count of all - count of the unit).
 
-    Rows meet the (unit, class) centroids of their own unit, a join by unit with as many rows per unit as classes.
-    Classes seen in one unit only drop out of its fold; folds with fewer than two classes give nothing."""
-    parts = df.select(unit, cls, F.posexplode(vector).alias("dim", "x"))
-    own = parts.groupBy(unit, cls, "dim").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
-    total = own.groupBy(cls, "dim").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-    units = df.select(unit).distinct()
-    grid = units.join(total, F.lit(True)).join(own, [unit, cls, "dim"], "left")
-    rest = grid.select(unit, cls, "dim", (F.col("ts") - F.coalesce("s", F.lit(0.0))).alias("s"), (F.col("tn") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
-    folds = rest.groupBy(unit, cls).agg(F.array_sort(F.collect_list(F.struct("dim", (F.col("s") / F.col("n")).alias("m")))).alias("_v"))
-    folds = folds.select(unit, F.col(cls).alias("pred"), F.transform("_v", lambda x: x["m"]).alias("_c"))
+    Each row meets the sums of its own unit's classes, and all classes' sums; what is left of a class without the unit is reckoned in the row.
+    So nothing grows with units x classes. Classes seen in one unit only drop out of its fold; folds with fewer than two classes give nothing."""
+    own = own_classes(sum_vectors(df, [unit, cls], vector), unit, cls, "_own")
+    rows = beside_all(df.join(own, unit), sum_vectors(df, [cls], vector), "total", "_all")
+
+    def rest(t: Column) -> Column:
+        mine = F.try_element_at("_own", t[cls])
+        left = F.zip_with(t["total"], mine["total"], lambda a, b: a - b)
+        return F.struct(t[cls].alias("pred"), F.coalesce(left, t["total"]).alias("s"), (t["n"] - F.coalesce(mine["n"], F.lit(0))).alias("n"))
+
     d = (lambda a, b: cosine_distance(a, b, zero_is_missing=False)) if cosine else euclidean
-    scored = df.join(folds, unit).select(key, unit, cls, "pred", d(F.col(vector), F.col("_c")).alias("d"))
-    best = scored.groupBy(key, unit, cls).agg(F.min_by("pred", F.struct("d", "pred")).alias("pred"), F.count("*").alias("n_classes")).where("n_classes > 1")
+
+    def scored(t: Column) -> Column:
+        return F.struct(d(F.col(vector), F.transform(t["s"], lambda x: x / t["n"])).alias("d"), t["pred"].alias("pred"))
+
+    folds = rows.select(key, unit, cls, vector, F.filter(F.transform("_all", rest), lambda t: t["n"] > 0).alias("_left")).where(F.size("_left") > 1)
+    best = folds.select(key, unit, cls, F.array_min(F.transform("_left", scored))["pred"].alias("pred"))
     return best.select(key, unit, cls, "pred", (F.col(cls) == F.col("pred")).alias("correct"))
 
 

@@ -17,7 +17,7 @@ from ..functions import kernels as K
 from .classify import adjusted_rand
 from .describe import average_ranks
 from .resample import permutation_ranks
-from .vectors import mean_vectors
+from .vectors import beside_all, mean_vectors, own_classes
 
 
 def _distances(x: np.ndarray) -> np.ndarray:
@@ -82,11 +82,9 @@ def chosen_k(df: DataFrame, keys: list[str], label: str, vector: str, method: st
 
 def unit_vectors(df: DataFrame, unit: str, cls: str, vector: str) -> DataFrame:
     """One vector per unit: its classes' mean vectors one after another, a missing cell filled with the class's mean."""
-    own = mean_vectors(df, [unit, cls], F.col(vector), "own")
-    all_ = mean_vectors(df, [cls], F.col(vector), "all")
-    grid = df.select(unit).distinct().join(all_.select(cls, "all"), F.lit(True)).join(own.select(unit, cls, "own"), [unit, cls], "left")
-    cells = grid.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct(cls, F.coalesce("own", "all").alias("v")))).alias("_c"))
-    return cells.select(unit, F.flatten(F.transform("_c", lambda x: x["v"])).alias("vector"))
+    own = own_classes(mean_vectors(df, [unit, cls], F.col(vector), "own"), unit, cls, "_own")
+    cells = beside_all(own, mean_vectors(df, [cls], F.col(vector), "all"), "all", "_all")
+    return cells.select(unit, F.flatten(F.transform("_all", lambda t: F.coalesce(F.try_element_at("_own", t[cls])["own"], t["all"]))).alias("vector"))
 
 
 def unit_clusters(df: DataFrame, unit: str, cls: str, vector: str, truth: str, k: int) -> DataFrame:

@@ -23,6 +23,31 @@ def vector_sums(df: DataFrame, keys: list[str], vector: str, width: int, weight:
     return got.select(*keys, F.array(*[f"_s{i}" for i in range(width)]).alias(name))
 
 
+def sum_vectors(df: DataFrame, keys: list[str], vector: str, name: str = "total") -> DataFrame:
+    """Sum vector and count per group, of vectors of any width; sums per component are combined map-side."""
+    parts = df.select(*keys, F.posexplode(vector).alias("dim", "x"))
+    per = parts.groupBy(*keys, "dim").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    got = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "s"))).alias("_v"), F.max("n").alias("n"))
+    return got.select(*keys, F.transform("_v", lambda s: s["s"]).alias(name), "n")
+
+
+#: Bytes up to which all classes' vectors are sent to every task.
+BROADCAST = 64 << 20
+
+
+def beside_all(df: DataFrame, classes: DataFrame, vector: str, name: str) -> DataFrame:
+    """df with all rows of classes, one per class, as an array in the order of their first column. Their size is looked at before they are broadcast."""
+    size = classes.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("w")).first()
+    one = classes.agg(F.array_sort(F.collect_list(F.struct(*classes.columns))).alias(name))
+    return df.crossJoin(F.broadcast(one) if size["n"] * (size["w"] or 0) * 8 <= BROADCAST else one)
+
+
+def own_classes(df: DataFrame, unit: str, cls: str, name: str) -> DataFrame:
+    """One row per unit: a map from its classes to the other columns of df, which has a row per (unit, class)."""
+    rest = [c for c in df.columns if c not in (unit, cls)]
+    return df.groupBy(unit).agg(F.map_from_entries(F.collect_list(F.struct(cls, F.struct(*rest)))).alias(name))
+
+
 def pairs(centroids: DataFrame, label: str, vector: str, distance, upper: bool = True) -> DataFrame:
     """Distances of all pairs of labels. centroids has one row per class, so this is a join of a handful of rows."""
     a = centroids.select(F.col(label).alias("a"), F.col(vector).alias("_x"))
