@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import kernels as K
 from ..functions.columns import normal_quantile
-from .describe import _joined, buckets, value_cells
+from .describe import with_column_of, buckets, value_cells
 
 SHAPIRO = (3, 5000)
 
@@ -34,7 +34,7 @@ def two_group_statistics(df: DataFrame, keys: list[str], group: str, a: str, b:
 
     t and levene_f are null without variance or with fewer than two values in a group. x must be stored, not computed anew by each reading of the plan."""
     rows = df.where(F.col(x).isNotNull() & F.col(group).isin(a, b)).select(*keys, group, x)
-    far = _joined(rows, medians(rows, [*keys, group], x, "_median"), [*keys, group], "_median").withColumn("_z", F.abs(F.col(x) - F.col("_median")))
+    far = with_column_of(rows, medians(rows, [*keys, group], x, "_median"), [*keys, group], "_median").withColumn("_z", F.abs(F.col(x) - F.col("_median")))
 
     def of(which: str, f, column: str) -> Column:
         return f(F.when(F.col(group) == which, F.col(column)))
@@ -44,9 +44,9 @@ def two_group_statistics(df: DataFrame, keys: list[str], group: str, a: str, b:
 
     cells = value_cells(rows, keys, x, buckets(df.sparkSession))
     own = rows.where(F.col(group) == a).groupBy(*keys, x).agg(F.count("*").alias("_n_a"))
-    placed = _joined(cells, own, [*keys, x], "_n_a")
+    placed = with_column_of(cells, own, [*keys, x], "_n_a")
     ranks = placed.groupBy(*keys).agg(F.sum(F.coalesce("_n_a", F.lit(0)) * (F.col("before") + (F.col("n") + 1) / 2)).alias("_ranks"), F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
-    both = _joined(_joined(sums, ranks, keys, "_ranks"), ranks, keys, "ties")
+    both = with_column_of(with_column_of(sums, ranks, keys, "_ranks"), ranks, keys, "ties")
 
     n, m = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     pooled = ((n - 1) * F.col("v_a") + (m - 1) * F.col("v_b")) / (n + m - 2)
@@ -83,9 +83,9 @@ def _shapiro_p(values: pd.Series) -> pd.Series:
 def normality(df: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
     """p of Shapiro and Wilk's test per group of 3 to 5000 values; null for others, whose values aren't gathered."""
     sizes = df.groupBy(*keys).agg(F.count(x).alias("_size"))
-    few = _joined(df, sizes, keys, "_size").where(F.col("_size").between(*SHAPIRO))
+    few = with_column_of(df, sizes, keys, "_size").where(F.col("_size").between(*SHAPIRO))
     tested = few.groupBy(*keys).agg(F.collect_list(x).alias("_values")).select(*keys, _shapiro_p("_values").alias(name))
-    return _joined(sizes, tested, keys, name).select(*keys, F.when(~F.isnan(name), F.col(name)).alias(name))
+    return with_column_of(sizes, tested, keys, name).select(*keys, F.when(~F.isnan(name), F.col(name)).alias(name))
 
 
 def two_group_tests(df: DataFrame, keys: list[str], group: str, a: str, b: str, x: str, alpha: float = 0.05) -> DataFrame:
@@ -93,7 +93,7 @@ def two_group_tests(df: DataFrame, keys: list[str], group: str, a: str, b: str,
     rows = df.where(F.col(x).isNotNull())
     got = two_group_statistics(rows, keys, group, a, b, x)
     for side, g in (("a", a), ("b", b)):
-        got = _joined(got, normality(rows.where(F.col(group) == g), keys, x, f"shapiro_p_{side}"), keys, f"shapiro_p_{side}")
+        got = with_column_of(got, normality(rows.where(F.col(group) == g), keys, x, f"shapiro_p_{side}"), keys, f"shapiro_p_{side}")
     enough = (F.col("n_a") > 1) & (F.col("n_b") > 1)
     shapiro = {f"shapiro_p_{s}": F.when(enough, F.col(f"shapiro_p_{s}")) for s in "ab"}
     got = got.withColumns(shapiro | {"levene_p": _f_p("levene_f", "n_a", "n_b"), "_t_p": _t_p("t", "n_a", "n_b"), "_u_p": _u_p("u", "n_a", "n_b", "ties")})

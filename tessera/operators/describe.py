@@ -25,11 +25,14 @@ def lobanov(df: DataFrame, unit: str, features: dict[str, str], fit: Column) ->
 
 
 def describe(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
-    """Per group (null keys kept): n_tokens and of each feature n, mean, median, SD, interquartile range and coefficient of variation."""
+    """Per group (null keys kept): n_tokens and of each feature n, mean, median, SD, interquartile range and coefficient of variation.
+    The features must be stored or follow from the row alone, as they are read several times."""
     aggs = [F.count("*").alias("n_tokens")]
     for x in features:
-        aggs += [F.count(x).alias(f"{x}_n"), F.avg(x).alias(f"{x}_mean"), F.stddev_samp(x).alias(f"{x}_sd"), F.percentile(x, QUARTERS).alias(f"_{x}_q")]
+        aggs += [F.count(x).alias(f"{x}_n"), F.avg(x).alias(f"{x}_mean"), F.stddev_samp(x).alias(f"{x}_sd")]
     got = df.groupBy(*keys).agg(*aggs)
+    for x in features:
+        got = with_column_of(got, quantiles(df, keys, x, QUARTERS, f"_{x}_q"), keys, f"_{x}_q")
     cols = []
     for x in features:
         mean, sd = F.col(f"{x}_mean"), F.col(f"{x}_sd")
@@ -118,7 +121,21 @@ def value_cells(df: DataFrame, over: list[str], x: str, buckets: int = 1) -> Dat
     return placed.select(*over, x, "_b", "n", (F.col("_start") + inside).alias("before"), "size")
 
 
-def _joined(df: DataFrame, cells: DataFrame, keys: list[str], value: str) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], x: str, probabilities: list[float], name: str) -> DataFrame:
+    """Per group (null keys kept) an array of exact quantiles, interpolated between neighbouring places; null values aren't counted.
+
+    Places are found by counts per value in buckets, so neither a buffer nor a task holds a group's values."""
+    cells = value_cells(df.where(F.col(x).isNotNull()), keys, x, buckets(df.sparkSession))
+    last, found = F.col("size") - 1, []
+    for i, p in enumerate(probabilities):
+        for side, place in (("lo", F.floor(last * p)), ("hi", F.ceil(last * p))):
+            found.append(F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col(x))).alias(f"_{side}{i}"))
+    ends = cells.groupBy(*keys).agg(F.first("size").alias("_size"), *found)
+    part = lambda p: (F.col("_size") - 1) * p - F.floor((F.col("_size") - 1) * p)
+    return ends.select(*keys, F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part(p) for i, p in enumerate(probabilities)]).alias(name))
+
+
+def with_column_of(df: DataFrame, cells: DataFrame, keys: list[str], value: str) -> DataFrame:
     """df with the column `value` of cells, by keys that may be null."""
     other, same = cells.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], value), F.lit(True)
     for i, k in enumerate(keys):
@@ -147,9 +164,9 @@ def benjamini_hochberg_by_value(df: DataFrame, family: list[str], p: str, alpha:
     inside = F.min("_q").over(Window.partitionBy(*family, "_b").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
     later = F.min("_m").over(Window.partitionBy(*family).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
     per = step.groupBy(*family, "_b").agg(F.min("_q").alias("_m")).withColumn("_later", later).drop("_m")
-    step = _joined(step.withColumn("_low", inside), per, [*family, "_b"], "_later")
+    step = with_column_of(step.withColumn("_low", inside), per, [*family, "_b"], "_later")
     q = step.withColumn("q_value_bh", F.least("_low", "_later", F.lit(1.0)))
-    return _joined(df, q, [*family, p], "q_value_bh").withColumn("significant_bh", F.coalesce(F.col("q_value_bh") <= alpha, F.lit(False)))
+    return with_column_of(df, q, [*family, p], "q_value_bh").withColumn("significant_bh", F.coalesce(F.col("q_value_bh") <= alpha, F.lit(False)))
 
 
 def average_ranks(df: DataFrame, x: str, over: list[str], name: str) -> DataFrame:
@@ -161,7 +178,7 @@ def average_ranks(df: DataFrame, x: str, over: list[str], name: str) -> DataFram
 def average_ranks_by_value(df: DataFrame, x: str, over: list[str], name: str, buckets: int = 1) -> DataFrame:
     """The same for groups of any size, from the counts per value; x must be stored. Buckets as in value_cells()."""
     cells = value_cells(df, over, x, buckets).withColumn(name, F.col("before") + (F.col("n") + 1) / 2)
-    return _joined(df, cells, [*over, x], name)
+    return with_column_of(df, cells, [*over, x], name)
 
 
 def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:

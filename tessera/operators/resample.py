@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .describe import dense_ids
+from .describe import with_column_of, dense_ids, quantiles
 
 
 def hashed(*parts: Column) -> Column:
@@ -49,7 +49,15 @@ def permutation_p(observed: DataFrame, permuted: DataFrame, keys: list[str], n:
     return obs.join(at_least, keys, "left").select(*keys, "observed", ((F.coalesce("k", F.lit(0)) + 1) / F.lit(float(n + 1))).alias("p_value"))
 
 
+def quantile_interval(df: DataFrame, keys: list[str], x: str, alpha: float = 0.05) -> DataFrame:
+    """percentile_interval for groups of any size: no buffer grows with a group. x must be stored or follow from the row alone."""
+    got = df.groupBy(*keys).agg(F.count(x).alias("n_valid"), F.avg(x).alias("mean"))
+    both = with_column_of(got, quantiles(df, keys, x, [alpha / 2, 1 - alpha / 2], "_q"), keys, "_q")
+    return both.select(*keys, "n_valid", "mean", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
+
+
 def percentile_interval(df: DataFrame, keys: list[str], x: str, alpha: float = 0.05) -> DataFrame:
+    """Of replicates, whose number bounds the buffer of a group."""
     q = F.percentile(x, [alpha / 2, 1 - alpha / 2])
     return df.groupBy(*keys).agg(F.count(x).alias("n_valid"), F.avg(x).alias("mean"), q.alias("_q")).select(*keys, "n_valid", "mean", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
 

@@ -199,7 +199,15 @@ def _each(df: DataFrame, keys: list[str], schema: str, f) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-@query("t9_mcnemar")
+MCNEMAR = f"""WITH {LAB}, x AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'L1' ELSE 'L2' END AS status FROM lb), r AS (SELECT 'all' AS rows, doc_id, rep, ok FROM x UNION ALL SELECT status, doc_id, rep, ok FROM x),
+ d AS (SELECT a.rows, a.rep AS rep_a, b.rep AS rep_b, sum((a.ok AND NOT b.ok)::INT) AS b, sum((NOT a.ok AND b.ok)::INT) AS c FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.rows = b.rows AND a.rep < b.rep GROUP BY ALL),
+ p AS (SELECT rows, rep_a, rep_b, (b + c)::BIGINT AS n, CASE WHEN b + c > 0 THEN least(1.0, 2 * list_sum(list_transform(range(0, least(b, c)::BIGINT + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2.0))))) END AS p_value FROM d),
+ q AS (SELECT *, row_number() OVER (ORDER BY p_value, rows, rep_a, rep_b) AS k, count(*) OVER () AS m FROM p WHERE p_value IS NOT NULL),
+ f AS (SELECT *, least(min(p_value * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS q_value FROM q)
+ SELECT p.rows, p.rep_a, p.rep_b, p.n, 'all' AS family, round(p.p_value, 6) AS p_value, round(q_value, 6) AS q_value_bh, coalesce(q_value <= 0.05, false) AS significant_bh FROM p LEFT JOIN f USING (rows, rep_a, rep_b)"""
+
+
+@query("t9_mcnemar", MCNEMAR)
 def t9(spark, d):
     """Exact McNemar tests over all rows and per status, with q-values over the whole table."""
     lab = _labels(spark, d)

@@ -171,7 +171,7 @@ def v10(spark, d):
 
 @query("t12_percentile_intervals", f"WITH {TOK_SQL} SELECT cls, count(f1) AS n_valid, round(avg(f1), 6) AS mean, round(quantile_cont(f1, 0.025), 6) AS ci_low, round(quantile_cont(f1, 0.975), 6) AS ci_high FROM tok GROUP BY cls")
 def t12(spark, d):
-    return R.percentile_interval(tokens(spark, d), ["cls"], "f1")
+    return R.quantile_interval(tokens(spark, d), ["cls"], "f1")
 
 
 STRATA = f"""WITH {TOK_SQL}, um AS (SELECT unit, status, avg(f1) AS m FROM tok WHERE cls = 'click' GROUP BY ALL), o AS (SELECT status, unit, m, row_number() OVER (PARTITION BY status ORDER BY unit) - 1 AS place, count(*) OVER (PARTITION BY status) AS size FROM um),

@@ -112,8 +112,10 @@ def a12(spark, d):
 
 @query("a13_chart_limits", f"WITH {TOK_SQL} SELECT cls, status, count(*) AS n, {_r('avg(f1) AS f1', 'avg(f2) AS f2', 'quantile_cont(f1, 0.01) AS lo', 'quantile_cont(f1, 0.99) AS hi')} FROM tok GROUP BY ALL")
 def a13(spark, d):
-    q = F.percentile("f1", [0.01, 0.99])
-    return tokens(spark, d).groupBy("cls", "status").agg(F.count("*").alias("n"), F.avg("f1").alias("f1"), F.avg("f2").alias("f2"), q[0].alias("lo"), q[1].alias("hi"))
+    t, keys = tokens(spark, d), ["cls", "status"]
+    q = D.quantiles(t, keys, "f1", [0.01, 0.99], "q")
+    means = t.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("f1").alias("f1"), F.avg("f2").alias("f2"))
+    return D.with_column_of(means, q, keys, "q").select(*keys, "n", "f1", "f2", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 @query("a19_mode", "WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), m AS (SELECT o_custkey, max(n) AS n FROM c GROUP BY o_custkey) SELECT o_custkey, min(o_orderpriority) AS mode FROM c JOIN m USING (o_custkey, n) GROUP BY o_custkey")
@@ -455,8 +457,8 @@ def t14(spark, d):
 )
 def g1(spark, d):
     t = tokens(spark, d)
-    p = F.percentile("f1", D.QUARTERS)
-    q = t.groupBy("cls").agg(p[0].alias("q1"), p[1].alias("q2"), p[2].alias("q3"))
+    p = D.quantiles(t, ["cls"], "f1", D.QUARTERS, "p")
+    q = p.select("cls", *[F.col("p")[i].alias(f"q{i + 1}") for i in range(3)])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     own = t.join(q, "cls").groupBy("cls")
     return own.agg(F.first("q1").alias("q1"), F.first("q2").alias("median"), F.first("q3").alias("q3"), F.min(F.when(F.col("f1") >= F.col("q1") - reach, F.col("f1"))).alias("low"), F.max(F.when(F.col("f1") <= F.col("q3") + reach, F.col("f1"))).alias("high"))

@@ -68,3 +68,17 @@ def test_cells_of_many_buckets_equal_one(spark, table):
     rows = table.where("x is not null")
     one, many = (D.value_cells(rows, ["cell"], "x", k).drop("_b").orderBy("cell", "x").collect() for k in (1, 16))
     assert one == many
+
+
+@pytest.mark.parametrize("many", [1, 8])
+def test_quantiles_interpolate(spark, table, many, monkeypatch):
+    monkeypatch.setattr(D, "buckets", lambda s: many)
+    p = [0.0, 0.01, 0.25, 0.5, 0.975, 1.0]
+    got = {(r["cell"], r["side"]): r["q"] for r in D.quantiles(table, ["cell", "side"], "x", p, "q").collect()}
+    for k, both in SAMPLES.items():
+        for side, x in zip("ab", both):
+            assert not len(x) or got[k, side] == pytest.approx(np.quantile(x, p))
+    assert got[None, "a"][3] == 1.5
+    (whole,) = D.quantiles(table, [], "x", p, "q").collect()
+    x = np.concatenate([*[np.concatenate(b) for b in SAMPLES.values()], [1.0, 1.0, 2.0, 5.0, 4.0]])
+    assert whole["q"] == pytest.approx(np.quantile(x, p))
