@@ -8,29 +8,18 @@ import logging
 from collections.abc import Callable
 from pathlib import Path
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from tessera.sources.tables import configuration
+from tessera.sources.tables import observed as library_observed
 
 log = logging.getLogger("tessera.jobs")
 
 
 def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
-    """df with counts that its first action takes on the way, and a function that gives them after it.
-
-    Spark plans an input that it knows to be empty without the node that counts; its counts are zeros."""
-    seen = Observation()
-
-    def got() -> dict[str, int]:
-        try:
-            return seen.get
-        except Py4JJavaError as e:
-            if "AssertionError" not in str(e):
-                raise
-            return dict.fromkeys(metrics, 0)
-
-    return df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), got
+    """The library's observed counts; those of an empty input are zeros."""
+    out, got = library_observed(df, **metrics)
+    return out, lambda: {k: v or 0 for k, v in got().items()}
 
 
 def command_line(run: Callable[..., dict], paths: dict[str, str], config: str, doc: str | None) -> None:

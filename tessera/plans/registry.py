@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import inference, models, more, tables
+from . import files, inference, models, more, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [tables, inference, models, more]
+MODULES = [tables, inference, models, more, files]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

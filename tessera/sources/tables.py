@@ -5,11 +5,12 @@ from __future__ import annotations
 import io
 import re
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,6 +96,28 @@ def unit_and_slot(path):
     return F.upper(F.split_part(name, F.lit("_"), F.lit(1))), fine
 
 
+def of_known_units(rows: DataFrame, known: DataFrame, unit: str) -> DataFrame:
+    """Rows of units that the metadata know; the names are compared as they are."""
+    return rows.join(known.select(unit).distinct(), unit, "left_semi")
+
+
+def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Callable[[], dict[str, object]]]:
+    """df with measures that its first action takes on the way, and a function that gives them after it: what is told of a table costs no second pass.
+
+    Spark plans an input that it knows to be empty without the node that measures; all is then null."""
+    seen = Observation()
+
+    def got() -> dict[str, object]:
+        try:
+            return seen.get
+        except Py4JJavaError as e:
+            if "AssertionError" not in str(e):
+                raise
+            return dict.fromkeys(metrics)
+
+    return df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), got
+
+
 def one_file_each(wanted: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
     """wanted with the one path of its keys; null where there is none, an error where there are several."""
     found = files.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("path").alias("path"))
