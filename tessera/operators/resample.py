@@ -6,6 +6,7 @@ Randomness is a hash of seed, replicate and unit, so any engine gets the same dr
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,3 +195,120 @@ def resampled_sums(df: DataFrame, unit: str, groups: list[str], values: list[str
     out = ", ".join(["b long", *[f"{g} {kinds[g]}" for g in groups], *[f"{v} double" for v in values]])
     own = dealt.mapInArrow(_resampled(unit, stratum, groups, values, sizes, n, seed, schema), out)
     return own.groupBy("b", *groups).agg(*[F.sum(v).alias(v) for v in values])
+
+
+# --- permutations as products of blocks ----------------------------------------------------------------------------
+
+#: Standard deviations around a threshold's expected place that are looked through, and replicates whose thresholds one task finds.
+REACH, CHUNK = 6.0, 100
+
+
+def hashes(seed: int, n: int, units: list[int]) -> np.ndarray:
+    """hashed(seed, b, unit) for b below n: a row per replicate, a column per unit."""
+    out = np.empty((n, len(units)), np.int64)
+    for j, u in enumerate(units):
+        out[:, j] = [int.from_bytes(hashlib.md5(f"{seed}-{b}-{u}".encode()).digest()[:4], "big") for b in range(n)]
+    return out
+
+
+def _unit_blocks(batches: Iterator[pa.RecordBatch], unit: str) -> Iterator[tuple[list[int], np.ndarray, pa.RecordBatch]]:
+    """(units, each row's place among them, rows) of up to BLOCK units at a time; rows are sorted by unit."""
+    for batch in batches:
+        own = batch.column(unit).to_numpy()
+        units, of = np.unique(own, return_inverse=True)
+        for lo in range(0, len(units), BLOCK):
+            rows = np.flatnonzero((of >= lo) & (of < lo + BLOCK))
+            yield units[lo : lo + BLOCK].tolist(), of[rows] - lo, batch.take(pa.array(rows))
+
+
+def permutation_thresholds(cells: DataFrame, cls: str, unit: str, first: dict, n: int, seed: int) -> dict:
+    """Per class (n, 2): in each of n replicates the hash and the unit of the last of the class's first k units, ordered by hash and unit.
+
+    first: class -> (k, units of the class), 0 < k < units. Tasks count the hashes below a window around the expected threshold and hand on those
+    within it, a number that grows with the root of the units; the threshold is picked from these. Should a window miss, it is widened.
+    The driver holds n thresholds per class."""
+    out, todo, reach = {}, dict(first), REACH
+    while todo:
+        window = {}
+        for c, (k, size) in todo.items():
+            middle, width = k / size, reach * (k * (size - k) / size) ** 0.5 / size + 2 * reach / size
+            window[c] = int(max(0.0, middle - width) * 2**32), int(min(1.0, middle + width) * 2**32)
+
+        def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for units, of, rows in _unit_blocks(batches, unit):
+                h, classes = hashes(seed, n, units), np.array(rows.column(cls).to_pylist(), object)
+                names, parts = np.array(units, np.int64), []
+                for c in dict.fromkeys(classes.tolist()):
+                    if c not in window:
+                        continue
+                    at = of[classes == c]
+                    own, (lo, hi) = h[:, at], window[c]
+                    below, inside = (own < lo).sum(1), (own >= lo) & (own <= hi)
+                    for b0 in range(0, n, CHUNK):
+                        b, j = np.nonzero(inside[b0 : b0 + CHUNK])
+                        values = below[b0 : b0 + CHUNK], b, own[b0 : b0 + CHUNK][b, j], names[at][j]
+                        parts.append((c, b0, *[v.astype("<i8").tobytes() for v in values]))
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(v)) if i > 1 else pa.array(list(v), rows.schema.field(cls).type if i == 0 else pa.int64()) for i, v in enumerate(zip(*parts, strict=True))], names=[cls, "b0", "below", "b", "h", "unit"])
+
+        k_of = {str(c): k for c, (k, _) in todo.items()}
+
+        def picked(pdf):
+            import pandas as pd
+
+            below = sum(np.frombuffer(x, "<i8") for x in pdf["below"])
+            b, h, u = (np.concatenate([np.frombuffer(x, "<i8") for x in pdf[c]]) for c in ("b", "h", "unit"))
+            order = np.lexsort((u, h, b))
+            start = np.searchsorted(b[order], np.arange(len(below)))
+            place = k_of[str(pdf[cls].iloc[0])] - below - 1
+            good = (place >= 0) & (start + place < np.r_[start[1:], len(b)])
+            at = order[np.where(good, start + place, 0).clip(0, max(len(b) - 1, 0))] if len(b) else np.zeros(len(below), int)
+            none = np.full(len(below), -1)
+            return pd.DataFrame({cls: [pdf[cls].iloc[0]] * len(below), "b": pdf["b0"].iloc[0] + np.arange(len(below)), "h": np.where(good, h[at], none) if len(b) else none, "unit": np.where(good, u[at], none) if len(b) else none})
+
+        kind = dict(cells.dtypes)[cls]
+        rows = cells.select(cls, unit).repartition(unit).sortWithinPartitions(unit)
+        parts = rows.mapInArrow(looked, f"{cls} {kind}, b0 long, below binary, b binary, h binary, unit binary")
+        got: dict = {c: np.full((n, 2), -1, np.int64) for c in todo}
+        for r in parts.groupBy(cls, "b0").applyInPandas(picked, f"{cls} {kind}, b long, h long, unit long").collect():
+            got[r[cls]][r["b"]] = r["h"], r["unit"]
+        out |= {c: x for c, x in got.items() if (x[:, 0] >= 0).all()}
+        todo, reach = {c: v for c, v in todo.items() if c not in out}, 4 * reach
+    return out
+
+
+def permuted_sums(cells: DataFrame, cls: str, unit: str, vector: str, first: dict, n: int, seed: int, name: str = "one") -> DataFrame:
+    """(b, cls, name): in each of n replicates the sum of the vectors of a class's first k units, in the order of permutation_ranks.
+
+    cells: one row per (cls, unit), units whole numbers. No row per replicate and unit is made: with the thresholds known, a block of units is a matrix
+    of zeros and ones per class, which is multiplied by the units' vectors; the partitions' products are added up."""
+    limit = permutation_thresholds(cells, cls, unit, first, n, seed)
+    kind, width = dict(cells.dtypes)[cls], cells.agg(F.max(F.size(vector))).first()[0] or 0
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+
+        def given(field: pa.DataType) -> Iterator[pa.RecordBatch]:
+            for c, x in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([c] * n, field), *[pa.array(v) for v in x.T]], names=["b", cls, *[f"_s{i}" for i in range(width)]])
+            sums.clear()
+
+        field = None
+        for units, of, rows in _unit_blocks(batches, unit):
+            field = rows.schema.field(cls).type
+            h, names, classes = hashes(seed, n, units), np.array(units, np.int64), np.array(rows.column(cls).to_pylist(), object)
+            x = np.array(rows.column(vector).to_pylist(), float).reshape(rows.num_rows, -1)
+            for c in dict.fromkeys(classes.tolist()):
+                if c in limit:
+                    own = np.flatnonzero(classes == c)
+                    at, top, last = of[own], limit[c][:, :1], limit[c][:, 1:]
+                    chosen = (h[:, at] < top) | ((h[:, at] == top) & (names[at] <= last))
+                    add = chosen.astype(float) @ x[own]
+                    sums[c] = sums[c] + add if c in sums else add
+            if len(sums) * n * width > HELD:
+                yield from given(field)
+        yield from given(field)
+
+    rows = cells.select(cls, unit, vector).repartition(unit).sortWithinPartitions(unit)
+    parts = rows.mapInArrow(products, ", ".join(["b long", f"{cls} {kind}", *[f"_s{i} double" for i in range(width)]]))
+    return parts.groupBy("b", cls).agg(F.array(*[F.sum(f"_s{i}") for i in range(width)]).alias(name))

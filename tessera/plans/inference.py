@@ -320,14 +320,15 @@ def t4(spark, d):
     width = cells.agg(F.max(F.size("centroid"))).first()[0] or 0
     total = V.vector_sums(cells, ["cls"], "centroid", width).join(cells.groupBy("cls").agg(F.sum((F.col("status") == "L1").cast("long")).alias("k"), F.count("*").alias("size")), "cls")
 
-    def distances(first: DataFrame, keys: list[str]) -> DataFrame:
-        own = V.vector_sums(first, keys, "centroid", width, name="one").join(total.where("k between 1 and size - 1"), "cls")
+    def distances(own: DataFrame, keys: list[str]) -> DataFrame:
+        both = own.join(total.where("k between 1 and size - 1"), "cls")
         rest = F.zip_with("total", "one", lambda t, x: t - x)
-        return own.select(*keys, F.round(C.cosine_distance(F.col("one"), rest), 9).alias("d")).where("d is not null")
+        return both.select(*keys, F.round(C.cosine_distance(F.col("one"), rest), 9).alias("d")).where("d is not null")
 
-    ranks = R.permutation_ranks(cells, ["cls"], "unit", PERMUTATIONS, 7).join(total.select("cls", "k"), "cls").where("rank <= k")
-    permuted = distances(ranks.select("b", "cls", "unit").join(cells.select("cls", "unit", "centroid"), ["cls", "unit"]), ["b", "cls"])
-    got = R.permutation_p(distances(cells.where("status = 'L1'"), ["cls"]), permuted, ["cls"], PERMUTATIONS).withColumn("family", F.lit("all"))
+    first = {r["cls"]: (r["k"], r["size"]) for r in total.select("cls", "k", "size").collect() if 0 < r["k"] < r["size"]}  # classes
+    permuted = distances(R.permuted_sums(cells, "cls", "unit", "centroid", first, PERMUTATIONS, 7), ["b", "cls"])
+    observed = distances(V.vector_sums(cells.where("status = 'L1'"), ["cls"], "centroid", width, name="one"), ["cls"])
+    got = R.permutation_p(observed, permuted, ["cls"], PERMUTATIONS).withColumn("family", F.lit("all"))
     return D.benjamini_hochberg(got, ["family"], "p_value", ["cls"]).drop("family")
 
 

@@ -261,3 +261,18 @@ def test_split_intervals_are_near_the_hashed_ones(spark, split, hashed, keys):
         width = r["ci_high"] - r["ci_low"]
         assert got[k]["n_valid"] == pytest.approx(r["n_valid"], abs=40) and abs(got[k]["mean"] - r["mean"]) < 0.05 * width
         assert abs(got[k]["ci_low"] - r["ci_low"]) < 0.12 * width and abs(got[k]["ci_high"] - r["ci_high"]) < 0.12 * width
+
+
+def test_permutations_by_thresholds_equal_sorted_ranks(spark, small_blocks, monkeypatch):
+    monkeypatch.setattr(R, "REACH", 0.3)  # windows that often miss and are widened
+    rng = np.random.default_rng(3)
+    rows = [(c, u, rng.normal(size=3).tolist()) for c, m in (("a", 70), ("b", 9), ("c", 2), ("d", 40)) for u in rng.choice(200, m, replace=False).tolist()]
+    cells = spark.createDataFrame(rows, "cls string, unit long, v array<double>").repartition(3)
+    first = {"a": (30, 70), "b": (8, 9), "c": (1, 2)}
+    got = {(r["cls"], r["b"]): r["one"] for r in R.permuted_sums(cells, "cls", "unit", "v", first, 250, 7).collect()}
+    ranks = R.permutation_ranks(cells, ["cls"], "unit", 250, 7)
+    k = F.when(F.col("cls") == "a", 30).when(F.col("cls") == "b", 8).when(F.col("cls") == "c", 1).otherwise(0)
+    own = ranks.where(F.col("rank") <= k).join(cells, ["cls", "unit"]).groupBy("cls", "b").agg(*[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(3)])
+    want = {(r["cls"], r["b"]): [r["s0"], r["s1"], r["s2"]] for r in own.collect()}
+    assert set(got) == set(want) and len(want) == 750
+    assert all(got[x] == pytest.approx(want[x], abs=1e-9) for x in want)
