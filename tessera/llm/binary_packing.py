@@ -11,18 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_path
-from .tokens import END
+from .tokens import END, slices
 from .words import word_encoder
 
 MAX = 4096
-#: Bytes of the texts that are encoded together, about; a longer text is encoded by itself.
-BATCH = 8 << 20
 PIECES = "doc_id long, start long, doc_tokens long, sequence_id long, ids binary, length int"
 
 
@@ -59,10 +56,7 @@ def _cut(tokenizer: str | None, end: int, most: int):
             return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PIECES.split(", ")])
 
         for batch in batches:
-            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
-            block = np.cumsum(size) // BATCH
-            cuts = np.flatnonzero(np.diff(block, prepend=-1)) if len(block) else []
-            for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+            for lo, hi in slices(batch.column(1)):
                 yield pieces(*[c.slice(lo, hi - lo) for c in batch.columns])
 
     return run

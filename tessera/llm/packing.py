@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import END, encode_with_end
+from .tokens import END, encode_with_end, slices
 
 MAX = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -99,12 +99,12 @@ def _pieces(tokenizer: str | None, end: int, most: int):
         part = TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for lo, hi in slices(batch.column(1)):
+                some = batch.slice(lo, hi - lo)
                 rows = []
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode_with_end(some.column(1).to_pylist(), tokenizer, end), strict=True):
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode_with_end(some.column(1), tokenizer, end), strict=True):
                     for k, (start, n) in enumerate(cut(len(ids), most)):
-                        rows.append((doc_id, k, start, n, zlib.crc32(ids[start : start + n].tobytes()), part, seen[n]))
+                        rows.append((doc_id, k, start, n, zlib.crc32(ids[start : start + n]), part, seen[n]))
                         seen[n] += 1
                 columns = list(zip(*rows, strict=True))
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())

@@ -131,10 +131,8 @@ def _write(folder: str, tokenizer: str | None, end: int):
         with fs.open_output_stream(f"{top}/{name}") as out:
             writer = ShardWriter(out)
             for batch in chain([first], batches):
-                for at in range(0, batch.num_rows, 512):
-                    some = batch.slice(at, 512)
-                    for doc_id, ids in zip(some.column(0).to_pylist(), encode_with_end(some.column(1).to_pylist(), tokenizer, end), strict=True):
-                        writer.add(doc_id, ids)
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode_with_end(batch.column(1), tokenizer, end), strict=True):
+                    writer.add(doc_id, ids)
             writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["part", "path", "docs", "tokens"])
 

@@ -7,7 +7,6 @@ distinct chunk is encoded by the library once, and a bounded table in each worke
 
 from __future__ import annotations
 
-import os
 import re
 from array import array
 
@@ -16,9 +15,9 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .tokens import Chunked
+
 VOCABULARY = "word_bpe_49k.json"
-#: Entries that a worker keeps: when half of them are new, what wasn't used meanwhile goes. Longer chunks than LONGEST aren't kept.
-KEPT, LONGEST = 1_000_000, 48
 _LETTER, _MARK, _BLANK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~", r" \t\n\r"
 #: Latin letters up to an ASCII character that is none; marks up to a Latin letter or a blank; anything else up to a blank.
 CHUNKS = re.compile(rf"[{_LETTER}]+(?![^\x00-@\[-`{{-\x7f])|[{_MARK}]+(?=[{_LETTER}]|[{_BLANK}]|\Z)|[^{_BLANK}]+")
@@ -28,20 +27,19 @@ WORD_AND_MARKS = rf"([{_LETTER}])([{_MARK}]+)( |$)"
 SINGLE = re.compile(rf"[{_LETTER}]+|[{_MARK}]+")
 
 
-class WordEncoder:
-    """ids of whole texts as Tokenizer.encode(text, add_special_tokens=False) gives them, special strings being ordinary text."""
+class WordEncoder(Chunked):
+    chunks = CHUNKS
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        super().__init__(path)
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+
+    def pieces(self, texts: pa.Array) -> pa.ListArray:
+        """Texts cut at spaces, and marks from the words before them."""
+        spaced = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), WORD_AND_MARKS, r"\1 \2\3")
+        return pc.split_pattern(spaced, " ")
 
     def _learn(self, new: list[str]) -> None:
         single = [x for x in new if SINGLE.fullmatch(x)]
@@ -58,44 +56,6 @@ class WordEncoder:
             for x, got in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[x] = array("I", got.ids).tobytes()
 
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        """ids of different words; a word that isn't known is put together from its chunks."""
-        if len(self.known) > KEPT // 2:
-            self.known, self.older = {"": b""}, self.known
-        known, older = self.known, self.older
-        got = list(map(known.get, words))
-        missing = [i for i, x in enumerate(got) if x is None]
-        parts = [CHUNKS.findall(words[i]) for i in missing]
-        new = {x for p in parts for x in p if x not in known}
-        known.update({x: older[x] for x in new if x in older})
-        self._learn([x for x in new if x not in older])
-        for i, p in zip(missing, parts, strict=True):
-            got[i] = known[p[0]] if len(p) == 1 else b"".join([known[y] for y in p])
-        for x in new:
-            if len(x) > LONGEST:
-                del known[x]
-        return got
-
-    def encode(self, texts: pa.Array, tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another as uint32, number of ids of each); tail: an id behind each text's own. A null has none of its own.
-
-        Arrow splits the texts at spaces, and marks from the words before them, and finds the different words; Python sees only these."""
-        spaced = pc.replace_substring_regex(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), WORD_AND_MARKS, r"\1 \2\3")
-        words = pc.split_pattern(spaced, " ")
-        flat = words.flatten().dictionary_encode()
-        each = np.diff(words.offsets.to_numpy())
-        own = self._of_words(flat.dictionary.to_pylist())
-        index = flat.indices.to_numpy()
-        if tail is not None:
-            index = np.insert(index, np.cumsum(each), len(own))
-            own.append(np.uint32(tail).tobytes())
-            each = each + 1
-        n = np.array([len(x) for x in own], np.int64) // 4
-        start, count = (np.cumsum(n) - n)[index], n[index]
-        upto = np.concatenate([[0], np.cumsum(count)])
-        at = np.repeat(start - upto[:-1], count) + np.arange(upto[-1])
-        return np.frombuffer(b"".join(own), np.uint32)[at], np.diff(upto[np.concatenate([[0], np.cumsum(each)])])
-
 
 _encoders: dict[str, WordEncoder] = {}
 

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tessera.llm import alignment, binary_packing, queries, words
+from tessera.llm import alignment, binary_packing, queries, tokens, words
 
 ODD = [None, "", " ", "\n", "a", "  two  blanks ", "a\r\nb\r\n\r\n c;\r", "▁ is a piece's space", "tail \t\n", "<|endoftext|> and <s> and <0x0A>", "x" * 5000, "no break　space \x85", "é́ ≮ ͏ İΣς ǅ 日本語 😀 ​", "it's we'll 'tis ''s", "back\\slash", "12 345 6,7.8", "\x00\x1c\x1f"]
 
@@ -132,14 +132,38 @@ def test_words_encode_as_the_library():
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*x, *([2] if tail else [])] for x in word_ids(texts)]
 
 
-def test_words_are_forgotten(monkeypatch):
+def byte_ids(texts):
+    a, _ = brute_tokenizers()
+    return [a.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_bytes_encode_as_the_library():
+    import pyarrow as pa
+
+    texts = [*ODD, *odd_texts(5000, 12), "a.b c, d.\ne f's (g) -- h\n\ni", "a\x01b c", "　 　b 　c", "ж. и, 中 文。 x"]
+    for own in (texts, [x for x in texts if "\x01" not in (x or "")]):
+        ids, n = tokens.encoder().encode(pa.array(own), 2)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*x, 2] for x in byte_ids(own)]
+
+
+def test_slices_hold_whole_texts():
+    import pyarrow as pa
+
+    texts = pa.array(["a" * n if n else None for n in (0, 5, 300, 1, 0, 99, 1000)])
+    got = tokens.slices(texts, 100)
+    assert [i for lo, hi in got for i in range(lo, hi)] == list(range(7)) and tokens.slices(texts.slice(0, 0)) == []
+    assert all(hi > lo for lo, hi in got) and len(got) == 4
+
+
+@pytest.mark.parametrize(("kind", "file", "want"), [(words.WordEncoder, "word_bpe_49k.json", "word_ids"), (tokens.Encoder, "byte_bpe_50k.json", "byte_ids")])
+def test_chunks_are_forgotten(monkeypatch, kind, file, want):
     import pyarrow as pa
 
-    monkeypatch.setattr(words, "KEPT", 3)
-    encoder = words.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(tokens, "KEPT", 3)
+    encoder = kind(public_tokenizers.path(file))
     for texts in (["one two three four five"], ["one " + "x" * 500, "two, three."], ["one two"]):
-        assert encoder.encode(pa.array(texts))[0].tolist() == sum(word_ids(texts), [])
-    assert not any(len(x) > words.LONGEST for x in encoder.known)
+        assert encoder.encode(pa.array(texts))[0].tolist() == sum(globals()[want](texts), [])
+    assert not any(len(x) > tokens.LONGEST for x in encoder.known)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4095, 4096, 4097, 12_345])
