@@ -256,11 +256,21 @@ def c3(spark, d):
     return U.assignments(c, ["rep"], "cls", "centroid", "ward", 3)
 
 
+#: Given partitions of the classes, each with its own number of clusters; a class without a part isn't compared.
+PARTITIONS = {"two": ("case when cls < 8 then cls % 2 end", 2), "three": ("case when cls < 9 then cls % 3 end", 3)}
+
+
 @query("c7_class_partition_agreement")
 def c7(spark, d):
-    """Agreement of the cut with a given partition of the classes, over the classes that it labels."""
-    a = QUERIES["c3_cluster_assignments"](spark, d).withColumn("truth", F.when(F.col("cls") < 8, F.col("cls") % 2)).where("truth is not null")
-    return L.adjusted_rand(a, "cluster", "truth")
+    """Agreement of the tree's cut with each given partition of the classes, cut to as many clusters as that has parts, and to the k of the best silhouette."""
+    c = V.mean_vectors(V.unit_vectors(vectors(spark, d), "v"), ["cls"], F.col("v")).withColumn("rep", F.lit("vectors"))
+    best = U.chosen_k(c, ["rep"], "cls", "centroid", "ward", range(2, 9)).first()["k_silhouette"]
+    rows = []
+    for name, (truth, k) in PARTITIONS.items():
+        for kind, n in (("given", k), ("silhouette", best)):
+            own = U.assignments(c, ["rep"], "cls", "centroid", "ward", n).withColumn("truth", F.expr(truth)).where("truth is not null")
+            rows.append((name, kind, n, L.adjusted_rand(own, "cluster", "truth").first()["ari"]))
+    return frame(spark, rows, "partition string, cut string, k int, ari double")
 
 
 @query("c8_missing_aware_clusters")
