@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import END, encode_with_end, slices
+from .tokens import END, encode_with_end, encoder, slices
 
 MAX = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -109,6 +109,7 @@ def _pieces(tokenizer: str | None, end: int, most: int):
                 columns = list(zip(*rows, strict=True))
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+        encoder(tokenizer).rest()
 
     return run
 

@@ -85,6 +85,11 @@ class Chunked:
             got[i] = own[0] if len(own) == 1 else b"".join(own)
         return got
 
+    def rest(self) -> None:
+        """Give back what the task has left unused, since the worker may wait long for the next one, beside others' work."""
+        self.older = {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: pa.Array, tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another as uint32, number of ids of each); tail: an id behind each text's own. A null has none of its own."""
         pieces = self.pieces(pc.fill_null(texts, ""))
