@@ -23,6 +23,8 @@ from .common import materialize
 from .tokens import END, encode_with_end, encoder, slices
 
 MAX = 1024
+#: Chunks that a worker keeps and bytes of texts that it encodes at a time: fewer than where encoding is a query's whole work.
+KEPT, TEXTS = 700_000, 8 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -98,8 +100,9 @@ def _pieces(tokenizer: str | None, end: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
+        encoder(tokenizer).kept = KEPT
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1), TEXTS):
                 some = batch.slice(lo, hi - lo)
                 rows = []
                 for doc_id, ids in zip(some.column(0).to_pylist(), encode_with_end(some.column(1), tokenizer, end), strict=True):

@@ -51,6 +51,7 @@ class Chunked:
         self.library.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.kept = 0  # instead of KEPT
 
     def pieces(self, texts: pa.Array) -> pa.ListArray:
         raise NotImplementedError
@@ -70,7 +71,7 @@ class Chunked:
             gc.enable()
 
     def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT // 2:
+        if len(self.known) > (self.kept or KEPT) // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         got = list(map(known.get, pieces))
@@ -86,8 +87,7 @@ class Chunked:
         return got
 
     def rest(self) -> None:
-        """Give back what the task has left unused, since the worker may wait long for the next one, beside others' work."""
-        self.older = {}
+        """Give back memory that the task has left unused, since the worker may wait long for the next one, beside others' work."""
         pa.default_memory_pool().release_unused()
 
     def encode(self, texts: pa.Array, tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +97,7 @@ class Chunked:
         each = np.diff(pieces.offsets.to_numpy())
         own = self.of_pieces(flat.dictionary.to_pylist())
         index = flat.indices.to_numpy()
+        del pieces
         if tail is not None:
             index = np.insert(index, np.cumsum(each), len(own))
             own.append(np.uint32(tail).tobytes())
