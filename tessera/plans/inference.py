@@ -19,7 +19,7 @@ from ..operators import resample as R
 from ..operators import vectors as V
 from ..session import table
 from ..storage import materialize
-from .roles import CLASSES, DIM_SQL, TOK_SQL, VEC_SQL, rounded, tokens, vectors
+from .roles import CLASSES, DIM_SQL, TOK_SQL, VEC_SQL, finite_tokens, rounded, tokens, vectors
 
 QUERIES, ORACLES = {}, {}
 
@@ -256,12 +256,12 @@ def t3_statistics(spark, d):
 
 @query("t2_group_battery")
 def t2(spark, d):
-    return battery(tokens(spark, d), "status", "L1", "L2")
+    return battery(finite_tokens(spark, d), "status", "L1", "L2")
 
 
 @query("t3_second_factor_battery")
 def t3(spark, d):
-    return battery(tokens(spark, d), "gender", "F", "M").withColumn("design_note", F.lit("between units"))
+    return battery(finite_tokens(spark, d), "gender", "F", "M").withColumn("design_note", F.lit("between units"))
 
 
 @query("t1_two_group_means", f"WITH {TOK_SQL}, u AS (SELECT unit, cls, status, avg(f1) AS x FROM tok GROUP BY ALL), s AS (SELECT cls, status, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM u GROUP BY ALL) SELECT a.cls, a.n AS n_a, b.n AS n_b, round(b.m - a.m, 6) AS difference, round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)), 6) AS t FROM s a JOIN s b ON a.cls = b.cls AND a.status < b.status")
@@ -342,8 +342,8 @@ BOOT = f"""{TOK_SQL}, um AS (SELECT unit, cls, avg(f1) AS x, avg(f2) AS y FROM t
  SELECT a, b, measure, count(*) AS n_valid, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high FROM e GROUP BY ALL"""
 
 
-def unit_means(spark: SparkSession, d: str) -> DataFrame:
-    return tokens(spark, d).na.drop(subset=["f1", "f2"]).groupBy("unit", "cls").agg(F.avg("f1").alias("x"), F.avg("f2").alias("y"))
+def unit_means(t: DataFrame) -> DataFrame:
+    return t.where("f1 is not null and f2 is not null").groupBy("unit", "cls").agg(F.avg("f1").alias("x"), F.avg("f2").alias("y"))
 
 
 def pair_sums() -> dict[str, Column]:
@@ -372,7 +372,7 @@ def pair_intervals(c: DataFrame) -> DataFrame:
 @query("t7_bootstrap_distances", "WITH " + BOOT)
 def t7(spark, d):
     """Intervals of class distances over units drawn with replacement, as weights on the units' means; draws are hashed, so that SQL has the same."""
-    um = materialize(unit_means(spark, d), "unit-means")
+    um = materialize(unit_means(tokens(spark, d)), "unit-means")
     w = R.bootstrap_weights(um.select("unit").distinct(), "unit", BOOTSTRAPS, 11)
     c = materialize(w.join(um, "unit").groupBy("b", "cls").agg(*[F.sum(F.col("times") * e).alias(k) for k, e in pair_sums().items()]), "replicates")
     return pair_intervals(c)
@@ -381,7 +381,7 @@ def t7(spark, d):
 @query("t7_split_draws")
 def t7_split(spark, d):
     """The same intervals from draws that are split by partition: no row per replicate and unit is made, whatever the number of units."""
-    um = unit_means(spark, d).select("unit", "cls", *[e.alias(k) for k, e in pair_sums().items()])
+    um = unit_means(finite_tokens(spark, d)).select("unit", "cls", *[e.alias(k) for k, e in pair_sums().items()])
     return pair_intervals(R.resampled_sums(um, "unit", ["cls"], list(pair_sums()), BOOTSTRAPS, 11))
 
 
