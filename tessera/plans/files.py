@@ -57,6 +57,10 @@ INTERVALS = f"""WITH {TOK_SQL}, i AS (SELECT unit, sub, cls, token_id, row_numbe
  SELECT 'u' || unit AS unit, 'u' || unit || '/' || sub || '/' || cls AS tier, pos, token_id::DOUBLE AS onset, token_id + 0.5 AS fin, CASE WHEN token_id % 4 = 0 THEN '' ELSE cls || ' "' || token_id || '"' END AS label FROM i"""
 
 
+#: Tiers in one label file, which a task reads whole: more tiers make more files, not larger ones.
+TIERS_IN_A_FILE = 2000
+
+
 def label_files(spark: SparkSession, d: str) -> str:
     """A folder of label files: one tier per unit, hour and class, an interval per token, some without a label."""
     mark = F.when(F.col("token_id") % 4 == 0, "").otherwise(F.concat("cls", F.lit(' ""'), "token_id", F.lit('""')))
@@ -66,7 +70,7 @@ def label_files(spark: SparkSession, d: str) -> str:
     body = F.array_join(F.transform("held", lambda x: x["interval"]), "\n ")
     text = F.concat(F.lit('class = "IntervalTier"\n name = "'), name, F.lit('"\n '), body)
     path = new_path(spark, "labels")
-    tiers.select(text.alias("value")).write.text(path)
+    tiers.select(text.alias("value")).write.option("maxRecordsPerFile", TIERS_IN_A_FILE).text(path)
     return path
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 import wave
 from collections.abc import Callable, Iterator
 
@@ -54,38 +53,31 @@ def slots(spark: SparkSession, path: str, repetitions: int = 6) -> DataFrame:
     return last.select("slot", F.trim("word").alias("word"), "repetition", symbols.alias("symbols"))
 
 
-TIERS = "path string, tier string, pos int, onset double, fin double, label string"
-# The long text form of interval tiers.
-_CLASS = re.compile(r'class = "(\w+)"\s+name = "((?:[^"]|"")*)"')
-_INTERVAL = re.compile(r'xmin = ([\d.eE+-]+)\s+xmax = ([\d.eE+-]+)\s+text = "((?:[^"]|"")*)"')
+# The long text form of interval tiers. A quote within a name or label is doubled; quantifiers keep what they take, as long labels would exhaust the stack.
+_QUOTED = r'"([^"]*+(?:""[^"]*+)*+)"'
+_HEAD = r'(?U)class = "(\w+)"\s+name = ' + _QUOTED
+_INTERVAL = r"xmin = ([\d.eE+-]+)\s+xmax = ([\d.eE+-]+)\s+text = " + _QUOTED
 
 
-def parse_tiers(text: str) -> list[tuple[str, int, float, float, str]]:
-    """(tier, position, onset, end, label) of all intervals of a label file, empty ones included."""
-    heads = list(_CLASS.finditer(text))
-    out = []
-    for head, after in zip(heads, [*heads[1:], None], strict=True):
-        if head[1] != "IntervalTier":
-            continue
-        body = text[head.end() : after.start() if after else len(text)]
-        out += [(head[2].replace('""', '"'), i, float(m[1]), float(m[2]), m[3].replace('""', '"')) for i, m in enumerate(_INTERVAL.finditer(body))]
-    return out
-
-
-def _decoded(raw: bytes) -> str:
-    return raw.decode("utf-16" if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8-sig")
+def decoded(content: Column) -> Column:
+    """The text of a label file: UTF-16 if its mark says so, else UTF-8 with or without a mark. Other bytes end the query."""
+    mark = F.hex(F.substring(content, 1, 3))
+    rest = F.when(mark == "EFBBBF", F.substring(content, F.lit(4), F.length(content))).otherwise(content)
+    return F.when(mark.startswith("FFFE") | mark.startswith("FEFF"), F.decode(content, "UTF-16")).otherwise(F.decode(rest, "UTF-8"))
 
 
 def tiers(spark: SparkSession, folder: str, glob: str = "*.TextGrid") -> DataFrame:
-    """Intervals of all label files under a folder, files read where the tasks run."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder).select("path", "content")
+    """Intervals of all label files under a folder, empty ones included, files read where the tasks run: path, tier, pos, onset, fin, label.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(p, *x) for p, c in zip(pdf.path, pdf.content, strict=True) for x in parse_tiers(_decoded(c))]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in TIERS.split(", ")])
-
-    return files.mapInPandas(run, TIERS)
+    A task holds one file at a time, cut into tiers, and one tier's intervals."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder).select("path", "content")
+    unquoted = lambda x: F.replace(x, F.lit('""'), F.lit('"'))
+    found = files.select("path", F.explode(F.split(decoded(F.col("content")), f"(?={_HEAD})")).alias("piece"))
+    own = found.where(F.regexp_extract("piece", f"^{_HEAD}", 1) == "IntervalTier")
+    body = F.substring(F.col("piece"), F.length(F.regexp_extract("piece", f"^{_HEAD}", 0)) + 1, F.length("piece"))
+    cut = own.select("path", unquoted(F.regexp_extract("piece", f"^{_HEAD}", 2)).alias("tier"), F.posexplode(F.regexp_extract_all(body, F.lit(_INTERVAL), F.lit(0))).alias("pos", "interval"))
+    part = lambda i: F.regexp_extract("interval", _INTERVAL, i)
+    return cut.select("path", "tier", "pos", part(1).cast("double").alias("onset"), part(2).cast("double").alias("fin"), unquoted(part(3)).alias("label"))
 
 
 def unit_and_slot(path):
