@@ -1,12 +1,13 @@
 """Permutations and bootstraps as joins of index tables with per-unit statistics.
 
-Randomness is a hash of seed, replicate and unit, so any engine gets the same draws; or, for many units, draws are split by partition
-(resampled_sums), so that no row is made per replicate and unit.
+Randomness is a hash of seed, replicate and unit, so any engine gets the same draws (drawn_sums, for many units, hashes them by arrays); or draws
+are split by partition (resampled_sums). Neither makes a row per replicate and unit.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -197,6 +198,157 @@ def resampled_sums(df: DataFrame, unit: str, groups: list[str], values: list[str
     return own.groupBy("b", *groups).agg(*[F.sum(v).alias(v) for v in values])
 
 
+# --- hashed draws as products of blocks ----------------------------------------------------------------------------
+
+#: Places of a block, whose draws are counted together (an offset fits 16 bits); draws made at a time, their slots at most; hashes reckoned at a time.
+PLACES, DRAWS, SLOTS, PIECE = 4096, 1 << 21, 1 << 20, 1 << 15
+MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+MD5_SHIFTS = (7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)
+MD5_ADDED = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+def md5_heads(parts: list[str | np.ndarray]) -> np.ndarray:
+    """The first 32 bits of the MD5 of the parts' joined text, a number as in hashed(), for arrays of whole numbers below 2**32 among the parts.
+
+    All arrays are of one length, and the numbers of an array have equally many digits; the text is one block of MD5, 55 bytes at most."""
+    n = next(len(p) for p in parts if not isinstance(p, str))
+    words, at = [0] * 16, 0
+
+    def put(byte, where: int) -> None:
+        words[where // 4] = words[where // 4] + (byte << 8 * (where % 4))
+
+    for p in parts:
+        if isinstance(p, str):
+            for x in p.encode():
+                put(x, at)
+                at += 1
+        else:
+            rest, digits = p.astype(np.uint32), len(str(int(p[0])))
+            for i in range(digits)[::-1]:
+                tens = rest // 10
+                put(rest - tens * 10 + 48, at + i)
+                rest = tens
+            at += digits
+    if at > 55:
+        raise ValueError("a text of more than 55 bytes")
+    put(0x80, at)
+    words[14] = 8 * at
+    a, b, c, d = (np.full(n, x, np.uint32) for x in MD5_START)
+    for i in range(61):  # the last three steps don't touch the first word
+        turn = i // 16
+        if turn == 0:
+            f, g = d ^ (b & (c ^ d)), i
+        elif turn == 1:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif turn == 2:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        if isinstance(words[g], int):
+            f += (words[g] + MD5_ADDED[i]) % 2**32
+        else:
+            f += words[g]
+            f += MD5_ADDED[i]
+        shift = MD5_SHIFTS[turn][i % 4]
+        high = f << shift
+        f >>= 32 - shift
+        f |= high
+        f += b
+        a, d, c, b = d, c, b, f
+    return (b + MD5_START[0]).byteswap()
+
+
+def _same_digits(lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """lo..hi - 1 cut where the number of digits changes."""
+    while lo < hi:
+        to = min(hi, 10 ** len(str(lo)))
+        yield lo, to
+        lo = to
+
+
+def drawn_places(seed: int, b: tuple[int, int], slots: tuple[int, int], size: int) -> np.ndarray:
+    """hashed(seed, b, slot) modulo size: a row per replicate, a column per slot, of the given ranges."""
+    out = np.empty((b[1] - b[0], slots[1] - slots[0]), np.int64)
+    for b0, b1 in _same_digits(*b):
+        for s0, s1 in _same_digits(*slots):
+            wide = s1 - s0
+            own = np.empty((b1 - b0) * wide, np.int64)
+            for at in range(0, len(own), PIECE):
+                pair = np.arange(at, min(at + PIECE, len(own)))
+                row = pair // wide
+                own[at : at + PIECE] = md5_heads([f"{seed}-", row + b0, "-", pair - row * wide + s0]).astype(np.int64) % size
+            out[b0 - b[0] : b1 - b[0], s0 - slots[0] : s1 - slots[0]] = own.reshape(-1, wide)
+    return out
+
+
+def drawn_sums(df: DataFrame, unit: str, groups: list[str], values: list[str], n: int, seed: int) -> DataFrame:
+    """(b, groups, values): resampled_sums with the draws of bootstrap_weights, which SQL can repeat: slot s of replicate b has the unit at the
+    place hashed(seed, b, s) modulo their number, in the order of units, null last; rows of the null unit have a place but no values.
+
+    Values are numbers without nulls; an infinite one or NaN counts where its unit is drawn. Tasks hash ranges of replicates and slots and hand on
+    each block's places, two bytes per draw; a block's task counts them, a matrix of replicates and units, and multiplies it by the units'
+    values. So no row is made per replicate and unit, and a task holds a range of draws or a block's draws, however many units there are. df must
+    be stored. The driver gathers the number of units."""
+    spark = df.sparkSession
+    order = dense_ids(df.select(unit).distinct(), [F.col(unit).asc_nulls_last()], "_place")
+    size = order.count()
+    wide = max(1, min(size, SLOTS))
+    tall, ranges = min(n, max(1, DRAWS // wide)), -(-size // wide)
+    works = -(-n // tall) * ranges
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for work in batch.column("id").to_pylist():
+                b0, s0 = work // ranges * tall, work % ranges * wide
+                drawn = drawn_places(seed, (b0, min(b0 + tall, n)), (s0, min(s0 + wide, size)), size)
+                drawn.sort(axis=1)
+                for b, row in enumerate(drawn, b0):
+                    blocks = np.arange(row[0] // PLACES, row[-1] // PLACES + 1)
+                    ends, offsets = np.searchsorted(row, (blocks + 1) * PLACES), (row % PLACES).astype("<u2")
+                    cut = [x.tobytes() for x in np.split(offsets, ends[:-1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(np.full(len(blocks), b)), pa.array(cut, pa.binary())], names=["_block", "b", "_drawn"])
+
+    kinds = dict(df.dtypes)
+    names = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    schema = pa.schema([("b", pa.int64()), *[(g, names[kinds[g]]) for g in groups], *[(v, pa.float64()) for v in values]])
+
+    def multiply(draws: pa.Table, rows: pa.Table) -> pa.Table:
+        out = []
+        keys = list(zip(*[rows.column(g).to_pylist() for g in groups], strict=True)) if groups else [()] * rows.num_rows
+        own = {k: [] for k in dict.fromkeys(keys)}
+        for i, k in enumerate(keys):
+            own[k].append(i)
+        at = rows.column("_at").to_numpy()
+        table = np.column_stack([np.ones(rows.num_rows), *[rows.column(v).to_numpy() for v in values]])
+        plain = np.where(np.isfinite(table), table, 0.0)
+        b, drawn = draws.column("b").to_numpy(), draws.column("_drawn").to_pylist()
+        by_b = np.argsort(b, kind="stable")
+        for b0 in range(0, n, BLOCK):
+            of = by_b[np.searchsorted(b, b0, sorter=by_b) : np.searchsorted(b, b0 + BLOCK, sorter=by_b)]
+            if not len(of):
+                continue
+            offsets = [np.frombuffer(drawn[i], "<u2") for i in of]
+            cell = np.concatenate(offsets) + np.repeat((b[of] - b0) * PLACES, [len(x) for x in offsets])
+            times = np.bincount(cell, minlength=BLOCK * PLACES).reshape(BLOCK, PLACES).astype(float)
+            for k, mine in own.items():
+                drawn_here = times[:, at[mine]]
+                sums = drawn_here @ plain[mine]
+                for i, j in zip(*np.nonzero(~np.isfinite(table[mine])), strict=True):
+                    sums[drawn_here[:, i] > 0, j] += table[mine[i], j]
+                some = np.flatnonzero(sums[:, 0])
+                out.append(pa.Table.from_arrays([pa.array(b0 + some), *[pa.array([x] * len(some), schema.field(g).type) for g, x in zip(groups, k, strict=True)], *[pa.array(c) for c in sums[some, 1:].T]], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    parts = max(1, min(works, 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    draws = spark.range(0, works, 1, parts).mapInArrow(draw, "_block long, b long, _drawn binary")
+    block = F.floor(F.col("_place") / PLACES)
+    rows = df.join(order, unit).select(block.alias("_block"), (F.col("_place") - block * PLACES).alias("_at"), *groups, *[F.col(c).cast("double").alias(c) for c in values])
+    out = ", ".join(["b long", *[f"{g} {kinds[g]}" for g in groups], *[f"{v} double" for v in values]])
+    own = draws.groupBy("_block").cogroup(rows.groupBy("_block")).applyInArrow(multiply, out)
+    return own.groupBy("b", *groups).agg(*[F.sum(v).alias(v) for v in values])
+
+
 # --- permutations as products of blocks ----------------------------------------------------------------------------
 
 #: Standard deviations around a threshold's expected place that are looked through, and replicates whose thresholds one task finds.

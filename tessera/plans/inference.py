@@ -372,9 +372,8 @@ def pair_intervals(c: DataFrame) -> DataFrame:
 @query("t7_bootstrap_distances", "WITH " + BOOT)
 def t7(spark, d):
     """Intervals of class distances over units drawn with replacement, as weights on the units' means; draws are hashed, so that SQL has the same."""
-    um = materialize(unit_means(tokens(spark, d)), "unit-means")
-    w = R.bootstrap_weights(um.select("unit").distinct(), "unit", BOOTSTRAPS, 11)
-    c = materialize(w.join(um, "unit").groupBy("b", "cls").agg(*[F.sum(F.col("times") * e).alias(k) for k, e in pair_sums().items()]), "replicates")
+    um = materialize(unit_means(tokens(spark, d)).select("unit", "cls", *[e.alias(k) for k, e in pair_sums().items()]), "unit-means")
+    c = materialize(R.drawn_sums(um, "unit", ["cls"], list(pair_sums()), BOOTSTRAPS, 11), "replicates")
     return pair_intervals(c)
 
 
