@@ -47,11 +47,15 @@ def run(
     semitones: list[str] | None = None,
     reference_hz: float = 100.0,
     classes: list[str] | None = None,
+    nan_is_missing: bool = True,
 ) -> dict:
-    """columns: output column -> expression over the table; unit and cls must be among them. Returns what was read and written."""
+    """columns: output column -> expression over the table; unit and cls must be among them. Returns what was read and written.
+
+    nan_is_missing: without it NaN is a value, as in SQL, and leaves its unit NaN alone."""
     ensure_worker_path(spark)
     cells = {k: F.expr(e) for k, e in columns.items()}
-    rows = spark.read.parquet(observations).select(*[(F.nanvl(c.cast("double"), F.lit(None)) if k in features else c).alias(k) for k, c in cells.items()])
+    number = lambda c: F.nanvl(c.cast("double"), F.lit(None)) if nan_is_missing else c.cast("double")
+    rows = spark.read.parquet(observations).select(*[(number(c) if k in features else c).alias(k) for k, c in cells.items()])
     missing = {f"{x}_missing": F.count(F.when(F.col(x).isNull(), 1)) for x in ("unit", "cls", *features)}
     rows, read = observed(rows, rows_read=F.count(F.lit(1)), **missing)
     out = normalised(rows, features, fit, reference_hz, semitones or []).withColumn("class", folder(F.col("cls")))

@@ -26,7 +26,7 @@ def job1_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job2_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     top, settings = new_path(spark, "job2"), configuration(str(HERE / "normalised.yaml"))
     for _ in range(2):
-        normalised.run(spark, f"{sf_dir}/events.parquet", f"{top}/tokens", **settings)
+        normalised.run(spark, f"{sf_dir}/events.parquet", f"{top}/tokens", **settings, nan_is_missing=False)
     return rounded(spark.read.parquet(f"{top}/tokens").drop("class"))
 
 
